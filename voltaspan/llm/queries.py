@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltaspan.llm import bpe, fingerprint, idstore, packing
+from voltaspan.llm import bpe, fingerprint, idstore, ngram_join, packing, secrets
 from voltaspan.llm.common import shared_dir, table
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +33,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.checksums(spark, store)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -38,8 +46,10 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
+    "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op8_fingerprint": op8_fingerprint,
 }
