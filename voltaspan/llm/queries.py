@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltaspan.llm import bpe, fingerprint, idstore, ngram_join, packing, secrets
+from voltaspan.llm import bpe, fingerprint, idstore, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
 from voltaspan.llm.common import shared_dir, table
 
 
@@ -21,6 +21,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +37,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.checksums(spark, store)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -45,13 +54,25 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_wrapper": op2_wrapper,
     "op3_bpe": op3_bpe,
     "op4_token_store": op4_token_store,
+    "op5_topk": op5_topk,
     "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op8_fingerprint": op8_fingerprint,
+    "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
