@@ -12,8 +12,8 @@ one. So no link is missed, whatever the data.
 Only few pairs of a bucket are compared. Each member goes with the least one first. Links make
 components, and only buckets that then still hold several components are compared in full, in
 square blocks of bounded size. In every comparison the bits in which hashed bitmaps of the sets
-differ bound the overlap from above; only what passes gets the exact intersection of the sorted
-arrays. Equal sets are one node throughout.
+differ bound the overlap from above; only pairs that pass meet their sorted arrays, for the exact
+intersection. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from voltaspan.llm.bpe import groups
 from voltaspan.llm.common import NULL_ID, flushed, written
 from voltaspan.llm.components import components
 
-BITS = 1024
+BITS = 2048
 _WORDS = 500_000
 #: At most so many members to a side of a block of a full comparison.
 BLOCK = 128
@@ -243,56 +243,76 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return written(found.dropDuplicates(["node"]), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Those of the pairs u, v (nodes) that link."""
+def _maps(sets: DataFrame) -> DataFrame:
+    """Rows node, size, bits of the sets: what the bound needs, a few hundred bytes each."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        def rows():
+            for b in batches:
+                for node, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    hashes = np.frombuffer(data.as_py(), np.uint64)
+                    yield node, len(hashes), bitmap(hashes).tobytes()
+
+        yield from flushed(rows(), schema)
+
+    return written(sets.mapInArrow(run, "node long, size long, bits binary"), "maps")
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
+    """Those of the pairs u, v whose bitmaps leave room for enough overlap."""
+    u = maps.select(F.col("node").alias("u"), F.col("size").alias("m"), F.col("bits").alias("a"))
+    v = maps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bits").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for x in batches:
+            if x.num_rows:
+                total = x.column(2).to_numpy() + x.column(3).to_numpy()
+                apart = np.bitwise_count(_bits(x.column(4)) ^ _bits(x.column(5))).sum(axis=1, dtype=np.int64)
+                keep = (total - apart) // 2 >= like.least_overlap(total)
+                yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(keep)) for i in range(2)], names=["u", "v"])
+
+    return pairs.join(v, "v").join(u, "u").select("u", "v", "m", "n", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
+    """Those of the pairs u, v (nodes) that link: by the bound on the overlap, then exactly."""
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        known: dict[int, tuple] = {}
-
-        def of(node: int, data) -> tuple:
-            if node not in known:
-                if len(known) >= 256:
-                    known.clear()
-                hashes = np.frombuffer(data.as_py(), np.uint64)
-                known[node] = (hashes, bitmap(hashes))
-            return known[node]
-
         def rows():
             for x in batches:
-                for u, v, p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), x.column(3)):
-                    (s, sb), (t, tb) = of(u, p), of(v, q)
-                    total = len(s) + len(t)
-                    if (total - int(np.bitwise_count(sb ^ tb).sum())) // 2 >= like.least_overlap(total) and like.linked(s, t):
+                for u, v, s, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), x.column(3)):
+                    if like.linked(np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)):
                         yield u, v
 
         yield from flushed(rows(), schema)
 
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
+    left = written(_bounded(pairs, maps, like), "bounded")
+    return left.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
-def _block_links(like: Likeness):
-    """Links between the components of the two sides of a block, no more than join them up."""
 
-    def run(pdf):
-        import pandas as pd
+def _block_pairs(like: Likeness):
+    """Pairs of a block from different components whose bitmaps leave room for enough overlap."""
 
-        pdf = pdf.drop_duplicates("node")
-        sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
-        maps = np.stack([bitmap(s) for s in sets])
-        sizes = np.array([len(s) for s in sets])
-        node, root = pdf["node"].to_numpy(), pdf["comp"].to_numpy().copy()
-        out = []
-        for i in range(len(sets)):
-            total = sizes[i] + sizes
-            apart = np.bitwise_count(maps[i] ^ maps).sum(axis=1).astype(np.int64)
-            for j in np.flatnonzero((total - apart) // 2 >= like.least_overlap(total)):
-                if root[i] != root[j] and like.linked(sets[i], sets[j]):
-                    out.append((node[i], node[j]))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def run(table: pa.Table) -> pa.Table:
+        x = table.combine_chunks().sort_by("node")
+        node, comp, size = (x.column(c).to_numpy() for c in ("node", "comp", "size"))
+        bits = _bits(x.column("bits"))
+        found = []
+        for i in range(len(node)):
+            apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+            total = size[i] + size[i + 1 :]
+            near = np.flatnonzero(((total - apart) // 2 >= like.least_overlap(total)) & (comp[i + 1 :] != comp[i]) & (node[i + 1 :] != node[i])) + i + 1
+            found.append(np.column_stack([np.full(len(near), node[i]), node[near]]))
+        both = np.concatenate(found)
+        return pa.table({"u": both[:, 0], "v": both[:, 1]})
 
     return run
 
@@ -311,14 +331,15 @@ def _links(docs: DataFrame, met: DataFrame, nodes: DataFrame, n: int, like: Like
     first = written(first.select(F.col("pivot").alias("u"), F.col("node").alias("v")), "pairs")
     met_nodes = first.select(F.col("v").alias("node")).unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
     sets = _sets(docs, nodes.join(met_nodes, "node", "left_semi"), n)
-    links = written(_verified(first, sets, like), "links")
+    maps = _maps(sets)
+    links = written(_verified(first, sets, maps, like), "links")
     labels = written(components(links), "labels")
 
     # pairs with a bucket's least member that are still apart
     apart = _labelled(_labelled(stars, "pivot", labels, "of_pivot"), "node", labels, "of_node").where("of_pivot != of_node")
     second = apart.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     second = written(second.join(first, ["u", "v"], "left_anti"), "pairs")
-    more = written(_verified(second, sets, like), "links")
+    more = written(_verified(second, sets, maps, like), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = written(components(links), "labels")
@@ -339,8 +360,9 @@ def _links(docs: DataFrame, met: DataFrame, nodes: DataFrame, n: int, like: Like
     side = F.pmod(F.xxhash64("node"), sides).cast("int")
     members = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     members = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp")
-    full = members.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_block_links(like), "u long, v long")
-    return links.unionByName(written(full.distinct(), "links"))
+    near = members.join(maps, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(like), "u long, v long")
+    third = written(near.distinct().join(second.unionByName(first), ["u", "v"], "left_anti"), "pairs")
+    return links.unionByName(written(_verified(third, sets, maps, like), "links"))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -365,3 +387,24 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     out = rows.join(written(copies, "copies"), "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group that links make, the document of
+    the smallest doc_id stays. Of rows of one doc_id that are copies of each other one stays.
+    Columns are as they were."""
+    found = written(join(docs, n, num, den), "groups")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_gone")).distinct()
+    twice = found.groupBy(key.alias("_gone")).agg(F.count("*").alias("n")).where("n > 1").select("_gone")
+    gone, twice = written(gone, "gone"), written(twice, "twice")
+    kept = docs.join(_hinted(gone), key == F.col("_gone"), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    some = kept.join(_hinted(twice), key == F.col("_gone"), "left_semi")
+    return kept.join(_hinted(twice), key == F.col("_gone"), "left_anti").unionByName(some.dropDuplicates(["doc_id", "text"]))
+
+
+def _hinted(ids: DataFrame) -> DataFrame:
+    """Up to FEW ids go to every task."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
