@@ -1,14 +1,56 @@
-"""A corpus pipeline of operators, each stage written and read again before the next."""
+"""A corpus pipeline of five operators, each stage written and read again before the next."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voltaspan.llm import line_dedup, ngram_join, packing, secrets, toxicity
 from voltaspan.llm.common import table, written
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: A document goes whole for toxicity, so it takes a surer score than the query's report.
+REJECT = 0.5
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores REJECT or more go; it learns from ``labels``."""
+    return toxicity.clean(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")), REJECT)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go, and documents of which nothing but white space is left.
+    ``n_chars`` follows the text."""
+    cut = line_dedup.dedup(docs)
+    rest = cut.where("n_removed = 0 or trim(coalesce(text, '')) != ''")
+    return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, at five words and a similarity of 0.8."""
+    return ngram_join.one_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; the documents stay. ``n_chars`` follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 4096 tokens, mixed from the sources."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram join", without_near_duplicates),
+    ("secret scan", without_secrets),
+    ("packing", packed),
+]
 
 #: SQL can't express a trained network, so the stages are tested against brute force instead.
 ORACLE_SQL = None
