@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltaspan.plans import relations, reports, series
+from voltaspan.plans import models, relations, reports, series
 from voltaspan.plans.base import Query
 
-CATALOG: dict[str, Query] = {**series.QUERIES, **relations.QUERIES, **reports.QUERIES}
+CATALOG: dict[str, Query] = {**series.QUERIES, **relations.QUERIES, **reports.QUERIES, **models.QUERIES}
