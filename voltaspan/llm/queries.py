@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voltaspan.llm import bpe, fingerprint, idstore, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
 from voltaspan.llm.common import shared_dir, table
+from voltaspan.llm.oracles import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _tokenizer(name: str) -> str:
@@ -74,6 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
