@@ -149,7 +149,7 @@ def plateau(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     rows = samples(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("cell").orderBy("us", "seq"))
+    n = F.row_number().over(Window.partitionBy("cell").orderBy("us", "seq")).cast("long")
     target = F.when(F.col("state") == "EIS", "EIS").when(F.col("state") == "PAU", "PAU").otherwise("CYC")
     return ladder.blocks(rows.select("cell", n.alias("proc"), target.alias("target"), "current"), ["cell"], "proc", "target", "current")
 
