@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -96,7 +97,7 @@ def ids_of(rows, name, end):
 def test_token_store(spark, rows):
     once = [r for i, r in enumerate(rows) if r[0] is not None and r[0] not in {x[0] for x in rows[:i]}]
     docs = spark.createDataFrame(once, DF).repartition(3)
-    store = f"{shared_dir(spark)}/store-test"
+    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     idstore.write(docs, store, public_tokenizers.path("byte_bpe_50k.json"), block_bytes=20000)
     want, start = [], 0
     for r, ids in zip(once, ids_of(once, "byte_bpe_50k.json", 0)):
@@ -223,12 +224,16 @@ def test_line_dedup(docs, rows, few):
     ids = [-(2**63) if r[0] is None else r[0] for r in rows]
     keys = {(i, line_dedup._key(r[1] or "")): line_dedup.hashed(r[1] or "") for i, r in zip(ids, rows)}
     first, seeds = {}, collections.defaultdict(set)
-    prints = {k: line_dedup.fingerprints(*u) for k, u in keys.items()}
     for k in sorted(keys):
-        for at, f in zip(*(x.tolist() for x in prints[k])):
-            first.setdefault(f, (*k, at))
-            if first[f] != (*k, at):
+        here = {}
+        for at, f in sorted(zip(*(x.tolist() for x in line_dedup.fingerprints(*keys[k])))):
+            if f in here:  # again in one text: against the place before
+                seeds[k].add((k, at - here[f]))
+            elif f in first:
                 seeds[k].add((first[f][:2], at - first[f][2]))
+            else:
+                first[f] = (*k, at)
+            here[f] = at
     want = []
     for i, r in zip(ids, rows):
         k = (i, line_dedup._key(r[1] or ""))
@@ -237,7 +242,7 @@ def test_line_dedup(docs, rows, few):
     out = line_dedup.dedup(docs, few=few)
     assert by_row(out, "doc_id", "text", "n_removed") == sorted(want, key=str)
     assert sum(x[2] > 0 for x in want) > 15
-    assert out.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert out.columns == [*docs.columns, "n_removed"]
 
 
 def test_line_dedup_finds_every_long_run():
@@ -318,7 +323,7 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], DF)
     path = public_tokenizers.path
     assert bpe.round_trip(empty, path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
-    store = f"{shared_dir(spark)}/store-empty"
+    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     idstore.write(empty, store, path("byte_bpe_50k.json"))
     assert idstore.checksums(spark, store).count() == 0
     assert packing.pack(empty, path("word_bpe_49k.json")).count() == 0

@@ -6,11 +6,11 @@ every line on. Of the stretches that lie in one window, the lines of at least ``
 a line on, the one of least hash is a fingerprint. Windows inside a run that two texts share are
 the same in both, so a shared run of ``sure`` words or more has a fingerprint in common.
 
-Each later place of a fingerprint is joined to its earliest place (by doc_id, then by line). The
-lines of the two documents are then compared at that distance: every stretch of equal lines there,
-extended both ways as far as they agree, is a repeated run, and is deleted from the later one if
-it has at least ``least`` words. A run may repeat itself: of a line that stands many times in a row
-the first stays.
+The first place of a fingerprint in each document is joined to that in its earliest document (by
+doc_id), and a later place in a document to the one before in it. The lines of the two are then
+compared at that distance: every stretch of equal lines there, extended both ways as far as they
+agree, is a repeated run, and is deleted from the later one if it has at least ``least`` words. A
+run may repeat itself: of a line that stands many times in a row the first stays.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ def lines(text: str) -> list[list[str]]:
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each unit (sentence or line)."""
+    """Hash and number of words (what single spaces part) of each unit (sentence or line)."""
     units = [s for line in lines(text) for s in line]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)), np.fromiter((len(s.split()) for s in units), np.int64, len(units))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)), np.fromiter((s.count(" ") + (s != "") for s in units), np.int64, len(units))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -87,6 +87,14 @@ def repeated(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, shift: i
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if total[b] - total[a] >= least]
 
 
+def firsts(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """The first place of each fingerprint, and the distances of later places to those before."""
+    order = np.lexsort((places, prints))
+    at, of = places[order], prints[order]
+    again = np.concatenate([[False], of[1:] == of[:-1]])
+    return at[~again], of[~again], set((at[1:] - at[:-1])[again[1:]].tolist())
+
+
 def without(text: str, gone: set[int]) -> str:
     """The text without those units; a line that loses all of them goes with its break."""
     out, at = [], 0
@@ -98,7 +106,7 @@ def without(text: str, gone: set[int]) -> str:
     return "\n".join(out)
 
 
-_UNITS = "id long, h long, units binary, words binary, places binary, prints binary"
+_UNITS = "id long, h long, units binary, words binary, places binary, prints binary, own array<int>"
 
 
 def _key(text: str) -> int:
@@ -107,7 +115,7 @@ def _key(text: str) -> int:
 
 def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFrame:
     """Rows id (doc_id, null as the smallest), h (hash of the text), first, end: units to delete."""
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "words", "places", "prints")])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "words", "places", "prints")] + [("own", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
@@ -117,7 +125,9 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
                     units, words = hashed(text)
                     places, prints = fingerprints(units, words, least, sure)
                     if len(places):
-                        yield doc_id, _key(text), units.tobytes(), words.astype("<i4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes()
+                        places, prints, shifts = firsts(places, prints)
+                        own = [x for shift in sorted(shifts) for run in repeated(units, words, units, shift, least) for x in run]
+                        yield doc_id, _key(text), units.tobytes(), words.astype("<i4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), own
 
         yield from flushed(rows(), schema)
 
@@ -128,21 +138,36 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
 
     def spread(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for i, h, p, f in zip(*(b.column(k) for k in range(4))):
-                at, prints = np.frombuffer(p.as_py(), "<i4"), np.frombuffer(f.as_py(), np.int64)
-                same = [pa.array(np.full(len(at), v.as_py(), np.int64)) for v in (i, h)]
-                yield pa.RecordBatch.from_arrays([pa.array(prints), *same, pa.array(at)], schema=place_schema)
+            prints = [np.frombuffer(x.as_py(), np.int64) for x in b.column(3)]
+            if prints:
+                sizes = [len(x) for x in prints]
+                keys = [pa.array(np.repeat(b.column(i).to_numpy(), sizes)) for i in (0, 1)]
+                at = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints)), *keys, pa.array(at)], schema=place_schema)
+
+    pair_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("id0", pa.int64()), ("h0", pa.int64()), ("shift", pa.int32())])
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        """Rows of a fingerprint follow each other, its earliest place first: state is that place."""
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, *rest = (b.column(i).to_numpy() for i in range(4))
+            new = np.concatenate([[last is None or of[0] != last[0]], of[1:] != of[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(of)), -1))
+            id0, h0, at0 = (np.where(first >= 0, x[first], 0 if last is None else last[i + 1]) for i, x in enumerate(rest))
+            last = (of[-1], id0[-1], h0[-1], at0[-1])
+            met = (rest[0] != id0) | (rest[1] != h0)
+            cols = [rest[0], rest[1], id0, h0, rest[2] - at0]
+            yield pa.RecordBatch.from_arrays([pa.array(c[met].astype(t)) for c, t in zip(cols, (np.int64,) * 4 + (np.int32,))], schema=pair_schema)
 
     places = table.select("id", "h", "places", "prints").mapInArrow(spread, "print long, id long, h long, at int")
-    first = places.groupBy("print").agg(F.min(F.struct("id", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("print", F.col("first.id").alias("id0"), F.col("first.h").alias("h0"), F.col("first.at").alias("at0")), "first")
-    met = places.join(first, "print").where("id != id0 or h != h0 or at != at0")
-    pairs = met.groupBy("id", "h", "id0", "h0", (F.col("at") - F.col("at0")).alias("shift")).agg(F.lit(1).alias("one")).drop("one")
-    pairs = written(pairs, "pairs")
-
-    earlier = table.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0")).dropDuplicates(["id0", "h0"])
-    wanted = pairs.select("id0", "h0").distinct()
-    earlier = written(earlier.join(wanted, ["id0", "h0"], "left_semi"), "earlier")
+    met = places.repartition("print").sortWithinPartitions("print", "id", "h", "at").mapInArrow(meet, "id long, h long, id0 long, h0 long, shift int")
+    pairs = written(met.distinct(), "pairs")
+
+    earlier = table.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0"))
+    earlier = written(earlier.join(pairs.select("id0", "h0").distinct(), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"]), "earlier")
     later = table.select("id", "h", "units", "words").join(pairs.select("id", "h").distinct(), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     later = written(later, "later")
     run_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
@@ -158,28 +183,31 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
         yield from flushed(rows(), run_schema)
 
     both = pairs.join(later, ["id", "h"]).join(earlier, ["id0", "h0"]).select("id", "h", "shift", "units", "words", "units0")
-    return written(both.mapInArrow(compare, "id long, h long, first int, end int").distinct(), "deletions")
+    found = both.mapInArrow(compare, "id long, h long, first int, end int")
+    run = F.explode(F.expr("transform(sequence(1, cast(size(own) / 2 as int)), i -> struct(element_at(own, 2 * i - 1) as first, element_at(own, 2 * i) as end))")).alias("run")
+    own = table.where("size(own) > 0").select("id", "h", run).select("id", "h", "run.first", "run.end")
+    return written(found.unionByName(own).distinct(), "deletions")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, sure: int = SURE, few: int = FEW) -> DataFrame:
-    """``docs`` with new ``text``, and n_lines, n_removed (units; a sentence of a line is one).
+    """``docs`` with new ``text``, and n_removed (units; a sentence of a line is one).
 
     Null and empty texts stay. Null ids count as the smallest. Rows equal in doc_id and text count
-    as one document and are cut alike. Other columns are kept; n_lines and n_removed are replaced
-    where they exist. An empty table gives an empty table.
+    as one document and are cut alike. Other columns are kept; a column n_removed is replaced. An
+    empty table gives an empty table.
     """
     gone = deletions(docs, least, sure)
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c != "n_removed"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("n_removed", LongType())])
     shared = None
     if gone.count() <= few:
         cut: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r in gone.toLocalIterator():
             cut.setdefault((r["id"], r["h"]), []).append((r["first"], r["end"]))
-        shared = spark.sparkContext.broadcast(cut)
+        shared = spark.sparkContext.broadcast((cut, {i for i, _ in cut}))
         rows = docs
     else:  # the text moves, to meet its deletions
         lists = gone.groupBy("id", "h").agg(F.collect_list(F.struct("first", "end")).alias("_cut"))  # bounded by the lines of a text
@@ -190,17 +218,16 @@ def dedup(docs: DataFrame, least: int = LEAST, sure: int = SURE, few: int = FEW)
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             texts, ids = b.column(at).to_pylist(), b.column(key).cast(pa.int64()).fill_null(NULL_ID).to_pylist()
-            cuts = [[(c["first"], c["end"]) for c in x] if x else None for x in b.column(b.num_columns - 1).to_pylist()] if shared is None else [shared.value.get((i, _key(t or ""))) for i, t in zip(ids, texts)]
-            counts, removed = [], []
+            cuts = [[(c["first"], c["end"]) for c in x] if x else None for x in b.column(b.num_columns - 1).to_pylist()] if shared is None else [shared.value[0].get((i, _key(t or ""))) if i in shared.value[1] else None for i, t in zip(ids, texts)]
+            removed = []
             for k, (text, found) in enumerate(zip(texts, cuts)):
-                counts.append(sum(map(len, lines(text))) if text else 0)
                 units = {u for a, e in found or () for u in range(a, e)}
                 removed.append(len(units))
                 if units:
                     texts[k] = without(text, units)
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "n_removed"])
 
     return rows.mapInArrow(run, schema)
 
