@@ -13,10 +13,9 @@ import base64
 import functools
 import hashlib
 import os
-import re
 import struct
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaspan.llm.common import flushed
+from voltaspan.llm.wordcache import SPACE, Recent, encode_spaced
 
-#: White space of Unicode; Python's own \s also has the separators U+001C to U+001F.
-SPACE = "\t-\r \x85\xa0  -     　"
-CACHED = 400_000
+CACHED = 250_000
 #: How much text is encoded at a time.
 CHARS = 8 << 20
-BOUNDARY = re.compile(r" (?=\S)")
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -98,8 +95,7 @@ class Bpe:
         self._stable: dict[int, bool] = {}
         self._edges: dict[int, list[tuple[bytes, int, int]]] = {}
         self._whole: dict[int, bool] = {}
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._chunks, self._pieces = Recent(CACHED), Recent(CACHED)
 
     def merged(self, piece: bytes) -> list[bytes]:
         """Byte pairs merged by rank, lowest first: the definition. For a few bytes at a time."""
@@ -147,7 +143,7 @@ class Bpe:
         key = left << 32 | right
         found = self._stable.get(key)
         if found is None:
-            if len(self._stable) > 2 * CACHED:
+            if len(self._stable) > 3 * CACHED:
                 self._stable.clear()
             found = self.whole(left) and self.whole(right)
             for a, rank_a, taken_a in self.edge(left, 1) if found else ():
@@ -194,54 +190,26 @@ class Bpe:
         rank = self.ranks.get(piece)
         return [rank] if rank is not None else Prefixes(self, piece).ids()
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+    def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks of text. Their new pieces are taken in byte order: what a piece has in
         common with the one before is not computed again, only appended to."""
-        splits = {c: self.split.findall(c) for c in chunks}
-        new = sorted({p.encode() for ps in splits.values() for p in ps if p not in self._pieces})
-        if len(self._pieces) + len(new) > CACHED:
-            self._pieces.clear()
-            new = sorted({p.encode() for ps in splits.values() for p in ps})
+        splits = [self.split.findall(c) for c in chunks]
+        new = {p for ps in splits for p in ps}.difference(self._pieces.young)
         found, state = {}, Prefixes(self)
-        for piece in new:
+        for piece in sorted(p.encode() for p in self._pieces.missing(new)):
             rank = self.ranks.get(piece)
             if rank is None:
                 state.edit_end(len(os.path.commonprefix((state.piece, piece))), piece)
-            found[piece.decode()] = [rank] if rank is not None else state.ids()
-        self._pieces.update((p, ids) for p, ids in found.items() if len(p) <= 64)
-        get = self._pieces.get
-        return {c: struct.pack(f"<{len(ids)}I", *ids) for c, ps in splits.items() for ids in [[i for p in ps for i in get(p) or found[p]]]}
+            ids = [rank] if rank is not None else state.ids()
+            found[piece.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+        get = self._pieces.young.get
+        out = [b"".join([get(p) or found[p] for p in ps]) for ps in splits]
+        self._pieces.learn(found)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text as little-endian unsigned 32-bit integers.
-
-        A space before a visible character always begins a match of the pattern, so texts are cut
-        there, and what stands between two cuts is looked up before it is encoded.
-        """
-        get, cut, new = self._chunks.get, [], set()
-        for text in texts:
-            parts = text.split(" ")
-            found = list(map(get, parts))
-            if None in found:
-                unknown = {p for p, ids in zip(parts, found) if ids is None}
-                if any(not p or p[0].isspace() for p in unknown):  # the space before may belong to the match before
-                    parts = BOUNDARY.split(text)
-                    unknown = {p for p in parts if p not in self._chunks}
-                new |= unknown
-            cut.append(parts)
-        heads = self.learn({parts[0] for parts in cut})
-        learnt = {c[1:]: ids for c, ids in self.learn(" " + p for p in new).items()}
-        out = []
-        for parts in cut:
-            found = list(map(get, parts))
-            if None in found:
-                found = [learnt[p] if ids is None else ids for p, ids in zip(parts, found)]
-            found[0] = heads[parts[0]]
-            out.append(b"".join(found))
-        if len(self._chunks) + len(learnt) > CACHED:
-            self._chunks.clear()
-        self._chunks.update((c, ids) for c, ids in learnt.items() if len(c) <= 64)
-        return out
+        """Ids of each whole text as little-endian unsigned 32-bit integers."""
+        return encode_spaced(texts, self._chunks, self.chunks)
 
     def encode_bytes(self, text: str) -> bytes:
         return self.encode_batch([text])[0]

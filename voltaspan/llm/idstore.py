@@ -60,7 +60,7 @@ def narrow(ids: bytes, width: int, end_id: int) -> bytes:
     return both.astype(f"<u{width}").tobytes()
 
 
-def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: int = 0, width: int = 2, block_bytes: int = 4 << 20, level: int = 3) -> None:
+def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: int = 0, width: int = 2, block_bytes: int = 4 << 20, level: int = 1) -> None:
     """Encode the whole text of every document, append ``end_id`` and write the store.
 
     A null text counts as empty. A null doc_id sorts first and is read back as null. Rows of equal
@@ -76,7 +76,10 @@ def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: i
 
     def frames(batches: Iterator[pa.RecordBatch]):
         w = word_cache(path, spaced)
-        pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_dict_id=False)
+        shared = zstandard.ZstdCompressionDict(trained) if trained else None
+        if shared:
+            shared.precompute_compress(level)  # once for all frames
+        pack = zstandard.ZstdCompressor(level=level, dict_data=shared, write_dict_id=False)
 
         def rows():
             for keys, texts in groups(batches):
