@@ -167,8 +167,8 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
     pairs = written(met.distinct(), "pairs")
 
     earlier = table.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0"))
-    earlier = written(earlier.join(pairs.select("id0", "h0").distinct(), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"]), "earlier")
-    later = table.select("id", "h", "units", "words").join(pairs.select("id", "h").distinct(), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    earlier = written(earlier.join(_few(pairs.select("id0", "h0")), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"]), "earlier")
+    later = table.select("id", "h", "units", "words").join(_few(pairs.select("id", "h")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     later = written(later, "later")
     run_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
@@ -189,6 +189,12 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
     return written(found.unionByName(own).distinct(), "deletions")
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Distinct keys of documents; up to FEW (16 bytes each) go to every task."""
+    keys = written(keys.distinct(), "keys")
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
 def dedup(docs: DataFrame, least: int = LEAST, sure: int = SURE, few: int = FEW) -> DataFrame:
     """``docs`` with new ``text``, and n_removed (units; a sentence of a line is one).
 
