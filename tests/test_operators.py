@@ -134,3 +134,12 @@ def test_look_back(spark, steps, want):
     df = spark.createDataFrame([("c", 1, 1.0, "CYC"), ("c", 2, 2.0, "PAU"), ("c", 3, 3.0, "CYC"), ("c", 4, 4.0, "PAU"), ("c", 6, 6.0, "CYC")], "cell string, proc long, v double, t string")
     out = joins.look_back(df, ["cell"], "proc", "v", "t <> 'PAU'", steps).orderBy("proc")
     assert [r["prev_v"] for r in out.collect()] == want
+
+
+def test_all_curves_are_whole(spark, tmp_path):
+    from voltaspan.plans.catalog import CATALOG
+
+    rows = [(i, [float(i + k) for k in range(11)] if i % 7 else None) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = sorted(map(tuple, CATALOG["O10_all_curves"].run(spark, str(tmp_path)).collect()))
+    assert out == [(i, k, x) for i, v in rows if v for k, x in enumerate(v)]

@@ -176,6 +176,11 @@ def curves(spark, sf_dir):
     return e.where("i < 8").select("vec_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+def all_curves(spark, sf_dir):
+    """Every component of every embedding that isn't null, as it is. ``curves`` keeps to the cut in its SQL."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
+
+
 def custom_order(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     first = F.when(F.col("c_mktsegment") == "MACHINERY", 0).when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(2)
@@ -272,6 +277,7 @@ QUERIES = {
     "O8_pivot": Query(pivoted, f"WITH {SAMPLES} SELECT cell, " + ", ".join(f"nullif(count(*) FILTER (state = '{x}'), 0) AS {x}" for x in ("PAU", "PAUO", "CHA", "DCH", "EIS")) + " FROM s GROUP BY cell"),
     "O9_unroll": Query(unrolled, f"WITH {SAMPLES}, w AS (SELECT cell, max(value) AS high, min(value) AS low, CAST(count(*) AS DOUBLE) AS n FROM s GROUP BY cell) SELECT cell, name, value FROM (UNPIVOT w ON high, low, n INTO NAME name VALUE value)"),
     "O10_curves": Query(curves, "SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(embedding[i] AS DOUBLE), 5) AS x FROM embeddings, range(1, 9) r(i) WHERE vec_id < 50"),
+    "O10_all_curves": Query(all_curves, "SELECT vec_id, CAST(i - 1 AS INT) AS i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"),
     "O1_custom_order": Query(custom_order, "SELECT c_nationkey, c_custkey, CAST(place AS INT) AS place FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE 2 END, c_acctbal NULLS LAST, c_custkey) AS place FROM customer) WHERE place <= 10"),
     "O5_union_missing": Query(union_missing, "WITH u AS (SELECT c_acctbal AS x, CAST(NULL AS VARCHAR) AS name FROM customer UNION ALL SELECT NULL, s_name FROM supplier) SELECT name IS NULL AS missing, count(*) AS n, round(sum(x), 2) AS x FROM u GROUP BY missing"),
     "S8_prefix_union": Query(prefix_union, "SELECT c_custkey AS name, CASE WHEN c_acctbal > 0 THEN 'new' ELSE 'old' END AS tag FROM customer"),
