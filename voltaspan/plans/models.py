@@ -92,6 +92,6 @@ QUERIES = {
     "M7_kmeans": Query(kmeans),
     "M6_random_forest": Query(forest),
     "SIM1_two_rc": Query(simulated),
-    "T2_streamed_days": Query(streamed_days),
+    "T2_streamed_days": Query(streamed_days, "SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"),
     "T1_appended_totals": Query(appended_totals, "SELECT user_id AS cell, round(sum(value), 3) AS total, count(*) AS n FROM events GROUP BY user_id"),
 }
