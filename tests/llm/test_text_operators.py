@@ -258,6 +258,20 @@ def test_line_dedup_finds_every_long_run():
         assert a & b
 
 
+def test_line_dedup_finds_runs_inside_sentences(spark):
+    """A shared passage of 50 words goes whole, though it begins and ends inside sentences and lines."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = some(50), []
+    for _ in range(30):
+        before, after = some(rng.randint(1, 60)), some(rng.randint(1, 60))
+        texts.append((" ".join(before), rng.choice([" ", "\n", "\t", "\u00a0"]).join(passage), " ".join(after)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(docs).collect()}
+    assert out[0] == (" ".join(texts[0]), 0)
+    assert all(out[i] == (f"{t[0]} {t[2]}", 50) for i, t in enumerate(texts) if i)
+
+
 def test_fingerprints(spark, rows):
     once = [r for i, r in enumerate(rows) if r[0] is not None and r[0] not in {x[0] for x in rows[:i]}]
     out = {r["doc_id"]: r for r in fingerprint.compare_edited(spark.createDataFrame(once, DF).repartition(4)).collect()}

@@ -1,16 +1,16 @@
-"""Line dedup by winnowing: later repeats of runs of lines go.
+"""Line dedup by winnowing: later repeats of runs of words go, wherever in a line they begin or end.
 
-A line is what stands between line breaks; a line of several sentences counts sentence by
-sentence. Each line is hashed, and so is each stretch of lines of at least ``least`` words from
-every line on. Of the stretches that lie in one window, the lines of at least ``sure`` words from
-a line on, the one of least hash is a fingerprint. Windows inside a run that two texts share are
-the same in both, so a shared run of ``sure`` words or more has a fingerprint in common.
+Words are what white space parts. Each word is hashed, and so is each stretch of ``least`` words
+from every word on. Of the stretches that lie in one window of ``sure`` words, the one of least
+hash is a fingerprint. Windows inside a run that two texts share are the same in both, so a shared
+run of ``sure`` words or more has a fingerprint in common, whatever lines or sentences it is in.
 
 The first place of a fingerprint in each document is joined to that in its earliest document (by
-doc_id), and a later place in a document to the one before in it. The lines of the two are then
-compared at that distance: every stretch of equal lines there, extended both ways as far as they
-agree, is a repeated run, and is deleted from the later one if it has at least ``least`` words. A
-run may repeat itself: of a line that stands many times in a row the first stays.
+doc_id), and a later place in a document to the one before in it. The words of the two are then
+compared at that distance: every stretch of equal words there, extended both ways as far as they
+agree, is a repeated run, and is deleted from the later one if it has at least ``least`` words. So
+of a passage that an earlier document has too, fewer than ``sure`` words in a row are left. A run
+may repeat itself: of a line that stands many times in a row the first stays.
 """
 
 from __future__ import annotations
@@ -28,21 +28,30 @@ from pyspark.sql.types import LongType, StructField, StructType
 from voltaspan.llm.common import NULL_ID, flushed, written
 
 LEAST, SURE = 24, 40
-_SENTENCE = re.compile(r"(?<=[.!?]) ")
+_WORD = re.compile(r"\S+")
+_CACHED = 250_000
 _BASE = 0x9E3779B97F4A7C15
 #: Deletions up to this many (24 bytes each) go to every task; more are joined by a shuffle.
 FEW = 500_000
 
 
-def lines(text: str) -> list[list[str]]:
-    """The sentences of each line."""
-    return [_SENTENCE.split(line) for line in text.split("\n")]
+class _Hashes(dict):
+    """Hashes of words met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_HASHES = _Hashes()
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words (what single spaces part) of each unit (sentence or line)."""
-    units = [s for line in lines(text) for s in line]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units)), np.fromiter((s.count(" ") + (s != "") for s in units), np.int64, len(units))
+    """Hash and number of words (one) of each unit: each word."""
+    units = text.split()
+    return np.fromiter(map(_HASHES.__getitem__, units), np.uint64, len(units)), np.ones(len(units), np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -51,33 +60,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(units: np.ndarray, words: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray]:
-    """Places (first unit) and hashes of the fingerprints of a text."""
+    """Places (first word) and hashes of the fingerprints of a text; every unit is one word."""
     n = len(units)
-    none = np.empty(0, np.int64), np.empty(0, np.uint64)
-    total = np.concatenate([[0], np.cumsum(words)])
-    starts = np.searchsorted(total, total[-1] - least, "right")
-    starts = np.arange(min(starts, n))
-    if not len(starts) or total[-1] < sure:
-        return none
-    ends = np.searchsorted(total, total[starts] + least, "left")
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
-    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 2**64), np.uint64)]))
+    if n < sure:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    power, inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
     summed = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(units) * power[:n], dtype=np.uint64)])
-    stretch = _mixed((summed[ends] - summed[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    begins = np.flatnonzero(total[-1] - total[: len(starts)] >= sure)
-    until = np.searchsorted(total, total[begins] + sure, "left")
-    last = np.searchsorted(ends, until, "right") - 1  # the last stretch that lies in the window
-    best, at = stretch[begins].copy(), begins.copy()
-    for step in range(1, int((last - begins).max(initial=0)) + 1):
-        here = np.minimum(begins + step, len(starts) - 1)
-        less = (begins + step <= last) & (stretch[here] < best)
-        best[less], at[less] = stretch[here][less], here[less]
-    at = np.unique(at)
+    stretch = _mixed((summed[least:] - summed[:-least]) * inverse[: n - least + 1])
+    # the first of least hash among ``wide`` stretches from each on: from halves that overlap
+    wide, have = sure - least + 1, 1
+    best, at = stretch, np.arange(len(stretch), dtype=np.int32)
+    while have < wide:
+        step = min(have, wide - have)
+        less = best[step:] < best[:-step]
+        best, at = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
+        have += step
+    at = np.unique(at).astype(np.int64)
     return at, stretch[at]
 
 
 def repeated(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, shift: int, least: int = LEAST) -> list[tuple[int, int]]:
-    """Runs (first unit, end) of the later text that equal the earlier one ``shift`` units before."""
+    """Runs (first word, end) of the later text that equal the earlier one ``shift`` words before."""
     low, high = max(0, shift), min(len(later), len(earlier) + shift)
     if high <= low:
         return []
@@ -96,17 +99,26 @@ def firsts(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def without(text: str, gone: set[int]) -> str:
-    """The text without those units; a line that loses all of them goes with its break."""
-    out, at = [], 0
-    for line in lines(text):
-        kept = [s for i, s in enumerate(line, at) if i not in gone]
-        if kept:
-            out.append(" ".join(kept))
-        at += len(line)
-    return "\n".join(out)
-
-
-_UNITS = "id long, h long, units binary, words binary, places binary, prints binary, own array<int>"
+    """The text without those words. Where some go, of the white space at both ends one line break
+    (or blank) stays, and none at the ends of the text; all other white space stays as it is."""
+    out, end, cut, gap = [], 0, False, ""
+    for i, word in enumerate(_WORD.finditer(text)):
+        between = text[end : word.start()]
+        if i in gone:
+            gap = gap if cut else between
+            cut = True
+        else:
+            if cut:
+                between = "" if not out else gap if "\n" in gap else between if "\n" in between else " "
+            out += between, word.group()
+            cut = False
+        end = word.end()
+    if not cut:
+        out.append(text[end:])
+    return "".join(out)
+
+
+_UNITS = "id long, h long, units binary, places binary, prints binary, own array<int>"
 
 
 def _key(text: str) -> int:
@@ -114,8 +126,11 @@ def _key(text: str) -> int:
 
 
 def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFrame:
-    """Rows id (doc_id, null as the smallest), h (hash of the text), first, end: units to delete."""
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "words", "places", "prints")] + [("own", pa.list_(pa.int32()))])
+    """Rows id (doc_id, null as the smallest), h (hash of the text), first, end: words to delete.
+
+    What is compared are the low 32 bits of the words' hashes.
+    """
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "places", "prints")] + [("own", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
@@ -127,7 +142,7 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
                     if len(places):
                         places, prints, shifts = firsts(places, prints)
                         own = [x for shift in sorted(shifts) for run in repeated(units, words, units, shift, least) for x in run]
-                        yield doc_id, _key(text), units.tobytes(), words.astype("<i4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), own
+                        yield doc_id, _key(text), units.astype("<u4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), own
 
         yield from flushed(rows(), schema)
 
@@ -168,21 +183,21 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
 
     earlier = table.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0"))
     earlier = written(earlier.join(_few(pairs.select("id0", "h0")), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"]), "earlier")
-    later = table.select("id", "h", "units", "words").join(_few(pairs.select("id", "h")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    later = table.select("id", "h", "units").join(_few(pairs.select("id", "h")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     later = written(later, "later")
     run_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
     def compare(batches: Iterator[pa.RecordBatch]):
         def rows():
             for b in batches:
-                for i, h, shift, x, w, y in zip(*(b.column(k).to_pylist() for k in range(3)), *(b.column(k) for k in range(3, 6))):
-                    units, words, units0 = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(w.as_py(), "<i4"), np.frombuffer(y.as_py(), np.uint64)
-                    for a, e in repeated(units, words, units0, shift, least):
+                for i, h, shift, x, y in zip(*(b.column(k).to_pylist() for k in range(3)), *(b.column(k) for k in (3, 4))):
+                    units, units0 = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                    for a, e in repeated(units, np.ones(len(units), np.int64), units0, shift, least):
                         yield i, h, a, e
 
         yield from flushed(rows(), run_schema)
 
-    both = pairs.join(later, ["id", "h"]).join(earlier, ["id0", "h0"]).select("id", "h", "shift", "units", "words", "units0")
+    both = pairs.join(later, ["id", "h"]).join(earlier, ["id0", "h0"]).select("id", "h", "shift", "units", "units0")
     found = both.mapInArrow(compare, "id long, h long, first int, end int")
     run = F.explode(F.expr("transform(sequence(1, cast(size(own) / 2 as int)), i -> struct(element_at(own, 2 * i - 1) as first, element_at(own, 2 * i) as end))")).alias("run")
     own = table.where("size(own) > 0").select("id", "h", run).select("id", "h", "run.first", "run.end")
@@ -196,7 +211,7 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, least: int = LEAST, sure: int = SURE, few: int = FEW) -> DataFrame:
-    """``docs`` with new ``text``, and n_removed (units; a sentence of a line is one).
+    """``docs`` with new ``text``, and n_removed (words).
 
     Null and empty texts stay. Null ids count as the smallest. Rows equal in doc_id and text count
     as one document and are cut alike. Other columns are kept; a column n_removed is replaced. An
@@ -216,7 +231,7 @@ def dedup(docs: DataFrame, least: int = LEAST, sure: int = SURE, few: int = FEW)
         shared = spark.sparkContext.broadcast((cut, {i for i, _ in cut}))
         rows = docs
     else:  # the text moves, to meet its deletions
-        lists = gone.groupBy("id", "h").agg(F.collect_list(F.struct("first", "end")).alias("_cut"))  # bounded by the lines of a text
+        lists = gone.groupBy("id", "h").agg(F.collect_list(F.struct("first", "end")).alias("_cut"))  # bounded by the words of a text
         keyed = docs.mapInArrow(_with_key(at), StructType([*docs.schema.fields, StructField("_h", LongType())]))
         known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
         rows = keyed.join(written(lists, "cuts"), (known == F.col("id")) & (F.col("_h") == F.col("h")), "left").select(*docs.columns, "_cut")
