@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from voltaspan.llm import line_dedup, ngram_join, packing, secrets, toxicity
 from voltaspan.llm.common import table, written
 
-#: A document goes whole for toxicity, so it takes a surer score than the query's report.
-REJECT = 0.5
+#: What op9 predicts as toxic goes.
+REJECT = toxicity.THRESHOLD
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can't express a trained network, so the stages are tested against brute force instead.
+#: SQL can't express a trained network, so tests hold the toxicity stage against op9's scores and run the others on made texts.
 ORACLE_SQL = None
 
 

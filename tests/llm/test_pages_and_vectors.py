@@ -94,3 +94,26 @@ def test_pipeline(spark):
     rows = docs.collect()
     assert sum("Shared passage" in r["text"] for r in rows) == 1
     assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() > 0
+
+
+def test_pipeline_rejects_what_op9_predicts(spark, monkeypatch):
+    import corpus_pipeline
+    from voltaspan.llm import toxicity
+    from voltaspan.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    scored = toxicity.query(docs, table(spark, sf, "labels")).collect()
+    kept = corpus_pipeline.without_toxic(spark, docs, sf).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r["doc_id"] for r in scored if not r["predicted"])
+    assert any(r["predicted"] for r in scored)
+    net = toxicity.Network()
+    net.calibration = np.array([0.0, 0.0, 0.0, np.log(0.4 / 0.6)])  # 0.4 for every text
+    monkeypatch.setattr(toxicity, "fitted", lambda *a: net)
+    assert corpus_pipeline.without_toxic(spark, docs.limit(20), sf).count() == 0
+
+
+def test_pipeline_runs_whole(spark):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
