@@ -63,6 +63,16 @@ def test_many_skeletons_align(spark, monkeypatch):
     assert not any("Always" in r["text"] for r in out) and all(f"text {r['page_id']}" in r["text"] for r in out)
 
 
+def test_wrapper_of_a_host_with_two_kinds_of_pages(spark):
+    """What all pages of one kind carry is template, though that kind is under half of the host."""
+    rows = []
+    for i in range(20):
+        notice = "<blockquote>Notice of this kind</blockquote>" if i < 9 else ""
+        rows.append((i, "http://two.example/", f"<html><body><article><p>text {i}</p>{notice}</article></body></html>"))
+    out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"text {i}" for i in range(20)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.standard_normal(16) * rng.choice([0.2, 1, 3])).tolist()) for i in range(700)]

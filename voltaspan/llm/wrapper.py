@@ -428,8 +428,8 @@ def _slots(skeletons: DataFrame) -> DataFrame:
 
 def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> DataFrame:
     """Rows host, skeleton, node, text (hash): what fills that node of pages of that skeleton and
-    is template: it fills the node's slot in at least ``share`` of the host's pages, and ``least``
-    of them. Pages of equal content count once."""
+    is template: it fills the node's slot in at least ``share`` of the host's pages that have that
+    slot, and ``least`` of them. Pages of equal content count once."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
@@ -450,7 +450,9 @@ def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> DataFrame:
     filled = seen.select("host", "skeleton", F.explode(F.arrays_zip(F.col("slots").alias("node"), F.col("texts").alias("text"))).alias("x")).select("host", "skeleton", "x.node", "x.text")
     by_node = filled.groupBy("host", "skeleton", "node", "text").agg(F.count("*").alias("n"))
     by_node = written(by_node.join(slots, ["host", "skeleton", "node"]), "filled")
-    by_slot = by_node.groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).join(sizes, "host")
+    having = slots.select("host", "skeleton", "slot").distinct().join(skeletons.select("host", "skeleton", F.col("n").alias("pages")), ["host", "skeleton"])
+    having = having.groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
+    by_slot = by_node.groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).join(having, ["host", "slot"])
     constant = by_slot.where((F.col("n") >= F.lit(share) * F.col("pages")) & (F.col("n") >= least)).select("host", "slot", "text")
     return by_node.join(constant, ["host", "slot", "text"], "left_semi").select("host", "skeleton", "node", "text")
 
