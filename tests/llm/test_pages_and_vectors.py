@@ -90,6 +90,20 @@ def test_topk(spark):
     assert topk.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_of_empty_and_huge_vectors(spark):
+    """Empty vectors score 0 with each other; scores beyond a long rank as they are and are given as the nearest long."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 90)]
+    rows += [(0, []), (100, []), (101, []), (150, [1e30, -1e30, 1.0, 0.0]), (151, [1e30, 1e30, 3.0, 0.0]), (152, [2e30, 0.0, 0.0, 1.0]), (153, [3e38] * 4), (154, [-3e38] * 4), (200, [3e38, 0.0, 0.0, 0.0])]
+    out = topk.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<float>"), df.where("vec_id % 50 = 0"))
+    whole = {i: [int(256 * int(x)) if abs(x) > 2**40 else int(np.floor(256 * float(x))) for x in np.array(v, np.float32).tolist()] for i, v in rows}
+    want = []
+    for q in [i for i in whole if i % 50 == 0]:
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        want += [(q, rank, i, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted(tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
