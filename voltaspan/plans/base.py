@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Gaps longer than so many median intervals carry no charge.
@@ -22,6 +22,13 @@ class Query:
     sql: str | None = None
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """To so many decimals, halves away from zero, by the double itself: Spark's own ``round`` goes
+    by its shortest decimal form, which makes ties of numbers that are just under one."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows cell, seq, us, value, kind, current, state, procedure, week."""
     kind, value = F.col("event_type"), F.col("value")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import features, joins, segment
-from voltaspan.plans.base import SAMPLES, Query, samples, table
+from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
 from voltaspan.plans.series import BM, PROCEDURES, segmented
 
 TOLERANCE = 600 * 60_000_000
@@ -16,7 +16,7 @@ FEATURES = ["voltage_mean", "voltage_std", "voltage_max", "voltage_min", "voltag
 
 def segment_features(spark, sf_dir):
     found = features.segment_features(samples(spark, sf_dir), ["cell", "week"], ["us", "seq"], "current", "value", 100.0, 0.0, 500.0)
-    return found.select("cell", "week", *[F.round(c, 5).alias(c) for c in FEATURES])
+    return found.select("cell", "week", *[rounded(c, 5).alias(c) for c in FEATURES])
 
 
 def look_back(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import fleet, impedance, ladder, segment
-from voltaspan.plans.base import SAMPLES, Query, samples, table
+from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
 from voltaspan.plans.series import BM
 
 
@@ -106,7 +106,7 @@ def spectra(spark, sf_dir):
 
 
 def reduced_spectrum(spark, sf_dir):
-    return spectra(spark, sf_dir).select("eis", "f", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+    return spectra(spark, sf_dir).select("eis", "f", rounded("re", 6).alias("re"), rounded("im", 6).alias("im"))
 
 
 def spectrum_meta(spark, sf_dir):
@@ -115,7 +115,7 @@ def spectrum_meta(spark, sf_dir):
 
 def fit_free(spark, sf_dir):
     found = impedance.fit_free(spectra(spark, sf_dir), ["eis"], "f", "re", "im")
-    return found.select("eis", "n", *[F.round(c, 4).alias(c) for c in ("r_cross", "f_cross", "r_tot", "r_pol", "arc_peak", "f_peak")])
+    return found.select("eis", "n", *[rounded(c, 4).alias(c) for c in ("r_cross", "f_cross", "r_tot", "r_pol", "arc_peak", "f_peak")])
 
 
 def rough(spark, sf_dir):
