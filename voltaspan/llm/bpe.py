@@ -28,7 +28,7 @@ from voltaspan.llm.wordcache import SPACE, Recent, encode_spaced
 
 CACHED = 250_000
 #: How much text is encoded at a time.
-CHARS = 8 << 20
+CHARS = 1 << 20
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -231,8 +231,8 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens",
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and whole texts (null: empty), some millions of characters at a time.
+def groups(batches: Iterator[pa.RecordBatch], chars: int = CHARS) -> Iterator[tuple[list, list[str]]]:
+    """Ids and whole texts (null: empty), ``chars`` characters or one text at a time.
 
     The text is the last column; with several before it, their tuples stand for the id.
     """
@@ -244,7 +244,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             ids.append(doc_id)
             texts.append(text.as_py() or "")
             size += len(texts[-1])
-            if size >= CHARS:
+            if size >= chars:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +18,35 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Bytes of a batch that Spark hands to Python: texts are long, and the JVM's buffers for them, twice
+#: as large while they grow, are never given back.
+BATCH = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches to BATCH, unless they are smaller already."""
+    now = spark.conf.get(_BATCH_KEY, "64m")
+    size = int(re.match("[0-9]+", now)[0]) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("bB")[-1:].lower(), 1)
+    if size > BATCH:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary folder becomes it.
+    Only where the session has none and runs on one machine (tests) a temporary folder becomes it.
     """
+    small_batches(spark)
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,6 +63,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` wrote and that nothing needs any more: what was computed from
+    them has been written itself. Other frames are left alone."""
+    for df in frames:
+        found = {m[0] for f in df.inputFiles()[:1] if (m := re.match(r".*/[a-z-]+-[0-9a-f]{32}(?=/)", f))}
+        spark = df.sparkSession
+        for path in found:
+            if path.split(":")[-1].lstrip("/").startswith(shared_dir(spark).split(":")[-1].lstrip("/")):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: What a worker process keeps from task to task; each entry forgets its own.
+KEPT: list = []
+
+
+def lean() -> None:
+    """Called where a task of an operator begins that keeps nothing from task to task: what the
+    worker still holds of other operators goes, and free memory back to the system."""
+    for forget in KEPT:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,8 +121,6 @@ def ranges(df: DataFrame, rows_each: int = 16384, most: int = 4096) -> int:
 
 def flushed(rows: Iterator[tuple], schema, every: int = 4096, nbytes: int = 16 << 20):
     """Record batches of ``schema`` from tuples, cut at so many rows or about so many bytes."""
-    import pyarrow as pa
-
     held: list[tuple] = []
     size = 0
 

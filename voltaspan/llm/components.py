@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaspan.llm.common import written
+from voltaspan.llm.common import released, written
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
+def _stars(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """One round. Each node hands its least neighbour to its larger neighbours (large star) or to
     its smaller ones and itself (small star). Least ones come from a partial aggregation and a
     join that Spark can split, so no node's neighbours meet in one task."""
@@ -22,7 +22,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v").distinct(), least
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -43,5 +43,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             leaves = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
             return leaves.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = now
-        state = written(_stars(_stars(state, small=False), small=True), "edges")
+        large, of_large = _stars(state, small=False)
+        small, of_small = _stars(large, small=True)
+        before, state = state, written(small, "edges")
+        released(before, of_large, of_small)
     raise RuntimeError(f"no end after {rounds} rounds")

@@ -25,16 +25,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaspan.llm.bpe import groups
-from voltaspan.llm.common import NULL_ID, flushed, written
+from voltaspan.llm.common import flushed, lean, NULL_ID, released, written
 from voltaspan.llm.components import components
 
 BITS = 2048
-_WORDS = 500_000
+#: Sets of so many documents are dealt at a time; keys that several of them share are met there.
+CHUNK = 2048
+#: And no more than so many characters of them.
+CHARS = 4 << 20
 #: At most so many members to a side of a block of a full comparison.
 BLOCK = 128
 #: Ids up to this many (8 MB) go to every task; more are joined by a shuffle.
@@ -48,46 +52,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for those seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-@functools.cache
-def _words() -> _Words:
-    return _Words()
-
-
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-word shingles of a whole text; A-Z count as a-z and
-    words stand between ASCII white space. With fewer words the whole sequence is one shingle;
-    without words there is none. Two texts' sets are taken as equal where all hashes are."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    m = min(n, len(words))
-    out = np.full(len(words) - m + 1, m, np.uint64)
+def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """For each whole text the sorted 64-bit hashes of its distinct n-word shingles; A-Z count as
+    a-z and words stand between ASCII white space. With fewer words the whole sequence is one
+    shingle; without words there is none. Two texts' sets are taken as equal where all hashes are.
+    Each distinct word of the texts is hashed once, and nothing is kept between calls."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    there = np.fromiter(map(bool, words), bool, len(words))[at]  # white space at the ends leaves empty words
+    ends = np.concatenate([[0], np.cumsum(there)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    h = hashes[at[there]]
+    return [_shingled(h[i:j], n) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _shingled(h: np.ndarray, n: int) -> np.ndarray:
+    if not len(h):
+        return h
+    m = min(n, len(h))
+    out = np.full(len(h) - m + 1, m, np.uint64)
     for i in range(m):
         out = mixed(out + h[i : len(h) - m + i + 1])
     return np.unique(out)
 
 
+def shingles(text: str, n: int) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets([text], n)[0]
+
+
 def set_id(hashes: np.ndarray) -> int:
     """Signed 64-bit id of a set."""
     return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "little", signed=True)
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits, each the parity of the elements that hash to it: sets that differ in d elements
-    have bitmaps that differ in at most d bits."""
-    at = (mixed(hashes + np.uint64(1)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).view(np.uint64)
+    """Bits, each the parity of the elements that hash to it: sets that differ in d elements have
+    bitmaps that differ in at most d bits. There are BITS of them, doubled until they are as many
+    as the elements, so that the bound tells something of large sets too."""
+    bits = BITS << max(0, (len(hashes) - 1) // BITS).bit_length()
+    at = (mixed(hashes + np.uint64(1)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one in a row) as those of fewer bits, ``words`` times 64."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 @dataclass(frozen=True)
@@ -153,43 +167,78 @@ class Likeness:
         return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64())])
-STARS = "key long, pivot long, node long, doc_id long, size long"
+MET = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("more", pa.binary())])
+STARS = pa.schema([(c, pa.int64()) for c in ("key", "pivot", "node", "doc_id", "size")] + [("bits", pa.binary())])
+_DOC = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("size", "<i8")])  # and the bitmap
+_STAR = np.dtype([("key", "<i8"), ("pivot", "<i8")])
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each record of an array as one binary value."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
 
 
 def _meetings(docs: DataFrame, n: int, like: Likeness) -> DataFrame:
-    """One table of two kinds of rows. Documents: doc_id, size, node (their set). Meetings: the
-    rows of every bucket of several nodes but its least one, with that as ``pivot``."""
+    """One table of two kinds of rows. Documents: doc_id, size, node (their set), bits (its
+    bitmap). Meetings, rows key, pivot, node: every member of a bucket of several nodes but its
+    least one, with a lesser member as ``pivot``; all of a bucket hang together by them.
+
+    Members of a bucket that a task deals together meet there, and only the least of them goes on,
+    so that a bucket of a third of all documents brings few rows to the task of its key.
+    """
+
+    def dealt(nodes: np.ndarray, keys: list[np.ndarray]):
+        key, node = np.concatenate(keys), np.repeat(nodes, [len(k) for k in keys])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        pivot = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new]), pa.nulls(int(new.sum()), pa.binary())], schema=MET)
+        met = ~new & (node != pivot)
+        if met.any():
+            rows = np.empty(int(met.sum()), _STAR)
+            rows["key"], rows["pivot"] = key[met], pivot[met]
+            anywhere = mixed((key[met] ^ node[met]).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(node[met]), _binary(rows)], schema=MET)
 
     def buckets(batches: Iterator[pa.RecordBatch]):
+        lean()
         seen: set[int] = set()
-        for ids, texts in groups(batches):
-            sets = [shingles(t, n) for t in texts]
-            nodes = [set_id(s) for s in sets]
-            spread = mixed(np.array(nodes, np.int64).view(np.uint64)).view(np.int64)  # documents go anywhere
-            cols = [pa.array(spread), pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, schema=MET)
-            new = [(x, s) for x, s in dict(zip(nodes, sets)).items() if x not in seen]
-            seen.update(x for x, _ in new)
-            for i in range(0, len(new), 256):
-                keys = [like.buckets(s) for _, s in new[i : i + 256]]
-                key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                node = np.repeat(np.array([x for x, _ in new[i : i + 256]], np.int64), [len(k) for k in keys])
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), none, none], schema=MET)
+        for all_ids, all_texts in groups(batches, CHARS):
+            for i in range(0, len(all_ids), CHUNK):
+                ids, sets = all_ids[i : i + CHUNK], shingle_sets(all_texts[i : i + CHUNK], n)
+                nodes = np.fromiter(map(set_id, sets), np.int64, len(sets))
+                rows = np.zeros(len(sets), _DOC)
+                rows["null"] = [x is None for x in ids]
+                rows["doc_id"] = [x or 0 for x in ids]
+                rows["size"] = [len(s) for s in sets]
+                more = pa.array([row.tobytes() + bitmap(s).tobytes() for row, s in zip(rows, sets)], pa.binary())
+                anywhere = mixed(nodes.view(np.uint64) + np.arange(len(nodes), dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(nodes), more], schema=MET)
+                new = {x: s for x, s in zip(nodes.tolist(), sets) if len(s) and x not in seen}
+                if len(seen) > FEW:  # copies met again only cost time
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    yield from dealt(np.fromiter(new, np.int64, len(new)), [like.buckets(s) for s in new.values()])
 
     def stars(batches: Iterator[pa.RecordBatch]):
         last_key, pivot, last_node = None, None, None
-        names = [c.split()[0] for c in STARS.split(", ")]
         for b in batches:
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            docs = b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            own = pa.array(docs)
-            size = int(docs.sum())
-            if size:
-                none = pa.nulls(size, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, b.column(1).filter(own), b.column(2).filter(own), b.column(3).filter(own)], names=names)
-            key, node = key[~docs], node[~docs]
+            more = b.column(2)
+            sizes = pc.fill_null(pc.binary_length(more), 0).to_numpy(zero_copy_only=False)
+            if (own := sizes > _STAR.itemsize).any():
+                data = more.filter(pa.array(own)).to_pylist()
+                rows = np.frombuffer(b"".join(x[: _DOC.itemsize] for x in data), _DOC)
+                none = pa.nulls(len(rows), pa.int64())
+                ids = pa.array(rows["doc_id"], mask=rows["null"] > 0)
+                bits = pa.array([x[_DOC.itemsize :] for x in data], pa.binary())
+                yield pa.RecordBatch.from_arrays([none, none, b.column(1).filter(pa.array(own)), ids, pa.array(rows["size"]), bits], schema=STARS)
+            if (met := sizes == _STAR.itemsize).any():
+                rows = np.frombuffer(b"".join(more.filter(pa.array(met)).to_pylist()), _STAR)
+                yield _stars(rows["key"], rows["pivot"], b.column(1).filter(pa.array(met)).to_numpy())
+            key, node = b.column(0).to_numpy()[sizes == 0], b.column(1).to_numpy()[sizes == 0]
             if not len(key):
                 continue
             first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
@@ -200,12 +249,15 @@ def _meetings(docs: DataFrame, n: int, like: Likeness) -> DataFrame:
             met = ~first & (node != before) & (node != pivots)
             last_key, pivot, last_node = int(key[-1]), int(pivots[-1]), int(node[-1])
             if met.any():
-                none = pa.nulls(int(met.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(pivots[met]), pa.array(node[met]), none, none], names=names)
+                yield _stars(key[met], pivots[met], node[met])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(buckets, "key long, node long, doc_id long, size long")
-    met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(stars, STARS)
-    return written(met, "meetings")
+    def _stars(key, pivot, node):
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(pivot), pa.array(node), none, none, pa.nulls(len(key), pa.binary())], schema=STARS)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(buckets, "key long, node long, more binary")
+    met = rows.repartition("key").sortWithinPartitions("key", "node")
+    return written(met.mapInArrow(stars, "key long, pivot long, node long, doc_id long, size long, bits binary"), "meetings")
 
 
 SETS = "node long, hashes binary"
@@ -214,53 +266,38 @@ SETS = "node long, hashes binary"
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """Rows node, hashes of the wanted nodes (rows node, doc_id), from one document each.
 
-    Ids of up to FEW documents go to every task; more are met by a join.
+    Ids of up to FEW documents go to every task; more are met by a join. Texts of other documents
+    don't reach Python.
     """
-    spark = docs.sparkSession
     wanted = written(wanted, "wanted")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    texts = texts.join(_hinted(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
-    if wanted.count() <= FEW:
-        ids = np.array(sorted({r[0] for r in wanted.select("doc_id").toLocalIterator()}), np.int64)
-        few = spark.sparkContext.broadcast(ids)
-    else:
-        few = None
-        texts = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
-            for b in batches:
-                if few is not None:
-                    b = b.filter(pa.array(np.isin(b.column(0).to_numpy(), few.value)))
-                for text in b.column(1):
-                    s = shingles(text.as_py() or "", n)
-                    yield set_id(s), s.tobytes()
+            for _, found in groups(batches, CHARS):
+                for i in range(0, len(found), CHUNK):
+                    for s in shingle_sets(found[i : i + CHUNK], n):
+                        yield set_id(s), s.tobytes()
 
         yield from flushed(rows(), schema)
 
     found = texts.mapInArrow(run, SETS)
     found = found.join(wanted.select("node"), "node", "left_semi")
-    return written(found.dropDuplicates(["node"]), "sets")
+    sets = written(found.dropDuplicates(["node"]), "sets")
+    released(wanted)
+    return sets
 
 
-def _maps(sets: DataFrame) -> DataFrame:
-    """Rows node, size, bits of the sets: what the bound needs, a few hundred bytes each."""
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        def rows():
-            for b in batches:
-                for node, data in zip(b.column(0).to_pylist(), b.column(1)):
-                    hashes = np.frombuffer(data.as_py(), np.uint64)
-                    yield node, len(hashes), bitmap(hashes).tobytes()
-
-        yield from flushed(rows(), schema)
-
-    return written(sets.mapInArrow(run, "node long, size long, bits binary"), "maps")
-
-
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ, at the size of the smaller one."""
+    sizes, out = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(a, b)]), np.zeros(len(a), np.int64)
+    for m, n in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == n))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (a, b))
+        out[at] = np.bitwise_count(folded(x, min(m, n)) ^ folded(y, min(m, n))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
@@ -272,15 +309,17 @@ def _bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
         for x in batches:
             if x.num_rows:
                 total = x.column(2).to_numpy() + x.column(3).to_numpy()
-                apart = np.bitwise_count(_bits(x.column(4)) ^ _bits(x.column(5))).sum(axis=1, dtype=np.int64)
+                apart = _apart(x.column(4).to_pylist(), x.column(5).to_pylist())
                 keep = (total - apart) // 2 >= like.least_overlap(total)
                 yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(keep)) for i in range(2)], names=["u", "v"])
 
     return pairs.join(v, "v").join(u, "u").select("u", "v", "m", "n", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
-    """Those of the pairs u, v (nodes) that link: by the bound on the overlap, then exactly."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs u, v (nodes) that link exactly, and the sets. Only theirs are made and moved."""
+    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = _sets(docs, nodes.join(used, "node", "left_semi"), n)
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -289,13 +328,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, maps: DataFrame, like: Likeness
         def rows():
             for x in batches:
                 for u, v, s, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2), x.column(3)):
-                    if like.linked(np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)):
+                    if like.linked(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)):
                         yield u, v
 
         yield from flushed(rows(), schema)
 
-    left = written(_bounded(pairs, maps, like), "bounded")
-    return left.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), sets
 
 
 def _block_pairs(like: Likeness):
@@ -304,7 +342,9 @@ def _block_pairs(like: Likeness):
     def run(table: pa.Table) -> pa.Table:
         x = table.combine_chunks().sort_by("node")
         node, comp, size = (x.column(c).to_numpy() for c in ("node", "comp", "size"))
-        bits = _bits(x.column("bits"))
+        maps = [np.frombuffer(m, np.uint64) for m in x.column("bits").to_pylist()]
+        least = min(map(len, maps))
+        bits = np.stack([folded(m, least) for m in maps])
         found = []
         for i in range(len(node)):
             apart = np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1, dtype=np.int64)
@@ -325,44 +365,50 @@ def _labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> Dat
 
 def _links(docs: DataFrame, met: DataFrame, nodes: DataFrame, n: int, like: Likeness) -> DataFrame:
     """Edges u, v between nodes whose components are those of all links."""
-    spark = docs.sparkSession
     stars = met.where("key is not null").select("key", "pivot", "node")
     first = stars.groupBy("node").agg(F.min("pivot").alias("pivot"))
     first = written(first.select(F.col("pivot").alias("u"), F.col("node").alias("v")), "pairs")
-    met_nodes = first.select(F.col("v").alias("node")).unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
-    sets = _sets(docs, nodes.join(met_nodes, "node", "left_semi"), n)
-    maps = _maps(sets)
-    links = written(_verified(first, sets, maps, like), "links")
+    used = first.select(F.col("v").alias("node")).unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
+    of = met.where("size > 0").select("node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "size", "bits")
+    maps = of.join(nodes.join(used, "node", "left_semi"), ["node", "doc_id"]).select("node", "size", "bits")
+    maps = written(maps.dropDuplicates(["node"]), "maps")
+
+    def proved(pairs: DataFrame) -> DataFrame:
+        left = written(pairs, "bounded")
+        found, sets = _verified(left, docs, nodes, n, like)
+        links = written(found, "links")
+        released(left, sets)
+        return links
+
+    links = proved(_bounded(first, maps, like))
     labels = written(components(links), "labels")
 
     # pairs with a bucket's least member that are still apart
     apart = _labelled(_labelled(stars, "pivot", labels, "of_pivot"), "node", labels, "of_node").where("of_pivot != of_node")
     second = apart.select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     second = written(second.join(first, ["u", "v"], "left_anti"), "pairs")
-    more = written(_verified(second, sets, maps, like), "links")
+    more = proved(_bounded(second, maps, like))
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = written(components(links), "labels")
 
     # buckets of three or more that still hold several components
-    split = written(_labelled(_labelled(stars, "pivot", labels, "of_pivot"), "node", labels, "comp"), "buckets")
+    members = stars.select("key", "node").unionByName(stars.select("key", F.col("pivot").alias("node"))).distinct()
+    split = written(_labelled(members, "node", labels, "comp"), "buckets")
     mark = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
-    several = split.groupBy("key", "pivot", "of_pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), mark)
-    several = several.where("m > 1 and (low != of_pivot or high != of_pivot)")
+    several = split.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("node").alias("least"), mark)
+    several = several.where("m > 2 and low != high")
     # buckets of the same members are compared once
-    once = written(several.groupBy("pivot", "m", "mark").agg(F.min("key").alias("key")).select("key", "m"), "split")
+    once = written(several.groupBy("least", "m", "mark").agg(F.min("key").alias("key")).select("key", "m"), "split")
     if not once.limit(1).count():
         return links
-    rows = split.join(once, "key").select("key", "m", "node", "comp")
-    pivots = split.join(once, "key").select("key", "m", F.col("pivot").alias("node"), F.col("of_pivot").alias("comp")).distinct()
-    members = rows.unionByName(pivots)
-    sides = F.ceil((F.col("m") + 1) / BLOCK).cast("int")
+    members = split.join(once, "key").select("key", "m", "node", "comp")
+    sides = F.ceil(F.col("m") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("node"), sides).cast("int")
     members = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     members = members.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp")
     near = members.join(maps, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(like), "u long, v long")
-    third = written(near.distinct().join(second.unionByName(first), ["u", "v"], "left_anti"), "pairs")
-    return links.unionByName(written(_verified(third, sets, maps, like), "links"))
+    return links.unionByName(proved(near.distinct().join(second.unionByName(first), ["u", "v"], "left_anti")))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -380,7 +426,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     rows = met.where("size is not null").select("doc_id", "size", "node", key.alias("id"))
     nodes = written(rows.where("size > 0").groupBy("node").agg(F.min("id").alias("doc_id")), "nodes")
     labels = components(_links(docs, met, nodes, n, like))
-    joined = written(nodes.join(labels, "node"), "joined")
+    joined = written(nodes.join(labels, "node"), "joined")  # the smallest id of a node, and its component
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
     in_groups = joined.join(written(least, "least"), "component").select("node", "least")
     copies = nodes.join(in_groups, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from voltaspan.llm.common import KEPT
+
 #: White space as tokenizers have it, without Python's U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
 _BOUNDARY = re.compile(r" (?=\S)|(?<=\S)(?=\n\S)")
@@ -158,5 +160,8 @@ class WordCache:
 
 @functools.cache
 def word_cache(path: str, spaced: bool) -> WordCache:
-    """One per worker process."""
+    """One per worker process, until a task of another operator begins."""
     return WordCache(path, spaced)
+
+
+KEPT.append(word_cache.cache_clear)
