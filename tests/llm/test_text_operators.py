@@ -221,30 +221,50 @@ def test_one_of_each(docs, rows):
 
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_line_dedup(docs, rows, few):
-    ids = [-(2**63) if r[0] is None else r[0] for r in rows]
-    keys = {(i, line_dedup._key(r[1] or "")): line_dedup.hashed(r[1] or "") for i, r in zip(ids, rows)}
-    first, seeds = {}, collections.defaultdict(set)
-    for k in sorted(keys):
-        here = {}
-        for at, f in sorted(zip(*(x.tolist() for x in line_dedup.fingerprints(*keys[k])))):
-            if f in here:  # again in one text: against the place before
-                seeds[k].add((k, at - here[f]))
-            elif f in first:
-                seeds[k].add((first[f][:2], at - first[f][2]))
-            else:
-                first[f] = (*k, at)
-            here[f] = at
-    want = []
-    for i, r in zip(ids, rows):
-        k = (i, line_dedup._key(r[1] or ""))
-        gone = {u for other, shift in seeds[k] for a, e in line_dedup.repeated(*keys[k], keys[other][0], shift) for u in range(a, e)}
-        want.append((r[0], line_dedup.without(r[1], gone) if gone else r[1], len(gone)))
+    """Against all stretches of words: what goes has stood before, and what has stood before goes."""
+    least, sure = line_dedup.LEAST, line_dedup.SURE
+    known = {(-(2**63) if r[0] is None else r[0], line_dedup._key(r[1] or "")): r for r in rows}
+    gone = collections.defaultdict(set)
+    for r in line_dedup.deletions(docs).collect():
+        assert r["end"] - r["first"] >= least
+        gone[r["id"], r["h"]].update(range(r["first"], r["end"]))
+    short, long, certain = set(), set(), 0
+    for k in sorted(known):
+        words = (known[k][1] or "").split()
+        sound = set()
+        for i in range(len(words)):
+            if i + least <= len(words):
+                if (stretch := tuple(words[i : i + least])) in short:
+                    sound.update(range(i, i + least))
+                short.add(stretch)
+            if i + sure <= len(words):
+                if (stretch := tuple(words[i : i + sure])) in long:
+                    assert gone[k] >= set(range(i + sure - least, i + least))
+                    certain += 1
+                long.add(stretch)
+        assert gone[k] <= sound
+    assert certain > 100
     out = line_dedup.dedup(docs, few=few)
+    want = [(r[0], line_dedup.without(r[1], cut) if (cut := gone[-(2**63) if r[0] is None else r[0], line_dedup._key(r[1] or "")]) else r[1], len(cut)) for r in rows]
     assert by_row(out, "doc_id", "text", "n_removed") == sorted(want, key=str)
-    assert sum(x[2] > 0 for x in want) > 15
+    assert all(len((r[1] or "").split()) - len((t or "").split()) == n for r, (_, t, n) in zip(rows, want))
     assert out.columns == [*docs.columns, "n_removed"]
 
 
+def test_line_dedup_of_three_texts_with_a_shared_middle(spark):
+    """The second and third text share 60 words, of which the first has 24: all 60 go from the third."""
+    rng = random.Random(7)
+    some = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(300):
+        run = some(60)
+        parts = (some(20) + run[18:42] + some(20), some(20) + run + some(20), some(20) + run + some(20))
+        rows += [(3 * i + k, " ".join(t)) for k, t in enumerate(parts)]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert [out[3 * i + 2] for i in range(300)] == [60] * 300
+    assert all(out[3 * i] == 0 for i in range(300))
+
+
 def test_line_dedup_finds_every_long_run():
     """A shared run of ``SURE`` words has a fingerprint in common, wherever it stands."""
     rng = random.Random(5)
@@ -254,7 +274,7 @@ def test_line_dedup_finds_every_long_run():
         while sum(len(s.split()) for s in run) < line_dedup.SURE:
             run.append(sentence())
         texts = ["\n".join([*(sentence() for _ in range(rng.randint(0, 9))), *run, *(sentence() for _ in range(rng.randint(0, 9)))]) for _ in range(2)]
-        a, b = (set(line_dedup.fingerprints(*line_dedup.hashed(t))[1].tolist()) for t in texts)
+        a, b = (set(line_dedup.fingerprints(line_dedup.hashed(t))[1].tolist()) for t in texts)
         assert a & b
 
 

@@ -1,16 +1,22 @@
 """Line dedup by winnowing: later repeats of runs of words go, wherever in a line they begin or end.
 
-Words are what white space parts. Each word is hashed, and so is each stretch of ``least`` words
-from every word on. Of the stretches that lie in one window of ``sure`` words, the one of least
-hash is a fingerprint. Windows inside a run that two texts share are the same in both, so a shared
-run of ``sure`` words or more has a fingerprint in common, whatever lines or sentences it is in.
-
-The first place of a fingerprint in each document is joined to that in its earliest document (by
-doc_id), and a later place in a document to the one before in it. The words of the two are then
-compared at that distance: every stretch of equal words there, extended both ways as far as they
-agree, is a repeated run, and is deleted from the later one if it has at least ``least`` words. So
-of a passage that an earlier document has too, fewer than ``sure`` words in a row are left. A run
-may repeat itself: of a line that stands many times in a row the first stays.
+The unit is the word (what white space parts), as a line here is often a whole paragraph and what
+repeats begins and ends inside it; a line that repeats is a run of its words. Each word is hashed,
+and so is each stretch of ``least`` words from every word on. Of the stretches that lie in one
+window of ``sure`` words, the one of least hash is a fingerprint. Windows inside a run that two
+texts share are the same in both, so a shared run of ``sure`` words or more has a fingerprint in
+each of its windows, whatever lines or sentences it is in.
+
+The first place of a fingerprint in each document is joined to a place in an earlier document (by
+doc_id): to that of the earliest one that it meets, and also to that of the document just before
+if that agrees with it in words around the stretch in which the earliest differs. A later place in
+a document is joined to the one before in it. The words of the two are then compared at that
+distance: every stretch of equal words there, extended both ways as far as they agree, is a
+repeated run, and is deleted from the later one if it has at least ``least`` words.
+
+So of a run of ``sure`` words or more that any earlier document has too, all goes but at most
+``sure - least`` words at either end, and mostly those too. A run may repeat itself: of a line that
+stands many times in a row the first stays.
 """
 
 from __future__ import annotations
@@ -20,23 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voltaspan.llm.common import NULL_ID, flushed, written
+from voltaspan.llm.common import flushed, lean, NULL_ID, released, written
 
 LEAST, SURE = 24, 40
+#: Words on either side of a fingerprint that tell whether another document agrees with it there.
+AROUND = 8
+#: Fingerprints of a task that meet before they move.
+CHUNK = 400_000
 _WORD = re.compile(r"\S+")
-_CACHED = 250_000
+_CACHED = 100_000
 _BASE = 0x9E3779B97F4A7C15
 #: Deletions up to this many (24 bytes each) go to every task; more are joined by a shuffle.
 FEW = 500_000
 
 
-class _Hashes(dict):
-    """Hashes of words met lately."""
+class Hashes(dict):
+    """Hashes of words met lately, by one task."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHED:
@@ -45,13 +56,11 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
-
-
-def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words (one) of each unit: each word."""
+def hashed(text: str, known: Hashes | None = None) -> np.ndarray:
+    """Hash of each word."""
     units = text.split()
-    return np.fromiter(map(_HASHES.__getitem__, units), np.uint64, len(units)), np.ones(len(units), np.int64)
+    known = Hashes() if known is None else known
+    return np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,8 +68,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(units: np.ndarray, words: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray]:
-    """Places (first word) and hashes of the fingerprints of a text; every unit is one word."""
+def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """Places (first word) and hashes of the fingerprints of a text."""
     n = len(units)
     if n < sure:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -79,15 +88,14 @@ def fingerprints(units: np.ndarray, words: np.ndarray, least: int = LEAST, sure:
     return at, stretch[at]
 
 
-def repeated(later: np.ndarray, words: np.ndarray, earlier: np.ndarray, shift: int, least: int = LEAST) -> list[tuple[int, int]]:
+def repeated(later: np.ndarray, earlier: np.ndarray, shift: int, least: int = LEAST) -> list[tuple[int, int]]:
     """Runs (first word, end) of the later text that equal the earlier one ``shift`` words before."""
     low, high = max(0, shift), min(len(later), len(earlier) + shift)
     if high <= low:
         return []
     same = np.concatenate([[False], later[low:high] == earlier[low - shift : high - shift], [False]])
     edges = np.flatnonzero(same[1:] != same[:-1]) + low
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if total[b] - total[a] >= least]
+    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= least]
 
 
 def firsts(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
@@ -118,81 +126,139 @@ def without(text: str, gone: set[int]) -> str:
     return "".join(out)
 
 
-_UNITS = "id long, h long, units binary, places binary, prints binary, own array<int>"
+_UNITS = "id long, h long, units binary, places binary, prints binary, around binary, own array<int>"
 
 
 def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True)
 
 
+def around(units: np.ndarray, places: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """16 bits of the AROUND words before each place and 16 of those after its stretch, as one number."""
+    n, pad = len(units), np.zeros(AROUND, np.uint64)
+    mixed = _mixed(np.concatenate([pad, units, pad]) + np.uint64(1))
+    before, after = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
+    for k in range(AROUND):
+        before = _mixed(before + mixed[places + k])
+        after = _mixed(after + mixed[np.minimum(places + least + AROUND + k, n + 2 * AROUND - 1)])
+    return ((before >> np.uint64(48) << np.uint64(16)) | after >> np.uint64(48)).astype("<u4")
+
+
+_PAIR = np.dtype([("id0", "<i8"), ("h0", "<i8"), ("shift", "<i4")])
+_PLACE = pa.schema([("print", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("around", pa.int32()), ("more", pa.binary())])
+_MET = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("id0", pa.int64()), ("h0", pa.int64()), ("shift", pa.int32())])
+
+
+def _joined(of, ids, h, at, near, last=None):
+    """Which rows (by fingerprint, id, h, place) are first of their fingerprint, the pairs of the
+    others with earlier ones, and the last row with the first of its fingerprint."""
+    new = np.concatenate([[last is None or of[0] != last[0]], of[1:] != of[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(of)), -1))
+    lead = [np.where(first >= 0, x[first], 0 if last is None else last[1][i]) for i, x in enumerate((ids, h, at, near))]
+    before = [np.concatenate([[0 if last is None else last[2][i]], x[:-1]]).astype(x.dtype) for i, x in enumerate((ids, h, at, near))]
+    apart, agrees = near ^ lead[3], near ^ before[3]
+    high, low = np.uint32(0xFFFF0000), np.uint32(0xFFFF)
+    also = ((apart & high != 0) & (agrees & high == 0)) | ((apart & low != 0) & (agrees & low == 0))
+    pairs = []
+    for other, met in ((lead, ~new), (before, ~new & also)):
+        met = met & ((ids != other[0]) | (h != other[1]))
+        pairs.append([x[met] for x in (ids, h, other[0], other[1], at - other[2])])
+    return new, [np.concatenate(x) for x in zip(*pairs)], (of[-1], [x[-1] for x in lead], (ids[-1], h[-1], at[-1], near[-1]))
+
+
 def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFrame:
     """Rows id (doc_id, null as the smallest), h (hash of the text), first, end: words to delete.
 
-    What is compared are the low 32 bits of the words' hashes.
+    What is compared are the low 32 bits of the words' hashes. Fingerprints that a task deals
+    together meet there, and only the earliest place of each goes on: a fingerprint of a third of
+    all documents brings few rows to the task that it falls to.
     """
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "places", "prints")] + [("own", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64())] + [(c, pa.binary()) for c in ("units", "places", "prints", "around")] + [("own", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
+        lean()
+        known = Hashes()
+
         def rows():
             for b in batches:
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                     text = text.as_py() or ""
-                    units, words = hashed(text)
-                    places, prints = fingerprints(units, words, least, sure)
+                    units = hashed(text, known)
+                    places, prints = fingerprints(units, least, sure)
                     if len(places):
                         places, prints, shifts = firsts(places, prints)
-                        own = [x for shift in sorted(shifts) for run in repeated(units, words, units, shift, least) for x in run]
-                        yield doc_id, _key(text), units.astype("<u4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), own
+                        own = [x for shift in sorted(shifts) for run in repeated(units, units, shift, least) for x in run]
+                        yield doc_id, _key(text), units.astype("<u4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), around(units, places, least).tobytes(), own
 
-        yield from flushed(rows(), schema)
+        yield from flushed(rows(), schema, nbytes=4 << 20)
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     table = written(texts.mapInArrow(run, _UNITS), "units")
 
-    place_schema = pa.schema([("print", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int32())])
+    def dealt(held: list):
+        of, ids, h, at, near = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, h, ids, of))
+        of, ids, h, at, near = (x[order] for x in (of, ids, h, at, near))
+        new, pairs, _ = _joined(of, ids, h, at, near)
+        none = pa.nulls(int(new.sum()), pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (of, ids, h, at)), pa.array(near[new].view(np.int32)), none], schema=_PLACE)
+        rows = np.empty(len(pairs[0]), _PAIR)
+        rows["id0"], rows["h0"], rows["shift"] = pairs[2:]
+        rows, at = np.unique(np.rec.fromarrays([pairs[0], pairs[1], *pairs[2:]], names="id,h,id0,h0,shift")), None
+        more = np.empty(len(rows), _PAIR)
+        for c in ("id0", "h0", "shift"):
+            more[c] = rows[c]
+        anywhere = _mixed((rows["id"] ^ rows["h"]).view(np.uint64)).view(np.int64)
+        zeros = pa.array(np.zeros(len(rows), np.int32))
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(_PAIR.itemsize)
+        packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(more.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(np.ascontiguousarray(rows["id"])), pa.array(np.ascontiguousarray(rows["h"])), zeros, zeros, packed], schema=_PLACE)
 
     def spread(batches: Iterator[pa.RecordBatch]):
+        lean()
+        held, size = [], 0
         for b in batches:
-            prints = [np.frombuffer(x.as_py(), np.int64) for x in b.column(3)]
-            if prints:
-                sizes = [len(x) for x in prints]
-                keys = [pa.array(np.repeat(b.column(i).to_numpy(), sizes)) for i in (0, 1)]
-                at = np.frombuffer(b"".join(b.column(2).to_pylist()), "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prints)), *keys, pa.array(at)], schema=place_schema)
-
-    pair_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("id0", pa.int64()), ("h0", pa.int64()), ("shift", pa.int32())])
+            for i, h, places, prints, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                of = np.frombuffer(prints.as_py(), np.int64)
+                held.append((of, np.full(len(of), i), np.full(len(of), h), np.frombuffer(places.as_py(), "<i4"), np.frombuffer(near.as_py(), "<u4")))
+                size += len(of)
+                if size >= CHUNK:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
 
     def meet(batches: Iterator[pa.RecordBatch]):
         """Rows of a fingerprint follow each other, its earliest place first: state is that place."""
         last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            of, *rest = (b.column(i).to_numpy() for i in range(4))
-            new = np.concatenate([[last is None or of[0] != last[0]], of[1:] != of[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(of)), -1))
-            id0, h0, at0 = (np.where(first >= 0, x[first], 0 if last is None else last[i + 1]) for i, x in enumerate(rest))
-            last = (of[-1], id0[-1], h0[-1], at0[-1])
-            met = (rest[0] != id0) | (rest[1] != h0)
-            cols = [rest[0], rest[1], id0, h0, rest[2] - at0]
-            yield pa.RecordBatch.from_arrays([pa.array(c[met].astype(t)) for c, t in zip(cols, (np.int64,) * 4 + (np.int32,))], schema=pair_schema)
-
-    places = table.select("id", "h", "places", "prints").mapInArrow(spread, "print long, id long, h long, at int")
+            local = b.column(5).is_valid()
+            if pc.any(local).as_py():
+                rows = np.frombuffer(b"".join(b.column(5).filter(local).to_pylist()), _PAIR)
+                cols = [b.column(i).filter(local) for i in (1, 2)] + [pa.array(np.ascontiguousarray(rows[c])) for c in ("id0", "h0", "shift")]
+                yield pa.RecordBatch.from_arrays(cols, schema=_MET)
+                b = b.filter(pc.invert(local))
+            if b.num_rows:
+                of, ids, h, at, near = (b.column(i).to_numpy() for i in range(5))
+                _, pairs, last = _joined(of, ids, h, at, near.view(np.uint32), last)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], schema=_MET)
+
+    places = table.select("id", "h", "places", "prints", "around").mapInArrow(spread, "print long, id long, h long, at int, around int, more binary")
     met = places.repartition("print").sortWithinPartitions("print", "id", "h", "at").mapInArrow(meet, "id long, h long, id0 long, h0 long, shift int")
     pairs = written(met.distinct(), "pairs")
 
-    earlier = table.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0"))
-    earlier = written(earlier.join(_few(pairs.select("id0", "h0")), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"]), "earlier")
-    later = table.select("id", "h", "units").join(_few(pairs.select("id", "h")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
-    later = written(later, "later")
+    units = table.select("id", "h", "units")
+    earlier = units.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("units").alias("units0"))
+    earlier = earlier.join(_few(pairs.select("id0", "h0")), ["id0", "h0"], "left_semi").dropDuplicates(["id0", "h0"])
+    later = units.join(_few(pairs.select("id", "h")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     run_schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
     def compare(batches: Iterator[pa.RecordBatch]):
         def rows():
             for b in batches:
                 for i, h, shift, x, y in zip(*(b.column(k).to_pylist() for k in range(3)), *(b.column(k) for k in (3, 4))):
-                    units, units0 = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                    for a, e in repeated(units, np.ones(len(units), np.int64), units0, shift, least):
+                    units, units0 = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                    for a, e in repeated(units, units0, shift, least):
                         yield i, h, a, e
 
         yield from flushed(rows(), run_schema)
@@ -201,7 +267,9 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
     found = both.mapInArrow(compare, "id long, h long, first int, end int")
     run = F.explode(F.expr("transform(sequence(1, cast(size(own) / 2 as int)), i -> struct(element_at(own, 2 * i - 1) as first, element_at(own, 2 * i) as end))")).alias("run")
     own = table.where("size(own) > 0").select("id", "h", run).select("id", "h", "run.first", "run.end")
-    return written(found.unionByName(own).distinct(), "deletions")
+    out = written(found.unionByName(own).distinct(), "deletions")
+    released(table, pairs)
+    return out
 
 
 def _few(keys: DataFrame) -> DataFrame:
