@@ -5,13 +5,20 @@ their tag and class, runs of alike siblings as one repeated node. Of each host t
 the number of pages that have them, are aligned by simple tree matching, the largest matching of
 two ordered trees that keeps roots on roots and the order of siblings. That merges them into one
 wrapper tree, and gives each node of a skeleton its slot in it. Over all pages of the host, what
-fills a slot is counted. A text that fills the same slot of most pages is template; what varies is
-content. Among the varying slots, tags and names tell the article from menus, notices, adverts,
-forms and comments.
+fills a slot is counted, and two things follow:
+
+* Texts that stay the same in their slot are template and go (``template`` says when).
+* The content of the host is the smallest part of the wrapper that holds most of the text of the
+  slots that vary (``content_path``). What lies outside it goes.
+
+Alignment can't tell an article from what varies just as much from page to page: adverts, reader
+comments, forms, menus made anew. There tags and names decide: elements that they tell to be such
+count for nothing in the weighing and give no text. An element marked as the article is taken
+alone if most of the content of its page is in it.
 
 All counting is Spark's: one row per page, slot and text, summed up before it moves. What one task
-holds are the skeletons of a host, ``SKELETONS`` at most (the most frequent); pages of rarer ones
-are aligned to the finished wrapper one by one.
+holds are the skeletons of a host, ``SKELETONS`` at most (the most frequent). Rarer ones are
+aligned to the finished wrapper one by one; what has no partner there gets the slot of its path.
 """
 
 from __future__ import annotations
@@ -55,6 +62,14 @@ DROPPED_WORDS = re.compile(
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|text|body)(?:$|[\s_-])", re.I)
 SKELETONS = 256
 DEPTH = 24
+#: So many runs of alike siblings are aligned in order; a later one joins the last run of its label.
+RUNS = 48
+#: A part of the wrapper that holds this share of the varying text has the content in it.
+MOST = 0.75
+#: Begins the label of an element that tags and names tell to be no article text.
+OUT = "-"
+#: Slots from here on are those of paths that the wrapper doesn't have.
+PATHS = 1 << 30
 
 
 @dataclass
@@ -160,7 +175,10 @@ class Page:
     skeleton: tuple
     slots: list[int]
     texts: list[str]
-    article: list[bool]
+    #: Whether the block is in the element that holds the article by its tag or name.
+    marked: list[bool]
+    #: Whether tags and names tell that it is no article text.
+    out: list[bool]
 
 
 def _size(node: Node) -> int:
@@ -199,19 +217,21 @@ def _article(root: Node) -> Node:
 
 
 def page(source: str) -> Page:
-    """Blocks, their slots in the skeleton, and the skeleton: nested tuples (label, children),
-    where siblings of one label that follow each other are one."""
+    """Blocks, their slots in the skeleton, and the skeleton: nested tuples (label, number,
+    children), where siblings of one label that follow each other are one. A label is the tag and
+    class, marked with OUT and, if the element has blocks in it, with ``+``."""
     root = parse(source)
     main = _article(root)
     slots: list[int] = []
     texts: list[str] = []
-    article: list[bool] = []
+    marked: list[bool] = []
+    outs: list[bool] = []
     count = 0
 
     def skeleton(node: Node, inside: bool, out: bool) -> tuple:
         """Depth first, with an explicit stack for deep trees; nodes are numbered in that order."""
         nonlocal count
-        top = [node.label, count, [], 0]
+        top = [node.label, count, [], 0, {}]
         count += 1
         pending: list[str] = []
         state = {"frame": top, "in": inside, "out": out}
@@ -223,7 +243,8 @@ def page(source: str) -> Page:
                 if text:
                     slots.append(state["frame"][1])
                     texts.append(text)
-                    article.append(state["in"] and not state["out"])
+                    marked.append(state["in"])
+                    outs.append(state["out"])
 
         todo: list = [("open", c, top, inside, out) for c in reversed(node.children)]
         while todo:
@@ -245,12 +266,15 @@ def page(source: str) -> Page:
                 todo.extend(("open", x, frame, was_in, was_out) for x in reversed(c.children))
                 continue
             flush()
-            if frame[3] >= DEPTH:  # deeper than any template
+            label = OUT * now_out + c.label + "+" * any(isinstance(x, Node) and x.tag in BLOCK for x in c.children)
+            if frame[3] >= DEPTH:  # deeper than any template: texts count to the element above
                 child = frame
-            elif frame[2] and frame[2][-1][0] == c.label:
+            elif frame[2] and frame[2][-1][0] == label:
                 child = frame[2][-1]
+            elif len(frame[2]) >= RUNS and label in frame[4]:
+                child = frame[4][label]
             else:
-                child = [c.label, count, [], frame[3] + 1]
+                child = frame[4][label] = [label, count, [], frame[3] + 1, {}]
                 count += 1
                 frame[2].append(child)
             todo.append(("close", None, frame, was_in, was_out))
@@ -260,7 +284,7 @@ def page(source: str) -> Page:
         return _frozen(top)
 
     tree = skeleton(root, main is root, False)
-    return Page(tree, slots, texts, article)
+    return Page(tree, slots, texts, marked, outs)
 
 
 def _frozen(frame: list) -> tuple:
@@ -353,9 +377,51 @@ class Wrapper:
         return (a[0], a[1], tuple(children + left))
 
 
-def _thin(tree: tuple, width: int = 48) -> tuple:
-    """Of skeletons wider than any template, what lies beyond isn't aligned."""
-    return (tree[0], tree[1], tuple(_thin(c, width) for c in tree[2][:width]))
+def by_path(node: tuple, of: dict[int, int], above: str = "") -> None:
+    """Gives nodes without a slot the slot of their path of labels."""
+    path = f"{above}/{node[0]}"
+    if node[1] not in of:
+        of[node[1]] = PATHS + _hash(path) % PATHS
+    for c in node[2]:
+        by_path(c, of, path)
+
+
+def content_path(tree: tuple, mass: dict[int, float]) -> list[str]:
+    """Labels from below the root to the smallest part of a wrapper that holds MOST of the varying
+    text; ``mass``: characters of varying text by slot. It has parts of its own, so that single
+    paragraphs aren't taken for the whole."""
+    below: dict[int, float] = {}
+
+    def weigh(node: tuple) -> float:
+        own = 0.0 if node[0].startswith(OUT) else mass.get(node[1], 0.0) + sum(weigh(c) for c in node[2])
+        below[node[1]] = own
+        return own
+
+    weigh(tree)
+    path, node = [], tree
+    while True:
+        best = max(node[2], key=lambda c: below.get(c[1], 0.0), default=None)
+        if best is None or not below.get(best[1]) or below[best[1]] < MOST * below[tree[1]] or mass.get(best[1], 0.0) > below[best[1]] / 2 or not best[2]:
+            return path
+        path.append(best[0])
+        node = best
+
+
+def within(skeleton: tuple, path: list[str]) -> set[int]:
+    """Numbers of the nodes of a skeleton at or below a path of labels, or as much of it as the
+    skeleton has."""
+    nodes = [skeleton]
+    for label in path:
+        below = [c for n in nodes for c in n[2] if c[0] == label]
+        if not below:
+            break
+        nodes = below
+    out = set()
+    while nodes:
+        n = nodes.pop()
+        out.add(n[1])
+        nodes.extend(n[2])
+    return out
 
 
 def written_out(tree: tuple) -> str:
@@ -382,33 +448,35 @@ def _hash(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True)
 
 
-_SEEN = pa.schema([("host", pa.string()), ("content", pa.int64()), ("skeleton", pa.int64()), ("tree", pa.string()), ("slots", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64()))])
-_SEEN_COLUMNS = "host string, content long, skeleton long, tree string, slots array<int>, texts array<long>"
+_SEEN = pa.schema(
+    [("host", pa.string()), ("content", pa.int64()), ("skeleton", pa.int64()), ("tree", pa.string()), ("slots", pa.list_(pa.int32())), ("texts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
+    + [("longest", pa.list_(pa.int64()))]
+)
+_SEEN_COLUMNS = "host string, content long, skeleton long, tree string, slots array<int>, texts array<long>, sizes array<int>, longest array<long>"
 
 
-def _slots(skeletons: DataFrame) -> DataFrame:
-    """Rows host, skeleton, node, slot from rows host, skeleton, tree, n."""
+def _slots(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows host, skeleton, node, slot from rows host, skeleton, tree, n; and rows host, wrapper."""
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "skeleton"))
-    ranked = written(skeletons.withColumn("rank", rank), "skeletons")
-    frequent = ranked.where(F.col("rank") <= SKELETONS)
+    top = skeletons.select("host", "skeleton", "n").withColumn("rank", rank).where(F.col("rank") <= SKELETONS).select("host", "skeleton", "rank")
+    ranked = written(skeletons.join(top, ["host", "skeleton"], "left"), "skeletons")
 
     def induce(pdf):
         import pandas as pd
 
         w, out = Wrapper(), []
         for row in pdf.sort_values("rank").itertuples():
-            of = w.add(_thin(read_back(row.tree)))
+            of = w.add(read_back(row.tree))
             out += [(row.host, row.skeleton, node, slot) for node, slot in of.items()]
-        tree = written_out(w.tree) if len(pdf) == SKELETONS else None
         out.append((pdf["host"].iloc[0], 0, -1, -1))
-        return pd.DataFrame(out, columns=["host", "skeleton", "node", "slot"]).assign(tree=[None] * (len(out) - 1) + [tree])
+        return pd.DataFrame(out, columns=["host", "skeleton", "node", "slot"]).assign(tree=[None] * (len(out) - 1) + [written_out(w.tree)])
 
-    found = written(frequent.groupBy("host").applyInPandas(induce, "host string, skeleton long, node int, slot int, tree string"), "slots")
+    found = written(ranked.where("rank is not null").groupBy("host").applyInPandas(induce, "host string, skeleton long, node int, slot int, tree string"), "slots")
     slots = found.where("node >= 0").select("host", "skeleton", "node", "slot")
-    rare = ranked.where(F.col("rank") > SKELETONS)
-    if not rare.limit(1).count():
-        return slots
     wrappers = found.where("tree is not null").select("host", F.col("tree").alias("wrapper"))
+    rare = ranked.where("rank is null")
+    if not rare.limit(1).count():
+        return slots, wrappers
     schema = pa.schema([("host", pa.string()), ("skeleton", pa.int64()), ("node", pa.int32()), ("slot", pa.int32())])
 
     def align(batches: Iterator[pa.RecordBatch]):
@@ -416,79 +484,121 @@ def _slots(skeletons: DataFrame) -> DataFrame:
             for b in batches:
                 for name, skeleton, tree, wrapper in zip(*(c.to_pylist() for c in b.columns)):
                     w = Wrapper()
-                    w.tree = read_back(wrapper)
-                    for node, slot in w.add(_thin(read_back(tree)), grow=False).items():
+                    w.tree, own = read_back(wrapper), read_back(tree)
+                    of = w.add(own, grow=False)
+                    by_path(own, of)
+                    for node, slot in of.items():
                         yield name, skeleton, node, slot
 
         yield from flushed(rows(), schema)
 
     more = rare.join(wrappers, "host").select("host", "skeleton", "tree", "wrapper").mapInArrow(align, "host string, skeleton long, node int, slot int")
-    return slots.unionByName(more)
+    return slots.unionByName(more), wrappers
+
 
+def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What alignment tells of each host. Rows host, skeleton, node, text (hash): what fills that
+    node of pages of that skeleton and is template. Rows host, path: where the content is.
 
-def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> DataFrame:
-    """Rows host, skeleton, node, text (hash): what fills that node of pages of that skeleton and
-    is template: it fills the node's slot in at least ``share`` of the host's pages that have that
-    slot, and ``least`` of them. Pages of equal content count once."""
+    Pages of equal content count once. A text is template
+
+    * if it fills its slot on at least ``share`` of the host's pages that have the slot, and on
+      ``least`` of them, or
+    * from two pages on, if nothing in its slot varies: each text there fills it on every page
+      that has it. Copies with changes don't show a template, so those pages must differ in two
+      of their three longest blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
             for b in batches:
                 for url, source in zip(b.column(0).to_pylist(), b.column(1)):
                     p = page(source.as_py() or "")
-                    filled = sorted({(s, _hash(t)) for s, t in zip(p.slots, p.texts)})
+                    filled = sorted({(s, _hash(t), len(t)) for s, t in zip(p.slots, p.texts)})
                     tree = written_out(p.skeleton)
-                    yield host(url), _hash("\n".join(p.texts)), _hash(tree), tree, [s for s, _ in filled], [t for _, t in filled]
+                    longest = [_hash(t) for t in sorted({t for t, out in zip(p.texts, p.out) if not out}, key=lambda t: (-len(t), t))[:3]]
+                    yield host(url), _hash("\n".join(p.texts)), _hash(tree), tree, *map(list, zip(*filled) if filled else ((), (), ())), longest + [0] * (3 - len(longest))
 
         yield from flushed(rows(), _SEEN)
 
     seen = pages.select("url", "html").mapInArrow(run, _SEEN_COLUMNS)
     seen = written(seen.dropDuplicates(["host", "content", "skeleton"]), "pages-seen")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
     skeletons = seen.groupBy("host", "skeleton").agg(F.count("*").alias("n"), F.first("tree").alias("tree"))
-    slots = written(_slots(skeletons.join(sizes.select("host"), "host", "left_semi")), "slots")
-    filled = seen.select("host", "skeleton", F.explode(F.arrays_zip(F.col("slots").alias("node"), F.col("texts").alias("text"))).alias("x")).select("host", "skeleton", "x.node", "x.text")
-    by_node = filled.groupBy("host", "skeleton", "node", "text").agg(F.count("*").alias("n"))
+    slots, wrappers = _slots(skeletons)
+    slots = written(slots, "slots")
+    spans = [f(F.get("longest", F.lit(i))).alias(f"{name}{i}") for i in range(3) for name, f in (("low", F.min), ("high", F.max))]
+    whole = [f(f"{name}{i}").alias(f"{name}{i}") for i in range(3) for name, f in (("low", F.min), ("high", F.max))]
+    zipped = F.arrays_zip(F.col("slots").alias("node"), F.col("texts").alias("text"), F.col("sizes").alias("size"))
+    filled = seen.select("host", "skeleton", "longest", F.explode(zipped).alias("x")).select("host", "skeleton", "longest", "x.node", "x.text", "x.size")
+    by_node = filled.groupBy("host", "skeleton", "node", "text").agg(F.count("*").alias("n"), F.max("size").alias("size"), *spans)
     by_node = written(by_node.join(slots, ["host", "skeleton", "node"]), "filled")
     having = slots.select("host", "skeleton", "slot").distinct().join(skeletons.select("host", "skeleton", F.col("n").alias("pages")), ["host", "skeleton"])
     having = having.groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
-    by_slot = by_node.groupBy("host", "slot", "text").agg(F.sum("n").alias("n")).join(having, ["host", "slot"])
-    constant = by_slot.where((F.col("n") >= F.lit(share) * F.col("pages")) & (F.col("n") >= least)).select("host", "slot", "text")
-    return by_node.join(constant, ["host", "slot", "text"], "left_semi").select("host", "skeleton", "node", "text")
+    by_slot = by_node.groupBy("host", "slot", "text").agg(F.sum("n").alias("n"), F.max("size").alias("size"), *whole).join(having, ["host", "slot"])
+    by_slot = written(by_slot, "by-slot")
+    often = by_slot.where((F.col("n") >= F.lit(share) * F.col("pages")) & (F.col("n") >= least)).select("host", "slot", "text")
+    same = by_slot.groupBy("host", "slot").agg(F.min(F.col("n") >= F.col("pages")).alias("same")).where("same").select("host", "slot")
+    differ = sum((F.col(f"low{i}") != F.col(f"high{i}")).cast("int") for i in range(3))
+    always = by_slot.where((F.col("n") >= 2) & (F.col("n") >= F.col("pages")) & (differ >= 2)).join(same, ["host", "slot"], "left_semi").select("host", "slot", "text")
+    constant = written(often.unionByName(always).distinct(), "constant")
+
+    varying = by_slot.join(constant, ["host", "slot", "text"], "left_anti").where(F.col("slot") < PATHS)
+    mass = varying.groupBy("host", "slot").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("mass"))
+    parts = mass.withColumn("wrapper", F.lit(None).cast("string")).unionByName(wrappers.select("host", F.lit(-1).alias("slot"), F.lit(0.0).alias("mass"), "wrapper"))
+
+    def place(pdf):  # one row for each slot of a wrapper
+        import pandas as pd
+
+        tree = read_back(pdf["wrapper"].dropna().iloc[0])
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": ["\x1f".join(content_path(tree, dict(zip(pdf["slot"], pdf["mass"]))))]})
+
+    paths = written(parts.groupBy("host").applyInPandas(place, "host string, path string"), "content")
+    return by_node.join(constant, ["host", "slot", "text"], "left_semi").select("host", "skeleton", "node", "text"), paths
+
+
+def content(slots: list[int], texts: list[str], marked: list[bool], out: list[bool], skeleton: tuple, constant, path: str | None) -> tuple[str, int]:
+    """Text of a page from its blocks, and how many of them alignment took out."""
+    inside = within(skeleton, path.split("\x1f") if path else [])
+    kept = [i for i, (s, t) in enumerate(zip(slots, texts)) if s in inside and (s, _hash(t)) not in constant]
+    gone = len(texts) - len(kept)
+    kept = [i for i in kept if not out[i]]
+    chosen = [i for i in kept if marked[i]]
+    if 2 * sum(len(texts[i]) for i in chosen) < sum(len(texts[i]) for i in kept):
+        chosen = kept
+    return "\n".join(texts[i] for i in chosen), gone
 
 
 def extract(pages: DataFrame, share: float = 0.6, least: int = 5, few: int = 200_000) -> DataFrame:
     """Rows page_id, url, text, n_chars, n_template: the main text of every page, its blocks joined
-    by line breaks, its code points, and how many blocks the wrapper took out of the article.
+    by line breaks, its code points, and how many blocks of the page alignment took out (template,
+    or outside the content).
 
     A null or empty page has an empty text. Pages of a null url are those of one nameless host.
     Rows are taken one by one otherwise: repeated rows and nulls stay, other columns are not read.
-    An empty table gives an empty table. Templates of up to ``few`` rows go to every task; more
-    are joined by host and skeleton.
+    An empty table gives an empty table. Templates of up to ``few`` rows, and as many hosts, go to
+    every task; more are joined by host and skeleton.
     """
     spark = pages.sparkSession
-    found = written(template(pages, share, least), "template")
+    found, paths = template(pages, share, least)
+    found = written(found, "template")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64())])
     columns = "page_id long, url string, text string, n_chars long, n_template long"
-
-    def text_of(p: Page, constant) -> tuple[str, int]:
-        of = [(s, t) for s, t, a in zip(p.slots, p.texts, p.article) if a]
-        kept = [t for s, t in of if (s, _hash(t)) not in constant] if constant else [t for _, t in of]
-        return "\n".join(kept), len(of) - len(kept)
-
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    if found.count() <= few:
+    if found.count() <= few and paths.count() <= few:
         known: dict[tuple[str, int], set] = {}
         for r in found.toLocalIterator():
             known.setdefault((r["host"], r["skeleton"]), set()).add((r["node"], r["text"]))
-        shared = spark.sparkContext.broadcast(known)
+        shared = spark.sparkContext.broadcast((known, {r["host"]: r["path"] for r in paths.toLocalIterator()}))
 
         def run(batches: Iterator[pa.RecordBatch]):
+            constants, places = shared.value
+
             def out():
                 for b in batches:
                     for page_id, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                        p = page(source.as_py() or "")
-                        text, n = text_of(p, shared.value.get((host(url), _hash(written_out(p.skeleton)))))
+                        p, of = page(source.as_py() or ""), host(url)
+                        constant = constants.get((of, _hash(written_out(p.skeleton))), ()) if constants else ()
+                        text, n = content(p.slots, p.texts, p.marked, p.out, p.skeleton, constant, places.get(of))
                         yield page_id, url, text, len(text), n
 
             yield from flushed(out(), schema)
@@ -496,29 +606,29 @@ def extract(pages: DataFrame, share: float = 0.6, least: int = 5, few: int = 200
         return rows.mapInArrow(run, columns)
 
     lists = found.groupBy("host", "skeleton").agg(F.collect_set(F.struct("node", "text")).alias("constant"))  # bounded by the nodes of a template
-    keyed_schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("skeleton", pa.int64()), ("nodes", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
+    fields = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "skeleton": pa.int64(), "tree": pa.string(), "nodes": pa.list_(pa.int32())}
+    keyed_schema = pa.schema([*fields.items(), ("texts", pa.list_(pa.string())), ("marked", pa.list_(pa.bool_())), ("out", pa.list_(pa.bool_()))])
 
     def blocks(batches: Iterator[pa.RecordBatch]):
         def out():
             for b in batches:
                 for page_id, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     p = page(source.as_py() or "")
-                    of = [(s, t) for s, t, a in zip(p.slots, p.texts, p.article) if a]
-                    yield page_id, url, host(url), _hash(written_out(p.skeleton)), [s for s, _ in of], [t for _, t in of]
+                    tree = written_out(p.skeleton)
+                    yield page_id, url, host(url), _hash(tree), tree, p.slots, p.texts, p.marked, p.out
 
         yield from flushed(out(), keyed_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         def out():
             for b in batches:
-                for page_id, url, nodes, texts, constant in zip(*(c.to_pylist() for c in b.columns)):
+                for page_id, url, tree, nodes, texts, marked, outs, constant, path in zip(*(c.to_pylist() for c in b.columns)):
                     known = {(c["node"], c["text"]) for c in constant or ()}
-                    kept = [t for s, t in zip(nodes, texts) if (s, _hash(t)) not in known]
-                    text = "\n".join(kept)
-                    yield page_id, url, text, len(text), len(texts) - len(kept)
+                    text, n = content(nodes, texts, marked, outs, read_back(tree), known, path)
+                    yield page_id, url, text, len(text), n
 
         yield from flushed(out(), schema)
 
-    keyed = rows.mapInArrow(blocks, "page_id long, url string, host string, skeleton long, nodes array<int>, texts array<string>")
-    joined = keyed.join(written(lists, "constant"), ["host", "skeleton"], "left").select("page_id", "url", "nodes", "texts", "constant")
-    return joined.mapInArrow(cut, columns)
+    keyed = rows.mapInArrow(blocks, "page_id long, url string, host string, skeleton long, tree string, nodes array<int>, texts array<string>, marked array<boolean>, out array<boolean>")
+    joined = keyed.join(written(lists, "constant"), ["host", "skeleton"], "left").join(paths, "host", "left")
+    return joined.select("page_id", "url", "tree", "nodes", "texts", "marked", "out", "constant", "path").mapInArrow(cut, columns)
