@@ -111,6 +111,62 @@ def linear_kk(f: np.ndarray, z: np.ndarray, per_decade: float = 5.0) -> np.ndarr
     return np.abs(z - kernel @ x) / size
 
 
+def screened_kk(f: np.ndarray, z: np.ndarray, rounds: int = 3, share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals, and points out of line: after each round the worst are left out of the next fit,
+    ``share`` of all points at most."""
+    out, residual = np.zeros(len(f), bool), np.full(len(f), np.nan)
+    for _ in range(rounds):
+        kept = ~out
+        residual[kept] = linear_kk(f[kept], z[kept])
+        left = int(share * len(f)) - int(out.sum())
+        found = np.flatnonzero(kept)[outliers(residual[kept], 1.0)]
+        found = found[np.argsort(-residual[found], kind="stable")][: max(left, 0)]
+        if not len(found):
+            break
+        out[found] = True
+    return residual, out
+
+
+def corner(f: np.ndarray, z: np.ndarray, weights: np.ndarray) -> float:
+    """The penalty at the corner of the curve of residual against size, both in logarithms: where it
+    turns the most."""
+    points = []
+    for weight in weights:
+        tau, g, r_s, inductance = relaxation_times(f, z, weight)
+        w = 2 * np.pi * f[:, None]
+        fit = r_s + 1j * w[:, 0] * inductance + (g / (1 + 1j * w * tau)).sum(axis=1)
+        points.append((np.log(np.linalg.norm(z - fit) + 1e-300), np.log(np.linalg.norm(g) + 1e-300)))
+    x, y = np.array(points).T
+    dx, dy = np.gradient(x), np.gradient(y)
+    bend = np.abs(dx * np.gradient(dy) - dy * np.gradient(dx)) / np.maximum(dx**2 + dy**2, 1e-30) ** 1.5
+    return float(weights[1 + np.argmax(bend[1:-1])]) if len(weights) > 2 else float(weights[0])
+
+
+def widths(x: np.ndarray, at: np.ndarray, share: float = 0.5) -> np.ndarray:
+    """Width of each peak, in points, at a share of its height over its base: the higher of the
+    lowest points between it and higher ground on either side."""
+    out = np.zeros(len(at))
+    for n, k in enumerate(at):
+        bases = []
+        for step in (-1, 1):
+            low, j = x[k], k
+            while 0 <= j + step < len(x) and x[j + step] <= x[k]:
+                j += step
+                low = min(low, x[j])
+            bases.append(low)
+        level, ends = x[k] - (x[k] - max(bases)) * share, []
+        if level >= x[k]:  # at an end of the range: it stands over nothing
+            continue
+        for step in (-1, 1):
+            j = k
+            while 0 <= j + step < len(x) and x[j] > level:
+                j += step
+            inner = j - step
+            ends.append(j if x[j] > level or x[inner] == x[j] else j - step * (level - x[j]) / (x[inner] - x[j]))
+        out[n] = ends[1] - ends[0]
+    return out
+
+
 def outliers(residual: np.ndarray, share: float = 0.1) -> np.ndarray:
     """Points above 1 % and above the median by five scaled median deviations; a share at most."""
     middle = np.median(residual)
@@ -133,17 +189,6 @@ def two_rc(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
     return (p if p[2] <= p[4] else p[[0, 3, 4, 1, 2]]), rms
 
 
-def simulated_two_rc(current: np.ndarray, dt: np.ndarray, ocv: float, r0: float, r1: float, t1: float, r2: float, t2: float) -> np.ndarray:
-    """Voltage for any current, held constant over each step."""
-    v1 = v2 = 0.0
-    out = np.empty(len(current))
-    for k, (i, d) in enumerate(zip(current, dt)):
-        a, b = np.exp(-d / t1), np.exp(-d / t2)
-        v1, v2 = a * v1 + (1 - a) * r1 * i, b * v2 + (1 - b) * r2 * i
-        out[k] = ocv + r0 * i + v1 + v2
-    return out
-
-
 def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.ndarray:
     """Clusters of varying density, -1 for noise: mutual reachability tree, condensed by size, of
     whose branches those of greatest persistence are taken."""

@@ -98,7 +98,7 @@ def state_prefix(state: Column) -> Column:
 
 def state_and_current(state: Column, current: Column) -> Column:
     """The label of a step: its state and its current to one decimal."""
-    return F.concat(state_prefix(state), F.lit("/"), F.format_number(current, "0.0"))
+    return F.concat(state_prefix(state), F.lit("/"), F.call_function("format_number", current, F.lit("0.0")))
 
 
 def amplitude_in(amplitude: Column, wanted: Sequence[float], tolerance: float = 0.05) -> Column:
@@ -115,11 +115,9 @@ def status_class(soh: Column, red: float = 60.0, amber: float = 70.0) -> Column:
 
 
 def degree_tag(temperature: Column) -> Column:
-    """A temperature in a file's name: two digits at least and the word, or NA."""
-    whole = F.bround(temperature).cast("int")
-    size = F.lpad(F.abs(whole).cast("string"), 2, "0")
-    padded = F.when(F.abs(whole) > 99, F.abs(whole).cast("string")).otherwise(size)
-    return F.when(temperature.isNull() | F.isnan(temperature), "NA").otherwise(F.concat(F.when(whole < 0, "-").otherwise(""), padded, F.lit("degreeC")))
+    """A temperature in a file's name, in whole degrees (halves to the even one), or NA."""
+    known = temperature.isNotNull() & ~F.isnan(temperature)
+    return F.concat(F.when(known, F.call_function("format_number", temperature, F.lit("0"))).otherwise("NA"), F.lit("degreeC"))
 
 
 def place_among(value: Column, edges: Sequence[float]) -> Column:
@@ -134,14 +132,14 @@ def capacity_reference(soh: Column, nominal: float) -> Column:
     return F.when(soh > 0, nominal * soh / 100).otherwise(F.lit(nominal))
 
 
-def looked_up(key: Column, table: Mapping[str, str], default: str) -> Column:
-    """A value by the text of a key, blanks and trailing zeros of decimals apart."""
-    plain = F.regexp_replace(F.trim(key.cast("string")), r"(\.[0-9]*?)0+$", "$1")
-    plain = F.regexp_replace(plain, r"\.$", "")
-    if not table:
-        return F.lit(default)
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, plain), F.lit(default))
+# Which mark a plot gives a C-rate.
+RATE_SYMBOLS = {"0.5": "circle", "05c": "circle", "0.5c": "circle", "c/2": "circle", "1.0": "square", "1": "square", "1c": "square"}
+
+
+def rate_symbol(rate: Column, default: str = "diamond") -> Column:
+    """The mark of a C-rate, by its text without blanks and in lower case."""
+    pairs = F.create_map(*[F.lit(x) for kv in RATE_SYMBOLS.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, F.lower(F.trim(rate.cast("string")))), F.lit(default))
 
 
 def name_field(name: Column, number: int, separator: str = "=") -> Column:

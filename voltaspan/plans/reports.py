@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltaspan.operators import fleet, impedance, ladder, segment
+from voltaspan.operators import fleet, impedance, ladder, pulses, segment
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
 from voltaspan.plans.series import BM
 
@@ -138,8 +138,8 @@ def fit_summary(spark, sf_dir):
 def leave_one_out(spark, sf_dir):
     """For each supplier the median balance of the others of its nation."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))
-    others = s.join(s.toDF("g", "j", "y"), "g").where("i <> j")
-    return others.groupBy("i").agg(F.round(F.percentile("y", F.lit(0.5)), 4).alias("borrowed"))
+    found = pulses.left_out(s, ["g"], "i", ["x"]).where("x_others is not null")
+    return found.select("i", F.round("x_others", 4).alias("borrowed"))
 
 
 def plateau(spark, sf_dir):
