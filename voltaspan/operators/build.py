@@ -67,7 +67,7 @@ def provisional(table: DataFrame, running: DataFrame, cell: str, file: str, time
     """Per cell the charge and last time that there would be with the files that still run: a view
     made anew each time, never part of the table."""
     both, _ = extended(table, running, cell, file, time, tie, current, factor)
-    return both.groupBy(cell).agg(F.max_by("ah", time).alias("ah"), F.max(time).alias("last"), F.max_by("current", time).alias("current"))
+    return both.groupBy(cell).agg(F.max_by("ah", time).alias("ah"), F.max(time).alias("last"), F.max_by(current, time).alias("current"))
 
 
 def diluted(rows: DataFrame, cell: str, file: str, time: str, tie: str, current: str, factor: float) -> DataFrame:

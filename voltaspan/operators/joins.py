@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, tolerance: int, right_id: str) -> DataFrame:
     """Left rows with the nearest right row by time, either way, within the tolerance; of equal
-    distances the earlier, then the smaller id. Rows without one are left out.
+    distances the earlier, then the smaller id. Rows without one are left out; repeated left rows stay.
 
     Right rows go to the slices of width ``tolerance`` beside their own, so the join is on key and
     slice and a candidate is at most three slices of right rows away.
     """
-    at = left.withColumn("_slice", F.floor(F.col(time) / tolerance))
+    at = left.withColumns({"_slice": F.floor(F.col(time) / tolerance), "_row": F.monotonically_increasing_id()})
     near = right.withColumn("_slice", F.explode(F.array(*[F.floor(F.col(right_time) / tolerance) + d for d in (-1, 0, 1)])))
     met = at.join(near, [*keys, "_slice"]).where(F.abs(F.col(time) - F.col(right_time)) <= tolerance)
     best = F.min_by(F.struct(right_time, right_id), F.struct(F.abs(F.col(time) - F.col(right_time)), right_time, right_id))
-    found = met.groupBy(*left.columns).agg(best.alias("_best"))
+    found = met.groupBy("_row", *left.columns).agg(best.alias("_best"))
     return found.select(*left.columns, F.col(f"_best.{right_time}").alias(right_time), F.col(f"_best.{right_id}").alias(right_id))
 
 

@@ -8,6 +8,7 @@ pulse, ``v`` and ``i``; a table of pulses has ``t_p``, its length, ``i_p``, its
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -104,11 +105,15 @@ def _joint(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, r
     share = np.clip(t / t_p, 0, 1)
     y = v - v_pre * (1 - share) - np.where(t <= t_p, i_p * r0, 0)
 
+    @functools.cache  # points of a grid share their constants
+    def response(kernel, tau):
+        return kernel(t, i_p, t_p, tau)
+
     def design(tau1, tau2, *more):
-        return np.column_stack([share, kernels.rc_pulse(t, i_p, t_p, tau1), kernels.rc_pulse(t, i_p, t_p, tau2), *(kernels.warburg_pulse(t, i_p, t_p, w) for w in more)])
+        return np.column_stack([share, response(kernels.rc_pulse, tau1), response(kernels.rc_pulse, tau2), *(response(kernels.warburg_pulse, w) for w in more)])
 
     ranges = [FAST, SLOW] + [(1.0, 6000.0)] * diffusion
-    tau, x, rms = kernels.searched(design, y, ranges, [True] + [False] * (2 + diffusion))
+    tau, x, rms = kernels.searched(design, y, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7)
     out = {"ocv_post": x[0], "r1": x[1], "tau1": tau[0], "r2": x[2], "tau2": tau[1], "rms": rms, "degenerate": bool(x[1] <= 0 or x[2] <= 0 or tau[1] < 1.05 * tau[0] or tau[1] > 0.98 * SLOW[1])}
     return out | ({"r_w": x[3], "tau_w": tau[2]} if diffusion else {})
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from voltaspan.operators import features, fits, sweeps
 from voltaspan.operators import pulses as pulse
 from voltaspan.operators import spectra as impedance_fits
-from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
+from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
 from voltaspan.plans.reports import spectra
 from voltaspan.streaming import incremental
 
@@ -178,8 +176,7 @@ def overlaid(spark, sf_dir):
 
 def streamed_days(spark, sf_dir):
     events = incremental.source(spark, sf_dir, "events.parquet")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    found = incremental.drained(incremental.daily(events, "ts", "event_type", "value"), folder)
+    found = incremental.drained(incremental.daily(events, "ts", "event_type", "value"), shared_folder(spark))
     return found.select(F.unix_micros("day").alias("day_us"), "event_type", "n", F.round("total", 3).alias("total"))
 
 

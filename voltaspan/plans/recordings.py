@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltaspan.operators import build, clusters, raw, rules
+from voltaspan.operators import build, clusters, models, raw, rules
 from voltaspan.plans.base import CUT, SAMPLES, Query, contributed, rounded, samples, table
 
 PROTOCOL = clusters.Protocol(cap_rate=0.01, qocv_rate=0.02, pulse_seconds=90000.0, pulse_tolerance=1.0, qocv_tolerance=2.0)
@@ -238,6 +238,21 @@ def report_lengths(spark, sf_dir):
     return html.select(F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("sha"))
 
 
+def first_objects(spark, sf_dir):
+    text = F.concat(F.lit("said: "), "props", F.lit(' and {"then": "}"}'))
+    return table(spark, sf_dir, "events").select("event_id", build.first_object(text).alias("found"))
+
+
+def held_out_forest(spark, sf_dir):
+    rows = segments(spark, sf_dir).withColumn("target", F.when(F.col("i") > 0, "CHA").otherwise("DCH"))
+    return models.held_out(rows, ["high", "low", "minutes", "i"], "target", "cell", trees=300, folds=2, depth=4).select("cell", "week", "target", "predicted")
+
+
+def centred(spark, sf_dir):
+    rows = segments(spark, sf_dir)
+    return models.centred(rows, ["high", "low", "minutes"], 4).select("cell", "week", "cluster", "silhouette", "outlier")
+
+
 _EXTENDED = f"WITH {SAMPLES}, x AS (SELECT cell, week, us, max(seq) AS seq, arg_max(current, seq) AS current FROM s GROUP BY cell, week, us), {contributed('cell, week', 'x')}"
 
 QUERIES = {
@@ -301,6 +316,9 @@ QUERIES = {
     "S28_stub_rows": Query(stub_rows, f"WITH {SAMPLES}, n AS (SELECT *, row_number() OVER (PARTITION BY cell, week ORDER BY us, seq) AS k FROM s) SELECT cell, count(*) AS n FROM n WHERE k = 1 OR procedure = 'P1' GROUP BY cell"),
     "A21_capacity_table": Query(capacities, "SELECT CAST(o_custkey AS VARCHAR) AS Name, o_totalprice AS capacity, CAST(count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS INT) AS n_procedures, CASE WHEN o_orderkey % 3 <> 0 THEN epoch_us(CAST(o_orderdate AS DATE)) END AS time_us FROM orders"),
     "A29_bundle_starts": Query(bundle_starts, f"WITH {SAMPLES} SELECT cell, procedure, min(us) AS start_us, round_even(avg(CASE WHEN kind = 'click' THEN floor(value) END), 2) AS temperature FROM s GROUP BY cell, procedure"),
+    "F9_first_objects": Query(first_objects, "SELECT event_id, props AS found FROM events"),
+    "M6_held_out_forest": Query(held_out_forest),
+    "M7_centred_clusters": Query(centred),
     "S18_merged_blocks": Query(report_blocks, "SELECT CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS run, count(*) AS n, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY 1"),
     "S19_status_report": Query(
         report_lengths,
