@@ -188,5 +188,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         yield from flushed(rows(), OUT)
 
     moved = docs.mapInArrow(dealt, "part int, halo boolean, doc_id long, text string")
-    moved = moved.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.coalesce("doc_id", F.lit(NULL_ID)), F.coalesce("text", F.lit("")))
+    moved = moved.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.coalesce("doc_id", F.lit(NULL_ID)), F.coalesce("text", F.lit("")))
     return moved.mapInArrow(compare, ", ".join(f"{f.name} {({'int64': 'long', 'string': 'string', 'double': 'double'})[str(f.type)]}" for f in OUT))

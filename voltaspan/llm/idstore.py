@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.llm.bpe import groups
 from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges
-from voltaspan.llm.wordcache import word_cache
+from voltaspan.llm.wordcache import vocabulary_size, word_cache
 
 FRAME = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint>"
 BLOCKS = f"shard int, block int, dict_hash string, first_id bigint, last_id bigint, payload binary, frames array<{FRAME}>"
@@ -65,9 +65,11 @@ def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: i
 
     A null text counts as empty. A null doc_id sorts first and is read back as null. Rows of equal
     doc_id stay, in order of their frames. No other column is read. An empty table gives an empty
-    store.
+    store. A vocabulary that ``width`` bytes don't hold is an error.
     """
     spark = docs.sparkSession
+    if max(end_id + 1, vocabulary_size(path)) > 1 << (8 * width):
+        raise ValueError(f"ids of {path} don't fit into {width} bytes")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = id_bounds(docs, "doc_id", ranges(docs))
     trained = train_dictionary(docs, path, spaced, width, end_id)
@@ -120,7 +122,7 @@ def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: i
             yield block()
 
     encoded = docs.mapInArrow(frames, "shard int, doc_id long, n_tokens long, frame binary")
-    parts = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.coalesce("doc_id", F.lit(NULL_ID)), "frame")
+    parts = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.coalesce("doc_id", F.lit(NULL_ID)), "frame")
     parts.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{store}/blocks")
     totals = spark.read.parquet(f"{store}/blocks").groupBy("shard").agg(F.sum(F.aggregate("frames", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"])).alias("n_tokens"))
     totals.coalesce(1).write.parquet(f"{store}/shards")

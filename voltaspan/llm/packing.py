@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.llm.bpe import groups
 from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges, written
-from voltaspan.llm.wordcache import word_cache
+from voltaspan.llm.wordcache import vocabulary_size, word_cache
 
 
 class Schedule:
@@ -122,24 +122,29 @@ class Schedule:
         return sum(self.totals[:queue]) - sum(before[:queue]) - self._upto(cumulated[queue], cumulated[-1], at)
 
 
-def queue_shares(totals: dict, size: int, mixture: dict | None) -> tuple[dict, list[int], list[int] | None]:
-    """Queue of each source, tokens of each queue, share of each queue.
+def queue_shares(totals: dict, rest: int, size: int, mixture: dict | None) -> tuple[dict, int, list[int], list[int] | None]:
+    """Queue of each source in ``totals``, queue of all other sources (``rest`` tokens together),
+    tokens of each queue, share of each queue.
 
     Without a mixture the shares are those of the corpus. Sources with a quantum of less than two
-    tokens go into one queue; if that has less than two, into the smallest other queue.
+    tokens go into one queue with the others; if that has less than two, into the smallest other
+    queue.
     """
     weight = {s: n if mixture is None else round(mixture.get(s, 0) * 2**32) for s, n in totals.items()}
-    whole = sum(weight.values()) or 1
+    left = rest if mixture is None else 0
+    whole = (sum(weight.values()) + left) or 1
     order = sorted(totals, key=lambda s: (s is not None, s))
     large = [s for s in order if weight[s] * size >= 2 * whole]
     small = [s for s in order if weight[s] * size < 2 * whole]
     queues = [[s] for s in large]
-    if small and (not large or sum(weight[s] for s in small) * size >= 2 * whole):
-        queues.append(small)
-    elif small:
-        min(queues, key=lambda q: weight[q[0]]).extend(small)
+    if not large or (sum(weight[s] for s in small) + left) * size >= 2 * whole:
+        queues, others = [*queues, small], len(queues)
+    else:
+        others = min(range(len(queues)), key=lambda k: weight[queues[k][0]])
+        queues[others].extend(small)
     of = {s: k for k, q in enumerate(queues) for s in q}
-    return of, [sum(totals[s] for s in q) for q in queues], None if mixture is None else [sum(weight[s] for s in q) for q in queues]
+    tokens = [sum(totals[s] for s in q) + rest * (k == others) for k, q in enumerate(queues)]
+    return of, others, tokens, None if mixture is None else [sum(weight[s] for s in q) for q in queues]
 
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -156,8 +161,11 @@ def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int = 2, size
     queue; repeated rows stay, and rows of equal doc_id go by their ids. Other columns are not
     read. An empty table gives no piece.
 
-    The driver gets tokens per source, and no document.
+    The driver gets the tokens of the sources that have a queue of their own, and no document. A
+    vocabulary that 16 bits don't hold is an error.
     """
+    if max(end_id + 1, vocabulary_size(path)) > 1 << 16:
+        raise ValueError(f"ids of {path} don't fit into two bytes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
     bounds = id_bounds(texts, "doc_id", ranges(texts))
 
@@ -175,12 +183,16 @@ def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int = 2, size
 
     rows = texts.select("doc_id", "source", "text")
     tokens = written(rows.mapInArrow(encode, "doc_id long, source string, part int, n_tokens long, ids binary"), "tokens")
-    by_source = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).toLocalIterator()}
-    of, totals, shares = queue_shares(by_source, size, mixture)
+    by_source = written(tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")), "sources")
+    whole = by_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # sources of two tokens a window or more: size / 2 of them at most; or those that the mixture names
+    named = F.col("n") * size >= 2 * whole if mixture is None else F.coalesce(F.col("source").isin([s for s in mixture if s is not None]), F.lit(None in mixture))
+    by_name = {r["source"]: r["n"] for r in by_source.where(named).toLocalIterator()}
+    of, others, totals, shares = queue_shares(by_name, whole - sum(by_name.values()), size, mixture)
     schedule = Schedule(totals, size, shares)
     spark = docs.sparkSession
-    queues = F.broadcast(spark.createDataFrame([(s, k) for s, k in of.items()], "source string, queue int"))  # one row per source
-    queued = tokens.join(queues, tokens["source"].eqNullSafe(queues["source"])).drop(queues["source"])
+    queues = F.broadcast(spark.createDataFrame([(s, k) for s, k in of.items()], "source string, queue int"))  # at most size / 2 rows, or the mixture's
+    queued = tokens.join(queues, tokens["source"].eqNullSafe(queues["source"]), "left").drop(queues["source"]).withColumn("queue", F.coalesce("queue", F.lit(others)))
 
     # tokens before each id range of a queue, from one row per range and queue
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

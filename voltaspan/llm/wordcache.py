@@ -158,6 +158,13 @@ class WordCache:
         return (encode_spaced if self.spaced else encode_cut)(texts, self.recent, self.words)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a file of the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1)
+
+
 @functools.cache
 def word_cache(path: str, spaced: bool) -> WordCache:
     """One per worker process, until a task of another operator begins."""
