@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def reduced(rows: DataFrame, keys: list[str], frequency: str, magnitude: str, order: list[str], values: list[str]) -> DataFrame:
     """The last sample of each frequency, of rows with a positive frequency and magnitude."""
     fine = rows.where((F.col(frequency) > 0) & (F.col(magnitude) > 0))
-    return fine.groupBy(*keys, frequency).agg(*[F.max_by(v, F.struct(*order)).alias(v) for v in values])
+    last = fine.groupBy(*keys, frequency).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
+    return last.select(*keys, frequency, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def fit_free(spectrum: DataFrame, keys: list[str], f: str, re: str, im: str) -> DataFrame:

@@ -43,11 +43,15 @@ def run_table(df: DataFrame, keys: list[str], order_by: list[str], column: str,
     )
 
 
+def program_index(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per program: its cell, itself, and ``bm``, its dense index within the cell, from 0."""
+    return df.select(key, column).distinct().withColumn("bm", F.dense_rank().over(Window.partitionBy(key).orderBy(column)) - 1)
+
+
 def programs(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Adds ``bm``, the dense index of the program within its cell, from 0. Programs are ranked in
-    a table with one row each."""
-    index = df.select(key, column).distinct().withColumn("bm", F.dense_rank().over(Window.partitionBy(key).orderBy(column)) - 1)
-    return df.join(index, [key, column])
+    """Adds ``bm``, the index of the program within its cell. Programs are ranked in a table with
+    one row each."""
+    return df.join(program_index(df, key, column), [key, column])
 
 
 def procedures(df: DataFrame, cell: str = "cell", bm: str = "bm", time: str = "us", tie: str = "seq", state: str = "state", procedure: str = "procedure", limits: Limits = Limits()) -> DataFrame:

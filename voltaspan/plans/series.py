@@ -53,7 +53,9 @@ def program_index(spark, sf_dir):
 
 
 def segmented(spark, sf_dir):
-    return segment.procedures(segment.programs(samples(spark, sf_dir), "cell", "week"), limits=LIMITS)
+    """By cell and week throughout, so one exchange serves the windows and the index joined after them."""
+    rows = samples(spark, sf_dir)
+    return segment.procedures(rows, bm="week", limits=LIMITS).join(segment.program_index(rows, "cell", "week"), ["cell", "week"])
 
 
 def procedures(spark, sf_dir):
