@@ -15,7 +15,8 @@ REJECT = toxicity.THRESHOLD
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network scores REJECT or more go; it learns from ``labels``."""
+    """Documents that the network scores REJECT or more go; it learns from ``labels``. Null and empty
+    texts have a score like others. Without labels of both kinds the network is as drawn."""
     return toxicity.clean(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")), REJECT)
 
 
@@ -28,7 +29,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, at five words and a similarity of 0.8."""
+    """One document of each group stays, at five words and a similarity of 0.8: the one of the
+    smallest doc_id. Documents without words are in no group."""
     return ngram_join.one_of_each(docs)
 
 
@@ -57,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``, each over all that the one before kept."""
+    """All stages over the table ``documents``, each over all that the one before kept.
+
+    Nulls in any column are kept, but for what the packing takes them for: a null text is empty, a
+    null source a source of its own. Of repeated rows one is left (near duplicates). Columns beyond
+    those of documents go through all stages but the last. An empty table gives no piece.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
