@@ -168,6 +168,25 @@ def test_pipeline_rejects_what_op9_predicts(spark, monkeypatch):
     assert corpus_pipeline.without_toxic(spark, docs.limit(20), sf).count() == 0
 
 
+def test_pipeline_takes_odd_rows(spark):
+    """Nulls in any column, repeated rows, columns of clashing names, an empty table."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, n_removed string, node long, queue int, part string, id long, h long"
+    more = (1.0, "r", 7, 3, "p", 9, 9)
+    rows = [(i, f"Words of document number {i} which are its own: a{i} b{i} c{i}", "en", f"s{i % 2}", 50, *more) for i in range(20)]
+    rows += [rows[3], rows[3], (None, "A text without an id", None, None, None, *[None] * 7), (30, None, None, None, None, *[None] * 7), (31, "", "en", "s", 0, *more), (None, None, None, None, None, *[None] * 7)]
+    docs = spark.createDataFrame(rows, schema)
+    for frame, n in ((docs, 24), (docs.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            frame = stage(spark, frame, "/root/testdata/sf0.001")
+            assert frame.columns == docs.columns
+        kept = frame.collect()
+        assert len(kept) == n and len({(r["doc_id"], r["text"]) for r in kept}) == n
+        pieces = corpus_pipeline.STAGES[4][1](spark, frame, "").collect()
+        assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in kept}
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 

@@ -94,6 +94,27 @@ def ids_of(rows, name, end):
     return [np.array(t.encode(r[1] or "", add_special_tokens=False).ids + [end], "<u4") for r in rows]
 
 
+def test_token_store_of_null_and_repeated_ids(spark):
+    rows = [(None, "no id"), (3, "three"), (3, "three again"), (3, "three"), (1, None)]
+    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    idstore.write(spark.createDataFrame(rows, "doc_id long, text string"), store, public_tokenizers.path("byte_bpe_50k.json"))
+    out = idstore.checksums(spark, store).collect()
+    want = [zlib.crc32(x) for x in ids_of(rows, "byte_bpe_50k.json", 0)]
+    assert sorted(r["ids_crc32"] for r in out) == sorted(want)
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])] == [None, 1, 3, 3, 3]
+    with pytest.raises(ValueError, match="fit"):
+        idstore.write(spark.createDataFrame(rows, "doc_id long, text string"), store + "x", public_tokenizers.path("byte_bpe_50k.json"), width=1)
+
+
+def test_packing_of_many_small_sources(spark):
+    """Sources of under two tokens a window share a queue, however many they are."""
+    rows = [(i, f"text {i}", f"http://{i}.example") for i in range(3000)] + [(4000, "word " * 3000, "large"), (4001, "x", None)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("word_bpe_49k.json"), size=512).collect()
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+    total = sum(r["length"] for r in out)
+    assert len({r["sequence_id"] for r in out}) == -(-total // 512)
+
+
 def test_token_store(spark, rows):
     once = [r for i, r in enumerate(rows) if r[0] is not None and r[0] not in {x[0] for x in rows[:i]}]
     docs = spark.createDataFrame(once, DF).repartition(3)
