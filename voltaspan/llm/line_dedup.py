@@ -68,11 +68,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray]:
-    """Places (first word) and hashes of the fingerprints of a text."""
+def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (first word) and hashes of the fingerprints of a text; and of each 16 bits of the
+    AROUND words before it and 16 of those after it, as one number."""
     n = len(units)
     if n < sure:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
     power, inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
     summed = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(units) * power[:n], dtype=np.uint64)])
     stretch = _mixed((summed[least:] - summed[:-least]) * inverse[: n - least + 1])
@@ -85,7 +86,9 @@ def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tup
         best, at = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
         have += step
     at = np.unique(at).astype(np.int64)
-    return at, stretch[at]
+    low, end = np.maximum(at - AROUND, 0), at + least
+    before, after = (_mixed((summed[j] - summed[i]) * inverse[i]) for i, j in ((low, at), (end, np.minimum(end + AROUND, n))))
+    return at, stretch[at], ((before >> np.uint64(48) << np.uint64(16)) | after >> np.uint64(48)).astype(np.uint32)
 
 
 def repeated(later: np.ndarray, earlier: np.ndarray, shift: int, least: int = LEAST) -> list[tuple[int, int]]:
@@ -98,12 +101,13 @@ def repeated(later: np.ndarray, earlier: np.ndarray, shift: int, least: int = LE
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= least]
 
 
-def firsts(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
-    """The first place of each fingerprint, and the distances of later places to those before."""
-    order = np.lexsort((places, prints))
+def firsts(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, set[int]]:
+    """Which places are the first of their fingerprint, and the distances of later ones to those
+    before. Places ascend."""
+    order = np.argsort(prints, kind="stable")
     at, of = places[order], prints[order]
-    again = np.concatenate([[False], of[1:] == of[:-1]])
-    return at[~again], of[~again], set((at[1:] - at[:-1])[again[1:]].tolist())
+    again = of[1:] == of[:-1]
+    return order[np.concatenate([[True], ~again])], set((at[1:] - at[:-1])[again].tolist())
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -133,17 +137,6 @@ def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True)
 
 
-def around(units: np.ndarray, places: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """16 bits of the AROUND words before each place and 16 of those after its stretch, as one number."""
-    n, pad = len(units), np.zeros(AROUND, np.uint64)
-    mixed = _mixed(np.concatenate([pad, units, pad]) + np.uint64(1))
-    before, after = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
-    for k in range(AROUND):
-        before = _mixed(before + mixed[places + k])
-        after = _mixed(after + mixed[np.minimum(places + least + AROUND + k, n + 2 * AROUND - 1)])
-    return ((before >> np.uint64(48) << np.uint64(16)) | after >> np.uint64(48)).astype("<u4")
-
-
 _PAIR = np.dtype([("id0", "<i8"), ("h0", "<i8"), ("shift", "<i4")])
 _PLACE = pa.schema([("print", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("around", pa.int32()), ("more", pa.binary())])
 _MET = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("id0", pa.int64()), ("h0", pa.int64()), ("shift", pa.int32())])
@@ -184,11 +177,11 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                     text = text.as_py() or ""
                     units = hashed(text, known)
-                    places, prints = fingerprints(units, least, sure)
+                    places, prints, around = fingerprints(units, least, sure)
                     if len(places):
-                        places, prints, shifts = firsts(places, prints)
+                        first, shifts = firsts(places, prints)
                         own = [x for shift in sorted(shifts) for run in repeated(units, units, shift, least) for x in run]
-                        yield doc_id, _key(text), units.astype("<u4").tobytes(), places.astype("<i4").tobytes(), prints.tobytes(), around(units, places, least).tobytes(), own
+                        yield doc_id, _key(text), units.astype("<u4").tobytes(), places[first].astype("<i4").tobytes(), prints[first].tobytes(), around[first].tobytes(), own
 
         yield from flushed(rows(), schema, nbytes=4 << 20)
 
@@ -196,31 +189,39 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
     table = written(texts.mapInArrow(run, _UNITS), "units")
 
     def dealt(held: list):
-        of, ids, h, at, near = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, h, ids, of))
+        held.sort(key=lambda x: x[:2])  # by document: then one sort by fingerprint does
+        sizes = [len(x[2]) for x in held]
+        ids, h = (np.repeat(np.array([x[k] for x in held], np.int64), sizes) for k in (0, 1))
+        of, at, near = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
+        order = np.argsort(of, kind="stable")
         of, ids, h, at, near = (x[order] for x in (of, ids, h, at, near))
         new, pairs, _ = _joined(of, ids, h, at, near)
         none = pa.nulls(int(new.sum()), pa.binary())
         yield pa.RecordBatch.from_arrays([*(pa.array(x[new]) for x in (of, ids, h, at)), pa.array(near[new].view(np.int32)), none], schema=_PLACE)
-        rows = np.empty(len(pairs[0]), _PAIR)
-        rows["id0"], rows["h0"], rows["shift"] = pairs[2:]
-        rows, at = np.unique(np.rec.fromarrays([pairs[0], pairs[1], *pairs[2:]], names="id,h,id0,h0,shift")), None
-        more = np.empty(len(rows), _PAIR)
-        for c in ("id0", "h0", "shift"):
-            more[c] = rows[c]
-        anywhere = _mixed((rows["id"] ^ rows["h"]).view(np.uint64)).view(np.int64)
-        zeros = pa.array(np.zeros(len(rows), np.int32))
-        ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(_PAIR.itemsize)
-        packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(more.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(np.ascontiguousarray(rows["id"])), pa.array(np.ascontiguousarray(rows["h"])), zeros, zeros, packed], schema=_PLACE)
+        if not len(pairs[0]):
+            return
+        mark = np.zeros(len(pairs[0]), np.uint64)
+        for x in pairs:
+            mark = _mixed(mark + x.astype(np.int64).view(np.uint64))
+        order = np.argsort(mark)
+        pairs = [x[order] for x in pairs]
+        once = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in pairs], axis=0)])
+        ids, h, *rest = (x[once] for x in pairs)
+        more = np.empty(len(ids), _PAIR)
+        more["id0"], more["h0"], more["shift"] = rest
+        anywhere = _mixed((ids ^ h).view(np.uint64)).view(np.int64)
+        zeros = pa.array(np.zeros(len(ids), np.int32))
+        ends = np.arange(len(ids) + 1, dtype=np.int32) * np.int32(_PAIR.itemsize)
+        packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(more.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(anywhere), pa.array(ids), pa.array(h), zeros, zeros, packed], schema=_PLACE)
 
     def spread(batches: Iterator[pa.RecordBatch]):
         lean()
         held, size = [], 0
         for b in batches:
             for i, h, places, prints, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
-                of = np.frombuffer(prints.as_py(), np.int64)
-                held.append((of, np.full(len(of), i), np.full(len(of), h), np.frombuffer(places.as_py(), "<i4"), np.frombuffer(near.as_py(), "<u4")))
+                of = np.frombuffer(prints.as_buffer(), np.int64)
+                held.append((i, h, of, np.frombuffer(places.as_buffer(), "<i4"), np.frombuffer(near.as_buffer(), "<u4")))
                 size += len(of)
                 if size >= CHUNK:
                     yield from dealt(held)
