@@ -84,6 +84,11 @@ def lean() -> None:
     worker still holds of other operators goes, and free memory back to the system."""
     for forget in KEPT:
         forget()
+    trim()
+
+
+def trim() -> None:
+    """Free memory of a worker goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltaspan.llm.bpe import groups
-from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges
+from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges, trim
 from voltaspan.llm.wordcache import vocabulary_size, word_cache
 
 FRAME = "struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint>"
@@ -42,6 +42,7 @@ def train_dictionary(docs: DataFrame, path: str, spaced: bool, width: int, end_i
     """
 
     def run(batches):
+        trim()
         w = word_cache(path, spaced)
         schema = pa.schema([("ids", pa.binary())])
         yield from flushed(((narrow(x, width, end_id)[: head * width],) for _, texts in groups(batches) for x in w.encode_batch(texts)), schema)
@@ -77,6 +78,7 @@ def write(docs: DataFrame, store: str, path: str, spaced: bool = True, end_id: i
     spark.createDataFrame([(dict_hash, bytearray(trained))], "dict_hash string, dict binary").write.parquet(f"{store}/dictionary")
 
     def frames(batches: Iterator[pa.RecordBatch]):
+        trim()
         w = word_cache(path, spaced)
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
         if shared:

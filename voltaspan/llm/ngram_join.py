@@ -306,6 +306,7 @@ def _bounded(pairs: DataFrame, maps: DataFrame, like: Likeness) -> DataFrame:
     v = maps.select(F.col("node").alias("v"), F.col("size").alias("n"), F.col("bits").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        lean()
         for x in batches:
             if x.num_rows:
                 total = x.column(2).to_numpy() + x.column(3).to_numpy()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltaspan.llm.bpe import groups
-from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges, written
+from voltaspan.llm.common import NULL_ID, flushed, id_array, id_bounds, ranges, trim, written
 from voltaspan.llm.wordcache import vocabulary_size, word_cache
 
 
@@ -170,6 +170,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int = 2, size
     bounds = id_bounds(texts, "doc_id", ranges(texts))
 
     def encode(batches: Iterator[pa.RecordBatch]):
+        trim()
         w = word_cache(path, spaced)
 
         def rows():
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = False, end_id: int = 2, size
                     ids = np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
                     yield key, source, part, len(ids), ids.astype("<u2").tobytes()
 
-        yield from flushed(rows(), TOKENS)
+        yield from flushed(rows(), TOKENS, nbytes=4 << 20)
 
     rows = texts.select("doc_id", "source", "text")
     tokens = written(rows.mapInArrow(encode, "doc_id long, source string, part int, n_tokens long, ids binary"), "tokens")
