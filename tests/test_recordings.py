@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from voltaspan.operators import build, clusters, models, raw, rules
-from voltaspan.operators.joins import nearest
+from voltaspan.operators.joins import nearest, nearest_values
 
 
 def test_prepared_recording(spark):
@@ -113,3 +114,11 @@ def test_nearest_keeps_repeated_rows(spark):
     left = spark.createDataFrame([(1, 10), (1, 10), (1, 90)], "cell long, us long")
     right = spark.createDataFrame([(1, 12, 7)], "cell long, at long, id long")
     assert nearest(left, right, ["cell"], "us", "at", 5, "id").count() == 2
+
+
+def test_nearest_values_with_ties(spark):
+    rng = random.Random(3)
+    rows = [(g, 100 * g + i, float(rng.randrange(6))) for g in range(3) for i in range((1, 9, 30)[g])]
+    out = nearest_values(spark.createDataFrame(rows, "g long, k long, x double"), "g", "k", "x", 4).collect()
+    want = {(a, b) for g, a, x in rows for b in [c for _, c in sorted((abs(x - y), c) for h, c, y in rows if h == g and c != a)][:4]}
+    assert {(r["k"], r["other"]) for r in out} == want and len(out) == len(want)

@@ -149,11 +149,8 @@ def pairs(spark, sf_dir):
 
 def neighbours(spark, sf_dir):
     """At most four nearest of each nation's suppliers by (balance, key), as undirected edges."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"))
-    other = s.toDF("g", "b", "y")
-    near = s.join(other, "g").where("a <> b").withColumn("d", F.abs(F.col("x") - F.col("y")))
-    n = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return near.withColumn("n", n).where("n <= 4").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    found = joins.nearest_values(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", 4)
+    return found.select(F.least("s_suppkey", "other").alias("u"), F.greatest("s_suppkey", "other").alias("v")).distinct()
 
 
 def same_direction_nearest(spark, sf_dir):
