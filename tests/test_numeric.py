@@ -52,8 +52,3 @@ def test_density_clusters():
     assert len(set(label[:30])) == 1 and len(set(label[30:55])) == 1 and len(set(label[55:75])) == 1
     assert len({label[0], label[30], label[55]}) == 3
     assert (numeric.density_clusters(x[:4], 5) == -1).all()
-
-
-def test_simulation_settles():
-    v = numeric.simulated_two_rc(np.full(4000, -1.5), np.full(4000, 10.0), 3.7, 0.01, 0.005, 30, 0.004, 900)
-    assert abs(v[-1] - (3.7 - 1.5 * 0.019)) < 1e-6
