@@ -21,6 +21,7 @@ stands many times in a row the first stays.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -40,32 +41,41 @@ AROUND = 8
 #: Fingerprints of a task that meet before they move.
 CHUNK = 400_000
 _WORD = re.compile(r"\S+")
-_CACHED = 100_000
 _BASE = 0x9E3779B97F4A7C15
 #: Deletions up to this many (24 bytes each) go to every task; more are joined by a shuffle.
 FEW = 500_000
 
 
-class Hashes(dict):
-    """Hashes of words met lately, by one task."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
 
+@functools.lru_cache(maxsize=16)  # lengths are rounded up to powers of two
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base and its inverse to the powers from 0 to n."""
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
 
-def hashed(text: str, known: Hashes | None = None) -> np.ndarray:
-    """Hash of each word."""
-    units = text.split()
-    known = Hashes() if known is None else known
-    return np.fromiter(map(known.__getitem__, units), np.uint64, len(units))
 
+#: What each byte counts in the hash of a word.
+_BYTES = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)))
+#: Words hashed at a time, so that very long texts take no more memory.
+_AT_ONCE = 1 << 17
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+
+def hashed(text: str) -> np.ndarray:
+    """Hash of each word: of its bytes as a polynomial, from running sums over the whole text."""
+    words = text.split()
+    return np.concatenate([_hashed(words[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)] or [np.empty(0, np.uint64)])
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    power, inverse = _powers(1 << len(data).bit_length())
+    summed = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)])
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+    return _mixed(_mixed((summed[ends] - summed[starts]) * inverse[starts]))
 
 
 def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +84,7 @@ def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tup
     n = len(units)
     if n < sure:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
-    power, inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    power, inverse = _powers(1 << n.bit_length())
     summed = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(units) * power[:n], dtype=np.uint64)])
     stretch = _mixed((summed[least:] - summed[:-least]) * inverse[: n - least + 1])
     # the first of least hash among ``wide`` stretches from each on: from halves that overlap
@@ -85,7 +95,7 @@ def fingerprints(units: np.ndarray, least: int = LEAST, sure: int = SURE) -> tup
         less = best[step:] < best[:-step]
         best, at = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
         have += step
-    at = np.unique(at).astype(np.int64)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])].astype(np.int64)  # places of minima ascend
     low, end = np.maximum(at - AROUND, 0), at + least
     before, after = (_mixed((summed[j] - summed[i]) * inverse[i]) for i, j in ((low, at), (end, np.minimum(end + AROUND, n))))
     return at, stretch[at], ((before >> np.uint64(48) << np.uint64(16)) | after >> np.uint64(48)).astype(np.uint32)
@@ -170,13 +180,12 @@ def deletions(docs: DataFrame, least: int = LEAST, sure: int = SURE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]):
         lean()
-        known = Hashes()
 
         def rows():
             for b in batches:
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                     text = text.as_py() or ""
-                    units = hashed(text, known)
+                    units = hashed(text)
                     places, prints, around = fingerprints(units, least, sure)
                     if len(places):
                         first, shifts = firsts(places, prints)
