@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltaspan.llm import secrets
+from voltaspan.llm import filter_audit, secrets
 
 
 def _quoted(text: str) -> str:
@@ -46,4 +46,23 @@ l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id"""
 
-ORACLE_SQL = {"op1_secrets": _secrets(), "op5_topk": TOPK, "op6_ngram_join": NGRAMS}
+
+
+def _filter_audit() -> str:
+    orders = ", ".join(f"'{o}'" for o in filter_audit.orders())
+    return rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM t),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+ || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN copy THEN 'E' ELSE '' END AS f FROM w),
+l AS (SELECT doc_id, count(*) FILTER (quality = 1) > 0 AS good, count(*) FILTER (toxic = 1) > 0 AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, f),
+o AS (SELECT unnest([{orders}]) AS filter_order),
+s AS (SELECT g.*, filter_order, list_min(list_transform(string_split(f, ''), lambda x: CASE WHEN x <> '' THEN strpos(filter_order, x) END)) AS first FROM g, o),
+r AS (SELECT part, filter_order, step, filter_order[step] AS name, f, n, good, toxic, first FROM s, (SELECT unnest(range(1, 6)) AS step)),
+a AS (SELECT part, filter_order, CAST(step AS INT) AS step, name, coalesce(sum(n) FILTER (first IS NULL OR first > step), 0) AS kept, coalesce(sum(n) FILTER (first = step), 0) AS removed, coalesce(sum(n) FILTER (contains(f, name) AND first < step), 0) AS redundant,
+ coalesce(sum(n) FILTER (f = name), 0) AS unique_fails, coalesce(sum(good) FILTER (first = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (first = step), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM a"""
+
+
+ORACLE_SQL = {"op13_filter_audit": _filter_audit(), "op1_secrets": _secrets(), "op5_topk": TOPK, "op6_ngram_join": NGRAMS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltaspan.llm import bpe, fingerprint, idstore, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
+from voltaspan.llm import bpe, filter_audit, fingerprint, idstore, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
 from voltaspan.llm.common import shared_dir, table
 from voltaspan.llm.oracles import ORACLE_SQL
 
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_wrapper": op2_wrapper,
@@ -77,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
