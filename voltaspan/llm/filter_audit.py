@@ -143,9 +143,10 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.col("text")
     four = sum((F.when(c, F.lit(1 << i)).otherwise(0) for i, c in enumerate(conditions(text, F.col("words")))), F.lit(0))
     narrow = written(split.select("doc_id", "part", four.cast("int").alias("mask"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("hash")), "masks")
-    first = narrow.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("hash", "first")
+    # written, so that joins read both sides from shuffles alone: Spark can split a hot text or id there
+    first = written(narrow.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("hash", "first"), "originals")
     flags = [F.max(F.coalesce(F.col(a) == 1, F.lit(False))).alias(b) for a, b in (("quality", "good"), ("toxic", "toxic_doc"))]
-    marked = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*flags)
+    marked = written(labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*flags), "labels")
     copy = F.when(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)), 1 << 4).otherwise(0)
     rows = narrow.join(first, "hash", "left").join(marked, "doc_id", "left")
     return rows.groupBy("part", (F.col("mask") + copy).alias("mask"), F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic_doc", F.lit(False)).alias("toxic")).agg(F.count("*").alias("n"))
