@@ -48,6 +48,36 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM docume
 
 
 
+def _dialogue_repair() -> str:
+    """A recursion over rows: of each state the least (cost, edits), and the lines so far."""
+
+    def plus(state: str, cost: str, letter: str, line: str | None, when: str = "true") -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    keep = lambda of, initial: plus(of, "late", "K", "role || ':' || text", f"free AND substr(role, 1, 1) = '{initial}'")
+    rerole = lambda of, role: plus(of, "2 + late", "R", f"'{role}:' || text", "free")
+    insert = lambda of, role: plus(of, "2", "I", f"'{role}:'")
+    gone = lambda of: plus(of, "3", "D", None)
+    to_user = [way for of in "xsa" for way in (keep(of, "u"), rerole(of, "user"))]
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    return rf"""WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: list_reduce(list_prepend(xor(a, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS hit FROM b),
+d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE hit <> 0),
+i AS (SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, lag(substr(role, 1, 1)) OVER w AS was FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, NOT (blank OR seen) AS free, CAST(open AND NOT blank AND NOT seen AS INT) AS late FROM i),
+n AS (SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, sum(late) AS truncated, count(*) FILTER (was IS NOT NULL AND was || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST({{'c': 0, 'a': '', 't': []}} AS {state}) AS x, CAST(NULL AS {state}) AS s, CAST({{'c': 2, 'a': 'I', 't': ['user:']}} AS {state}) AS u, CAST({{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS {state}) AS a FROM n
+ UNION ALL SELECT conv_id, k, x, s, u, {least("a", insert("u", "assistant"))} FROM (SELECT conv_id, k, x, s, {least("u", insert("x", "user"), insert("s", "user"), insert("a", "user"))} AS u, a FROM (
+ SELECT r.conv_id, f.k, {gone("x")} AS x, {least(gone("s"), keep("x", "s"))} AS s, {least(gone("u"), *to_user)} AS u, {least(gone("a"), keep("u", "a"), rerole("u", "assistant"))} AS a FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1))),
+e AS (SELECT n.*, {least("x", "a")} AS best FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND r.k = n.n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def _filter_audit() -> str:
     orders = ", ".join(f"'{o}'" for o in filter_audit.orders())
     return rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
@@ -65,4 +95,4 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
  CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM a"""
 
 
-ORACLE_SQL = {"op13_filter_audit": _filter_audit(), "op1_secrets": _secrets(), "op5_topk": TOPK, "op6_ngram_join": NGRAMS}
+ORACLE_SQL = {"op11_dialogue_repair": _dialogue_repair(), "op13_filter_audit": _filter_audit(), "op1_secrets": _secrets(), "op5_topk": TOPK, "op6_ngram_join": NGRAMS}

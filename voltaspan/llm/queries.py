@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltaspan.llm import bpe, filter_audit, fingerprint, idstore, language_id, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
+from voltaspan.llm import bpe, dialogue_repair, filter_audit, fingerprint, idstore, language_id, line_dedup, ngram_join, packing, secrets, topk, toxicity, wrapper
 from voltaspan.llm.common import shared_dir, table
 from voltaspan.llm.oracles import ORACLE_SQL
 
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.query(table(spark, sf_dir, "conversations"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_dialogue_repair": op11_dialogue_repair,
     "op12_language_id": op12_language_id,
     "op13_filter_audit": op13_filter_audit,
 }
