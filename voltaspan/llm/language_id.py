@@ -180,6 +180,7 @@ def sampled(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
     ids = near.select("lang", "doc_id", "at").distinct()  # a bounded number for each language
     few = ids.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), 1, each).alias("few"))
     few = few.select("lang", F.explode("few.doc_id").alias("doc_id"))
+    few = F.broadcast(few) if n <= 10_000 else few  # ``bound`` ids, or one of each language
     return near.join(few, ["lang", "doc_id"], "left_semi").select("doc_id", "lang", "text")
 
 
