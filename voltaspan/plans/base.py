@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltaspan.sources.shared import shared_folder
+
+__all__ = ["Query", "SAMPLES", "contributed", "rounded", "samples", "shared_folder", "table"]
+
 #: Gaps longer than so many median intervals carry no charge.
 CUT = 3.0
 
@@ -17,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both write: what ``spark.checkpoint.dir`` names; on one machine a
-    temporary folder, if it names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]

@@ -9,11 +9,12 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from voltaspan.operators import features, fits, sweeps
+from voltaspan.operators import features, fits, fractional, sweeps
 from voltaspan.operators import pulses as pulse
 from voltaspan.operators import spectra as impedance_fits
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
 from voltaspan.plans.reports import spectra
+from voltaspan.sources.shared import kept
 from voltaspan.streaming import incremental
 
 
@@ -56,18 +57,27 @@ def forest(spark, sf_dir):
     return model.transform(data.where("cell % 4 = 0")).select("cell", "week", "target", F.col("prediction").cast("int").alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
-def weekly(spark, sf_dir):
-    """The samples of a cell's week as a pulse and the rest after it (hours as seconds), and the
-    table of these: half of the time is the pulse."""
-    rows = samples(spark, sf_dir)
-    ends = rows.groupBy("cell", "week").agg(
+def as_pulses(rows, keys):
+    """The samples of each key as a pulse and the rest after it (hours as seconds), and the table of
+    these: half of the time is the pulse."""
+    ends = rows.groupBy(*keys).agg(
         F.min("us").alias("us0"), F.max("us").alias("us1"), F.count("*").alias("n"), F.min_by("value", F.struct("us", "seq")).alias("v_pre"), F.max(F.when(F.col("current") != 0, F.abs("current"))).alias("i_p")
     )
-    pulses = ends.where("n >= 8 and i_p > 0 and us1 > us0").select("cell", "week", "us0", ((F.col("us1") - F.col("us0")) / 7.2e9).alias("t_p"), "i_p", "v_pre", F.lit(0.01).alias("r0"))
-    of = rows.join(pulses, ["cell", "week"]).select("cell", "week", ((F.col("us") - F.col("us0")) / 3.6e9).alias("t"), F.col("value").alias("v"), F.col("current").alias("i"), "seq")
+    pulses = ends.where("n >= 8 and i_p > 0 and us1 > us0").select(*keys, "us0", ((F.col("us1") - F.col("us0")) / 7.2e9).alias("t_p"), "i_p", "v_pre", F.lit(0.01).alias("r0"))
+    of = rows.join(pulses, keys).select(*keys, ((F.col("us") - F.col("us0")) / 3.6e9).alias("t"), F.col("value").alias("v"), F.col("current").alias("i"), "seq")
     return of, pulses.drop("us0")
 
 
+def weekly(spark, sf_dir):
+    """Pulses by cell and week."""
+    return as_pulses(samples(spark, sf_dir), ["cell", "week"])
+
+
+def _by_cell(spark, sf_dir):
+    """One pulse of each cell; cells of one number modulo 10 are a check-up."""
+    return as_pulses(samples(spark, sf_dir).withColumn("checkup", F.col("cell") % 10), ["checkup", "cell"])
+
+
 def good_pulses(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("target", F.when((F.col("seq") % 4 == 0) & (F.col("week") % 2 == 0), "PUL"))
     return pulse.selected(rows, ["cell", "week"], ["us", "seq"], "current", "state", "target", amplitudes=[20, 50, 80], tolerance=0.4)
@@ -98,6 +108,15 @@ def staged(spark, sf_dir):
     return pulse.staged(*weekly(spark, sf_dir), ["cell", "week"])
 
 
+def fractional_chain(spark, sf_dir):
+    return fractional.chain(*_by_cell(spark, sf_dir), ["checkup", "cell"], ["checkup"])
+
+
+def shared_resistance(spark, sf_dir):
+    found = kept(fractional.prepared(*_by_cell(spark, sf_dir), ["checkup", "cell"]), "prepared")
+    return fractional.series_resistance(found, ["checkup"])[0].select("checkup", F.col("value").alias("r_s"))
+
+
 def rested(spark, sf_dir):
     """Rests of two samples or more that follow a step: where they begin and what was before."""
     found = pulse.rests(samples(spark, sf_dir), ["cell"], ["us", "seq"], "state", "us", "current", "value", 2)
@@ -226,6 +245,8 @@ h AS (SELECT *, lag(st) OVER w AS was, lag(v) OVER w AS v_last, lag(i) OVER w AS
 SELECT cell, CAST(segment AS BIGINT) AS segment, n, v_last, i_p, round((t1 - t0) / 1e6, 3) AS seconds FROM h WHERE st IN ('PAU', 'PAUO') AND was IN ('CHA', 'DCH') AND n >= 2""",
     ),
     "FIT8_by_health": Query(by_health),
+    "FIT10_fractional_chain": Query(fractional_chain),
+    "FIT23_shared_resistance": Query(shared_resistance),
     "FIT11_decade_table": Query(
         decades,
         "WITH d AS (SELECT l_suppkey AS s, l_extendedprice AS tau, CAST(l_quantity AS DOUBLE) AS r, CASE WHEN l_extendedprice < 30 THEN 1 WHEN l_extendedprice < 300 THEN 2 WHEN l_extendedprice < 3000 THEN 3 WHEN l_extendedprice < 30000 THEN 4 ELSE 5 END AS decade FROM lineitem), w AS (SELECT s, sum(r) AS r_pulse, coalesce(sum(r) FILTER (tau <= 1), 0) AS r_fast, coalesce(sum(r) FILTER (tau > 1), 0) AS r_slow FROM d GROUP BY s) SELECT s, decade, sum(r) AS r, max(r) AS largest, any_value(r_pulse) AS r_pulse, any_value(r_fast) AS r_fast, any_value(r_slow) AS r_slow FROM d JOIN w USING (s) GROUP BY s, decade",
