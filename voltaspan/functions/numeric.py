@@ -189,25 +189,40 @@ def two_rc(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
     return (p if p[2] <= p[4] else p[[0, 3, 4, 1, 2]]), rms
 
 
-def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.ndarray:
-    """Clusters of varying density, -1 for noise: mutual reachability tree, condensed by size, of
-    whose branches those of greatest persistence are taken."""
+def spanning_edges(x: np.ndarray, core: np.ndarray | None = None) -> np.ndarray:
+    """Rows distance, a, b of a minimum spanning tree of points by mutual reachability (the greatest
+    of a pair's distance and both core distances). Holds one row of distances at a time."""
     n = len(x)
-    if n < 2 * least:
-        return np.full(n, -1)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    core = np.sort(d, axis=1)[:, min(neighbours, n - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    core = np.zeros(n) if core is None else core
     inside, near, parent = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    at, edges = 0, []
-    for _ in range(n - 1):
+    at, edges = 0, np.empty((max(n - 1, 0), 3))
+    for k in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < near)
-        near[closer], parent[closer] = reach[at][closer], at
+        reach = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
+        closer = ~inside & (reach < near)
+        near[closer], parent[closer] = reach[closer], at
         at = int(np.argmin(np.where(inside, np.inf, near)))
-        edges.append((near[at], parent[at], at))
-    edges.sort()
-    root, members = list(range(n)), {i: [i] for i in range(n)}
+        edges[k] = near[at], parent[at], at
+    return edges
+
+
+def core_distances(x: np.ndarray, neighbours: int) -> np.ndarray:
+    """Distance of each point to its so-manieth neighbour. One neighbour changes no reachability, as
+    a pair's distance is never less."""
+    if neighbours < 2 or not len(x):
+        return np.zeros(len(x))
+    return np.array([np.partition(np.sqrt(((x - p) ** 2).sum(axis=1)), min(neighbours, len(x) - 1))[min(neighbours, len(x) - 1)] for p in x])
+
+
+def condensed_clusters(n: int, edges: np.ndarray, least: int = 5, epsilon: float = 0.0) -> np.ndarray:
+    """Clusters from the edges of a spanning tree of ``n`` points, -1 for noise. The tree is condensed
+    by size; of its branches those of greatest persistence are taken, and those that part below the
+    distance ``epsilon`` go up to the branch that parts above it."""
+    if n < 2 * least:
+        return np.full(n, -1)
+    edges = edges[np.lexsort((edges[:, 2], edges[:, 1], edges[:, 0]))]
+    root, size = np.arange(2 * n - 1), np.ones(2 * n - 1, np.int64)
+    up = np.full(2 * n - 1, -1)  # the merge that a component went into
     of: dict[int, int] = {}  # cluster of a component that is large enough
     clusters: list[dict] = []
 
@@ -217,35 +232,54 @@ def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 1) -> np.n
             i = root[i]
         return i
 
-    for distance, a, b in edges:
-        a, b = top(a), top(b)
-        rate, new = 1 / max(distance, 1e-12), len(root)
+    for k, (distance, a, b) in enumerate(edges.tolist()):
+        a, b, new = top(int(a)), top(int(b)), n + k
+        rate = 1 / max(distance, 1e-12)
         for c in (a, b):  # what a cluster persists is its size over the rates it spans
             if c in of:
-                k = clusters[of[c]]
-                k["score"] += len(members[c]) * (k["rate"] - rate)
-                k["rate"] = rate
-        root.append(new)
-        root[a] = root[b] = new
-        members[new] = members.pop(a) + members.pop(b)
+                one = clusters[of[c]]
+                one["score"] += size[c] * (one["rate"] - rate)
+                one["rate"] = rate
+        root[a] = root[b] = up[a] = up[b] = new
+        size[new] = size[a] + size[b]
         kids = [of[c] for c in (a, b) if c in of]
         if len(kids) == 1:
             of[new] = kids[0]
-            clusters[kids[0]]["members"] = members[new]
-        elif kids or len(members[new]) >= least:
+            clusters[kids[0]]["top"] = new
+        elif kids or size[new] >= least:
+            for kid in kids:
+                clusters[kid]["parts"], clusters[kid]["up"] = distance, len(clusters)
             of[new] = len(clusters)
-            clusters.append({"members": members[new], "rate": rate, "score": 0.0, "kids": kids})
-
-    def best(k: int) -> tuple[float, list[int]]:
-        kids = [best(c) for c in clusters[k]["kids"]]
-        below = sum(s for s, _ in kids)
-        return (clusters[k]["score"], [k]) if not kids or clusters[k]["score"] >= below else (below, [c for _, cs in kids for c in cs])
-
-    out = np.full(n, -1)
-    last = top(0)
-    if last in of:
-        whole = clusters[of[last]]
-        chosen = [c for k in whole["kids"] for c in best(k)[1]] if whole["kids"] else [of[last]]
-        for label, k in enumerate(sorted(chosen, key=lambda k: min(clusters[k]["members"]))):
-            out[clusters[k]["members"]] = label
-    return out
+            clusters.append({"top": new, "rate": rate, "score": 0.0, "kids": kids, "parts": np.inf, "up": None})
+
+    whole = of.get(2 * n - 2)
+    if whole is None:
+        return np.full(n, -1)
+    best: list[tuple[float, list[int]]] = []
+    for one in clusters:  # kids come before what they merge into
+        below = sum(best[c][0] for c in one["kids"])
+        keep = not one["kids"] or one["score"] >= below
+        best.append((one["score"], [len(best)]) if keep else (below, [c for kid in one["kids"] for c in best[kid][1]]))
+    kids = clusters[whole]["kids"]
+    taken = [c for kid in kids for c in best[kid][1]] if kids else [whole]
+    lifted = set()
+    for k in taken:
+        while clusters[k]["parts"] < epsilon and clusters[k]["up"] not in (None, whole):
+            k = clusters[k]["up"]
+        lifted.add(k)
+    mark = np.full(2 * n - 1, -1)
+    for k in lifted:
+        mark[clusters[k]["top"]] = k
+    for i in range(2 * n - 2, -1, -1):  # from the last merge down
+        if mark[i] < 0 and up[i] >= 0:
+            mark[i] = mark[up[i]]
+    found = mark[:n]
+    first = {k: i for i, k in reversed(list(enumerate(found.tolist()))) if k >= 0}
+    labels = {k: i for i, k in enumerate(sorted(first, key=first.get))}
+    return np.array([labels.get(k, -1) for k in found.tolist()])
+
+
+def density_clusters(x: np.ndarray, least: int = 5, neighbours: int = 1, epsilon: float = 0.0) -> np.ndarray:
+    """Clusters of varying density, -1 for noise: the tree of mutual reachability, condensed by size,
+    of whose branches those of greatest persistence are taken."""
+    return condensed_clusters(len(x), spanning_edges(x, core_distances(x, neighbours)), least, epsilon)

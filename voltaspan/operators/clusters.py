@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaspan.operators import density
 from voltaspan.operators.rules import near_any, power_rate_near, rate_near
 
 
@@ -100,6 +101,43 @@ def filtered(
     return rows.withColumn("target", F.when((F.col("target") == "CAP*") & ~F.coalesce(fine, F.lit(False)), "-1").otherwise(F.col("target")))
 
 
+@dataclass(frozen=True)
+class Layer:
+    """Least size of a cluster, and the distance below which clusters don't part."""
+
+    least: int = 5
+    epsilon: float = 0.0
+
+
+def two_layers(
+    segments: DataFrame, keys: Sequence[str], item: str, programs: int, protocol: Protocol, first: Layer = Layer(), second: Layer = Layer(), duration: str = "duration", buffer: int = 3
+) -> DataFrame:
+    """Segments (columns item, duration, minutes, current_mean, abs_current, current_std,
+    voltage_min) with ``cluster``, ``cluster_id`` and ``target``, all of them.
+
+    Clusters by duration and size of the current; where no cluster of a key is clearly its capacity
+    tests, the segments of the likeliest one are clustered again, by current alone, and of those
+    the nearest to the rate are the tests (``cap_layer_<k>``). Short clusters are pulses, the one
+    that lasts like a slow sweep is that; what is none of these keeps its cluster's number.
+    """
+    keys = list(keys)
+    rows = segments.join(density.density_clusters(segments, keys, item, [duration, "abs_current"], first.least, first.epsilon), [*keys, item])
+    averages = ("current_mean", "abs_current", "current_std", "voltage_min", "minutes")
+    means = rows.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in averages])
+    flags = qocv_clusters(pulse_clusters(capacity_first(means, keys, protocol.cap_rate), protocol), keys, protocol)
+    rows = rows.join(flags.select(*keys, "cluster", "cap", "again", "pulse", "qocv"), [*keys, "cluster"])
+    likely = rows.where("again")
+    inner = density.density_clusters(likely, keys, item, ["current_mean"], second.least, second.epsilon).withColumnRenamed("cluster", "_layer")
+    within = likely.select(*keys, item, "current_mean").join(inner, [*keys, item])
+    tests = capacity_second(within.groupBy(*keys, F.col("_layer").alias("cluster")).agg(F.count("*").alias("n"), F.avg("current_mean").alias("current_mean")), keys, protocol.cap_rate, programs, buffer)
+    layered = inner.join(tests.select(*keys, F.col("cluster").alias("_layer"), F.col("cap").alias("_cap")), [*keys, "_layer"])
+    rows = rows.join(layered, [*keys, item], "left")
+    cap = F.when(F.col("again"), F.coalesce("_cap", F.lit(False))).otherwise(F.col("cap"))
+    named = F.when(F.col("again"), F.concat(F.lit("cap_layer_"), F.col("_layer").cast("string"))).otherwise(F.col("cluster").cast("string"))
+    target = F.when(cap, "CAP*").when(F.col("pulse"), "PUL*").when(F.col("qocv"), "QOCV*").otherwise(F.col("cluster").cast("string"))
+    return rows.select(*segments.columns, "cluster", named.alias("cluster_id"), target.alias("target"))
+
+
 def reunited(kept: DataFrame, dropped: DataFrame, target: str = "-1") -> DataFrame:
     """Segments that went through the layers, with those that were left out before, under a label of
     their own."""

@@ -1,4 +1,4 @@
-"""Fits of one small group at a time, as grouped maps: spectra, relaxations, clusters."""
+"""Fits of one small group at a time, as grouped maps: spectra and relaxations."""
 
 from __future__ import annotations
 
@@ -73,17 +73,3 @@ def differential(rows: DataFrame, keys: list[str], order: str, voltage: str, cha
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "q": grid, "dvdq": smooth})
 
     return rows.select(*keys, order, voltage, charge).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} long" for k in keys), "q double", "dvdq double"]))
-
-
-def clusters(rows: DataFrame, key: str, item: str, columns: list[str], least: int = 5) -> DataFrame:
-    """Density clusters of the items of each key; -1 is noise. Meant for the segments of a cell."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        x = pdf[columns].to_numpy(float)
-        fine = np.isfinite(x).all(axis=1)
-        label = np.full(len(pdf), -1)
-        label[fine] = numeric.density_clusters(x[fine], least)
-        return pd.DataFrame({"key": pdf[key], "item": pdf[item], "cluster": label})
-
-    return rows.select(key, item, *columns).groupBy(key).applyInPandas(run, "key long, item long, cluster int")

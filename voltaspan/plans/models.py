@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from voltaspan.operators import features, fits, fractional, sweeps
+from voltaspan.operators import density, features, fits, fractional, sweeps
 from voltaspan.operators import pulses as pulse
 from voltaspan.operators import spectra as impedance_fits
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
@@ -41,7 +41,8 @@ def _segments(spark, sf_dir):
 
 
 def clusters(spark, sf_dir):
-    return fits.clusters(_segments(spark, sf_dir), "cell", "week", ["duration_log", "abs_current_mean"], 3)
+    found = density.density_clusters(_segments(spark, sf_dir), ["cell"], "week", ["duration_log", "abs_current_mean"], 3, epsilon=0.1)
+    return found.withColumnsRenamed({"cell": "key", "week": "item"})
 
 
 def kmeans(spark, sf_dir):

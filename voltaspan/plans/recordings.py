@@ -184,6 +184,15 @@ def reunited(spark, sf_dir):
     return clusters.reunited(rows.where("n >= 3"), rows.where("n < 3").drop("target")).select("cell", "week", "target")
 
 
+def two_layers(spark, sf_dir):
+    """Segments by how long they last and their current, then what may be capacity tests by current."""
+    rows = segments(spark, sf_dir).select(
+        "cell", "week", (F.col("minutes") / 1500).alias("duration"), "minutes", (F.col("i") / 2000).alias("current_mean"), (F.abs("i") / 2000).alias("abs_current"), F.lit(0.0).alias("current_std"), F.lit(0.0).alias("voltage_min")
+    )
+    found = clusters.two_layers(rows, ["cell"], "week", 1, PROTOCOL, clusters.Layer(2), clusters.Layer(2))
+    return found.select("cell", "week", "cluster", "cluster_id", "target")
+
+
 def extended(spark, sf_dir):
     """The first weeks built, the later ones added: as if all were built at once. A file is a week."""
     rows = samples(spark, sf_dir).withColumn("early", F.col("week") < F.lit(1_706_000_000_000_000))
@@ -309,6 +318,7 @@ QUERIES = {
     ),
     "M4_filtered_labels": Query(filtered_labels),
     "M5_reunited_segments": Query(reunited),
+    "M5_two_layers": Query(two_layers),
     "T1_extended_build": Query(extended, f"{_EXTENDED} SELECT cell, count(DISTINCT us) AS n, round(sum(contrib), 3) AS ah, 0 AS late FROM c GROUP BY cell"),
     "T2_provisional_state": Query(provisional, f"{_EXTENDED} SELECT cell, round(sum(contrib), 3) AS ah, max(us) AS last_us, arg_max(current, (us, seq)) AS current FROM c GROUP BY cell"),
     "A44_diluted_charge": Query(diluted, f"WITH {SAMPLES}, x AS (SELECT cell, kind, us, max(seq) AS seq, arg_max(current, seq) AS current FROM s GROUP BY cell, kind, us), {contributed('cell', 'x')} SELECT cell, count(*) AS n, round(sum(contrib), 3) AS ah FROM c GROUP BY cell"),
