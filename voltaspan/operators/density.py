@@ -23,7 +23,7 @@ from voltaspan.sources.shared import kept
 BLOCK = 1024
 
 
-def _types(df: DataFrame, names: Sequence[str]) -> str:
+def types(df: DataFrame, names: Sequence[str]) -> str:
     of = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(f"`{n}` {of[n]}" for n in names)
 
@@ -39,7 +39,7 @@ def _curve(x: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int = 16) ->
     return out
 
 
-def _blocked(points: DataFrame, keys: Sequence[str], dims: int, size: int) -> DataFrame:
+def blocked(points: DataFrame, keys: Sequence[str], dims: int, size: int) -> DataFrame:
     """Points (keys, id, x) with ``block``: runs of up to ``size`` along the curve, by key."""
     ends = points.groupBy(*keys).agg(*[f(F.col("x")[k]).alias(f"{name}{k}") for k in range(dims) for f, name in ((F.min, "low"), (F.max, "high"))])
     placed = points.join(ends, list(keys))
@@ -62,10 +62,10 @@ def _blocked(points: DataFrame, keys: Sequence[str], dims: int, size: int) -> Da
                 blocks.append((part << 32) + run)
             yield pdf[names].assign(block=blocks)
 
-    on_curve = placed.mapInPandas(place, _types(points, names) + ", z long")
+    on_curve = placed.mapInPandas(place, types(points, names) + ", z long")
     parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // (64 * size)))
     ordered = on_curve.repartitionByRange(parts, *keys, "z", "id").sortWithinPartitions(*keys, "z", "id")
-    return ordered.mapInPandas(cut, _types(points, names) + ", block long")
+    return ordered.mapInPandas(cut, types(points, names) + ", block long")
 
 
 def _nearest_foreign(x, core, comp, ids, y, core_y, comp_y, ids_y) -> dict:
@@ -119,7 +119,7 @@ def _round(points: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
 
         return run
 
-    schema = f"{_types(points, keys)}, {_EDGE}"
+    schema = f"{types(points, keys)}, {_EDGE}"
     inner = kept(packed.where("size(comps) > 1").select(*keys, "ids", "x", "core", "comp").mapInPandas(edges(False), schema), "edges")
     # boxes of two blocks bound the distances between their points from below and above
     boxes = packed.select(*keys, "block", "low", "high", "most_core", F.size("comps").alias("n"), F.col("comps")[0].alias("one"))
@@ -159,7 +159,7 @@ def spanning_tree(points: DataFrame, keys: Sequence[str], dims: int, block: int
     """Rows keys, distance, a, b: a minimum spanning tree of each key's points (keys, ``id``, ``x``,
     ``core``) by mutual reachability. Ids are unique in their key."""
     cores = points.select(*keys, "id", "core")
-    now = kept(_blocked(points.select(*keys, "id", "x"), keys, dims, block).join(cores, [*keys, "id"]).withColumn("comp", F.col("id")), "points")
+    now = kept(blocked(points.select(*keys, "id", "x"), keys, dims, block).join(cores, [*keys, "id"]).withColumn("comp", F.col("id")), "points")
     tree = None
     while True:
         found = kept(_round(now, keys, dims), "found")
@@ -188,7 +188,7 @@ def density_clusters(rows: DataFrame, keys: Sequence[str], item: str, columns: S
     points = kept(of.where("fine").select(*keys, "id", "x"), "points")
     sizes = points.groupBy(*keys).agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > block).select(*keys)
-    schema = f"{_types(points, [*keys, 'id'])}, cluster int"
+    schema = f"{types(points, [*keys, 'id'])}, cluster int"
 
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

@@ -67,18 +67,3 @@ def bracketed(points: DataFrame, knots: DataFrame, keys: list[str], at: str, val
     share = F.try_divide(F.col(at) - F.col("_k0"), F.col("_k1") - F.col("_k0"))
     blend = F.when(F.col("_k1") > F.col("_k0"), F.col("_v0") + share * (F.col("_v1") - F.col("_v0")))
     return both.where("_side = 1").withColumn(value, F.coalesce(blend, "_v0", "_v1")).drop("_k", "_v", "_side", "_k0", "_k1", "_v0", "_v1")
-
-
-def nearest_values(rows: DataFrame, group: str, key: str, value: str, k: int) -> DataFrame:
-    """Rows key, other: for each row the ``k`` others of its group that are nearest in value, ties to
-    the smaller key. No pairs of a group are made: a row looks at the ``k`` distinct values on
-    either side of its own, and at the ``k + 1`` smallest keys of each."""
-    n = F.row_number().over(Window.partitionBy(group, value).orderBy(key))
-    few = rows.where(F.col(value).isNotNull()).withColumn("_n", n).where(F.col("_n") <= k + 1)
-    values = few.groupBy(group, value).agg(F.sort_array(F.collect_list(key)).alias("_keys"))  # k + 1 each
-    w, here = Window.partitionBy(group).orderBy(value), F.struct(F.col(value).alias("y"), F.col("_keys").alias("keys"))
-    around = F.array(here, *[f(here, i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)])
-    found = rows.join(values.select(group, value, around.alias("_around")), [group, value])
-    each = found.select(key, value, F.explode(F.filter("_around", lambda a: a.isNotNull())).alias("_a")).select(key, F.abs(F.col("_a.y") - F.col(value)).alias("_d"), F.explode("_a.keys").alias("other"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_d", "other"))
-    return each.where(F.col("other") != F.col(key)).withColumn("_place", place).where(F.col("_place") <= k).select(key, "other")

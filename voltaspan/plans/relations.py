@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import features, joins, segment
+from voltaspan.operators import neighbours as nearby
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
 from voltaspan.plans.series import BM, PROCEDURES, segmented
 
@@ -148,9 +149,9 @@ def pairs(spark, sf_dir):
 
 
 def neighbours(spark, sf_dir):
-    """At most four nearest of each nation's suppliers by (balance, key), as undirected edges."""
-    found = joins.nearest_values(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", 4)
-    return found.select(F.least("s_suppkey", "other").alias("u"), F.greatest("s_suppkey", "other").alias("v")).distinct()
+    """At most four nearest of each brand's parts in the plane of size and price, each pair once."""
+    found = nearby.nearest_points(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", ["p_size", "p_retailprice"], 4)
+    return nearby.lines(found, ["p_brand"], "p_partkey").select("u", "v")
 
 
 def same_direction_nearest(spark, sf_dir):
@@ -188,6 +189,9 @@ QUERIES = {
     "J20_borrowed_temperature": Query(borrowed, "WITH j AS (SELECT c_custkey, c_nationkey, avg(o_totalprice) AS own FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), n AS (SELECT c_nationkey, avg(own) AS mean FROM j GROUP BY c_nationkey) SELECT c_custkey, round(coalesce(own, mean), 4) AS temperature, CASE WHEN own IS NOT NULL THEN 'own' WHEN mean IS NOT NULL THEN 'mean' ELSE 'none' END AS source FROM j JOIN n USING (c_nationkey)"),
     "J21_interpolated_reference": Query(interpolated, f"WITH {SAMPLES}, k AS (SELECT cell, us, avg(value) AS v FROM s WHERE kind = 'signup' GROUP BY cell, us), p AS (SELECT cell, seq, us, (SELECT max(us) FROM k WHERE k.cell = s.cell AND k.us <= s.us) AS k0, (SELECT min(us) FROM k WHERE k.cell = s.cell AND k.us >= s.us) AS k1 FROM s WHERE kind = 'error') SELECT p.cell, seq, round(CASE WHEN k1 > k0 THEN a.v + (p.us - k0) / (k1 - k0) * (z.v - a.v) ELSE coalesce(a.v, z.v) END, 4) AS ref FROM p LEFT JOIN k a ON a.cell = p.cell AND a.us = k0 LEFT JOIN k z ON z.cell = p.cell AND z.us = k1"),
     "J17_sweep_pairs": Query(pairs, f"WITH {SAMPLES}, {BM} SELECT cell, CAST(bm AS INT) AS bm, max(value) FILTER (kind = 'click') AS cha, max(value) FILTER (kind = 'purchase') AS dch FROM b GROUP BY cell, bm HAVING count(*) FILTER (kind = 'click') > 0 AND count(*) FILTER (kind = 'purchase') > 0"),
-    "J22_nearest_neighbours": Query(neighbours, "WITH n AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey) SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM n WHERE n <= 4"),
+    "J22_nearest_neighbours": Query(
+        neighbours,
+        "WITH d AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(a.p_size AS DOUBLE) - b.p_size AS x, CAST(a.p_retailprice AS DOUBLE) - b.p_retailprice AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey), n AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY x * x + y * y, b) AS n FROM d) SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM n WHERE n <= 4",
+    ),
     "J12_same_direction_nearest": Query(same_direction_nearest, f"WITH {SAMPLES}, r AS (SELECT cell, max(us) AS ref FROM s WHERE kind = 'error' GROUP BY cell) SELECT cell, kind, arg_min(seq, (coalesce(abs(us - ref), 0), us, seq)) AS seq FROM s LEFT JOIN r USING (cell) WHERE kind IN ('click', 'purchase') GROUP BY cell, kind"),
 }
