@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-import random
 import tempfile
 
 import pytest

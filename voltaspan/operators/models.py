@@ -12,9 +12,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltaspan.sources.shared import kept
+
 
 def complete(features: Sequence[str]) -> Column:
     """Whether a row has a number in every feature."""
@@ -48,10 +50,14 @@ def predicted(rows: DataFrame, model: PipelineModel, features: Sequence[str], mi
 
 def held_out(rows: DataFrame, features: Sequence[str], label: str, group: str, trees: int = 300, folds: int = 5, depth: int = 10) -> DataFrame:
     """Each row with what a forest says that has seen no row of its group: groups are dealt into
-    ``folds``, and each fold is predicted from the others. As many folds as groups leave one out."""
-    of = F.pmod(F.xxhash64(group), F.lit(folds))
-    parts = [predicted(rows.where(of == k), forest(rows.where(of != k), features, label, trees, depth), features) for k in range(folds)]
-    return functools.reduce(DataFrame.unionByName, parts)
+    ``folds`` in their order, and each fold is predicted from the others. As many folds as groups
+    leave one out; folds beyond the groups are none. Groups are few (the cells of a fleet)."""
+    place = F.row_number().over(Window.orderBy(group)) - 1
+    of = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_fold", place % folds)
+    dealt = kept(rows.join(of, group), "dealt")
+    found = [k for (k,) in of.select("_fold").distinct().orderBy("_fold").collect()]
+    parts = [predicted(dealt.where(F.col("_fold") == k), forest(dealt.where(F.col("_fold") != k), features, label, trees, depth), features) for k in found]
+    return functools.reduce(DataFrame.unionByName, parts).drop("_fold")
 
 
 def centred(rows: DataFrame, features: Sequence[str], k: int = 10, seed: int = 1) -> DataFrame:

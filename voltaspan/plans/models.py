@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from voltaspan.operators import density, features, fits, fractional, sweeps
+from voltaspan.operators import density, features, fits, fractional, isolation, sweeps
 from voltaspan.operators import pulses as pulse
 from voltaspan.operators import spectra as impedance_fits
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
@@ -50,6 +50,13 @@ def kmeans(spark, sf_dir):
     return KMeans(k=8, seed=1, maxIter=5).fit(data).transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+def isolated(spark, sf_dir):
+    """Parts set apart by size, price and weight of their name; those of the first brands are normal."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"), F.length("p_name").cast("double").alias("name"))
+    found = isolation.outliers(parts, parts.where("p_brand < 'Brand#3'"), "p_partkey", ["size", "price", "name"], 0.02)
+    return found.select("p_partkey", "score", "outlier")
+
+
 def forest(spark, sf_dir):
     names = ["voltage_mean", "voltage_std", "current_mean", "current_std", "duration_log", "norm_duration"]
     data = _segments(spark, sf_dir).withColumn("target", F.when(F.col("current_mean") > 0, "CHA").otherwise("DCH")).na.drop(subset=names)
@@ -213,6 +220,7 @@ QUERIES = {
     "F6_differential": Query(differential),
     "M1_density_clusters": Query(clusters),
     "M7_kmeans": Query(kmeans),
+    "M7_isolation_forest": Query(isolated),
     "M6_random_forest": Query(forest),
     "FIT1_good_pulses": Query(
         good_pulses,
