@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltaspan.operators import build, clusters, models, raw, rules
-from voltaspan.plans.base import CUT, SAMPLES, Query, contributed, rounded, samples, table
+from voltaspan.operators import build, clusters, models, raw, rules, versions
+from voltaspan.plans.base import CUT, SAMPLES, Query, contributed, rounded, samples, shared_folder, table
 
 PROTOCOL = clusters.Protocol(cap_rate=0.01, qocv_rate=0.02, pulse_seconds=90000.0, pulse_tolerance=1.0, qocv_tolerance=2.0)
 
@@ -202,6 +204,19 @@ def extended(spark, sf_dir):
     return found.join(late.groupBy("cell").agg(F.count("*").alias("late")), "cell", "left").select("cell", "n", "ah", F.coalesce("late", F.lit(0)).alias("late"))
 
 
+def committed(spark, sf_dir):
+    """Two versions: the second brings weeks between those of the first, so cells with late rows are
+    built anew. A file is a week of a cell, a program a procedure."""
+    rows = samples(spark, sf_dir).withColumns({"file": F.concat_ws("=", "cell", "week"), "program": F.col("procedure")})
+    store = versions.Store(spark, f"{shared_folder(spark)}/builds-{uuid.uuid4().hex}")
+    even = F.floor(F.col("week") / F.lit(7 * 86_400_000_000)) % 2 == 0
+    for part in (rows.where(even), rows):
+        versions.update(store, part, "cell", "file", "program", "us", "seq", "current", CUT)
+    numbers = store.table("programs").groupBy("cell").agg(F.max("bm").alias("last_bm"))
+    found = store.table("rows").groupBy("cell").agg(F.count("*").alias("n"), F.round(F.max_by("ah", "us"), 3).alias("ah"))
+    return found.join(numbers, "cell").select("cell", "n", "ah", "last_bm", F.lit(store.current().number).alias("version"))
+
+
 def provisional(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("done", F.col("week") < F.lit(1_706_000_000_000_000))
     table_ = build.built(rows.where("done"), "cell", "week", "us", "seq", "current", CUT)
@@ -320,6 +335,10 @@ QUERIES = {
     "M5_reunited_segments": Query(reunited),
     "M5_two_layers": Query(two_layers),
     "T1_extended_build": Query(extended, f"{_EXTENDED} SELECT cell, count(DISTINCT us) AS n, round(sum(contrib), 3) AS ah, 0 AS late FROM c GROUP BY cell"),
+    "T1_committed_build": Query(
+        committed,
+        f"{_EXTENDED} SELECT cell, n, ah, last_bm, CAST(2 AS INT) AS version FROM (SELECT cell, count(DISTINCT us) AS n, round(sum(contrib), 3) AS ah FROM c GROUP BY cell) JOIN (SELECT cell, count(DISTINCT procedure) - 1 AS last_bm FROM s GROUP BY cell) USING (cell)",
+    ),
     "T2_provisional_state": Query(provisional, f"{_EXTENDED} SELECT cell, round(sum(contrib), 3) AS ah, max(us) AS last_us, arg_max(current, (us, seq)) AS current FROM c GROUP BY cell"),
     "A44_diluted_charge": Query(diluted, f"WITH {SAMPLES}, x AS (SELECT cell, kind, us, max(seq) AS seq, arg_max(current, seq) AS current FROM s GROUP BY cell, kind, us), {contributed('cell', 'x')} SELECT cell, count(*) AS n, round(sum(contrib), 3) AS ah FROM c GROUP BY cell"),
     "S22_pending_files": Query(pending_files, "SELECT o_orderkey || '=' || o_orderstatus AS name FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice <= 200000"),
