@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.sources.shared import shared_folder
 
-__all__ = ["Query", "SAMPLES", "contributed", "rounded", "samples", "shared_folder", "table"]
+__all__ = ["Query", "SAMPLES", "contributed", "rounded", "sampled", "samples", "shared_folder", "table"]
 
 #: Gaps longer than so many median intervals carry no charge.
 CUT = 3.0
@@ -35,12 +35,17 @@ def rounded(x: Column | str, digits: int) -> Column:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows cell, seq, us, value, kind, current, state, procedure, week."""
+    return sampled(table(spark, sf_dir, "events"))
+
+
+def sampled(events: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
     kind, value = F.col("event_type"), F.col("value")
     current = F.when(kind == "click", value).when(kind == "purchase", -value).otherwise(0.0)
     state = F.when(kind == "view", "PAU").when(kind == "error", "PAUO").when(kind == "click", "CHA").when(kind == "purchase", "DCH").otherwise("EIS")
     quarter = F.floor(F.get_json_object("props", "$.k").cast("int") / 25).cast("string")
     stamp = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("cell"), F.col("event_id").alias("seq"), F.unix_micros(stamp).alias("us"), "value", kind.alias("kind"),
         current.alias("current"), state.alias("state"), F.concat(F.lit("P"), quarter).alias("procedure"), F.unix_micros(F.date_trunc("week", stamp)).alias("week"),
     )

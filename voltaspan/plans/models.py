@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from voltaspan.operators import density, features, fits, fractional, isolation, sweeps
 from voltaspan.operators import pulses as pulse
 from voltaspan.operators import spectra as impedance_fits
-from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
+from voltaspan.plans.base import SAMPLES, Query, rounded, sampled, samples, shared_folder, table
 from voltaspan.plans.reports import spectra
 from voltaspan.sources.shared import kept
-from voltaspan.streaming import incremental
+from voltaspan.streaming import incremental, integral
 
 
 def drt(spark, sf_dir):
@@ -207,6 +207,13 @@ def streamed_days(spark, sf_dir):
     return found.select(F.unix_micros("day").alias("day_us"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
+def running_integral(spark, sf_dir):
+    """Each kind of a cell is a recording; gaps over two days carry no charge."""
+    stream = sampled(incremental.source(spark, sf_dir, "events.parquet"))
+    found = integral.drained(integral.integrated(stream, "cell", "kind", "us", "seq", "current", 2 * 86_400_000_000), shared_folder(spark))
+    return found.select(F.col("cell").cast("long").alias("cell"), F.col("file").alias("kind"), F.round("ah", 3).alias("ah"), "n", "last_us")
+
+
 def appended_totals(spark, sf_dir):
     rows = samples(spark, sf_dir).groupBy("cell", (F.col("seq") % 2).alias("half")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
     found = incremental.appended(rows.where("half = 0"), rows.where("half = 1"), "cell", "total", "n")
@@ -278,5 +285,9 @@ SELECT cell, CAST(segment AS BIGINT) AS segment, n, v_last, i_p, round((t1 - t0)
     "F6_differential_capacity": Query(differential_capacity),
     "F7_overlaid_curves": Query(overlaid),
     "T2_streamed_days": Query(streamed_days, "SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"),
+    "T5_running_integral": Query(
+        running_integral,
+        f"WITH {SAMPLES}, x AS (SELECT cell, kind, us, arg_max(current, seq) AS i FROM s WHERE us IS NOT NULL GROUP BY cell, kind, us), d AS (SELECT *, us - lag(us) OVER w AS dt, lag(i) OVER w AS p FROM x WINDOW w AS (PARTITION BY cell, kind ORDER BY us)) SELECT cell, kind, round(sum(CASE WHEN dt > 172800000000 THEN 0.0 ELSE coalesce((abs(i) + abs(p)) / 2 * dt / 3600000000.0, 0.0) END), 3) AS ah, count(*) AS n, max(us) AS last_us FROM d GROUP BY cell, kind",
+    ),
     "T1_appended_totals": Query(appended_totals, "SELECT user_id AS cell, round(sum(value), 3) AS total, count(*) AS n FROM events GROUP BY user_id"),
 }
