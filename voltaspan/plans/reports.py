@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import fleet, impedance, ladder, pulses, segment
-from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
+from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
 from voltaspan.plans.series import BM
+from voltaspan.sources import spectra as spectra_source
 
 
 def checkups(spark, sf_dir):
@@ -109,6 +112,36 @@ def reduced_spectrum(spark, sf_dir):
     return spectra(spark, sf_dir).select("eis", "f", rounded("re", 6).alias("re"), rounded("im", 6).alias("im"))
 
 
+def _spectra_files(spark, sf_dir):
+    """A supplier's line items as a device's files: every third in Parquet, others in CSV with a line
+    of units; of every seventh a column has another name, every eleventh never settles."""
+    at = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    s = F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("EIS"), F.lpad(s.cast("string"), 8, "0")).alias("name"), F.row_number().over(Window.partitionBy(s).orderBy(at, "l_orderkey", "l_linenumber")).alias("k"), s.alias("s"), F.timestamp_micros(at).cast("string").alias("Zeit"),
+        F.when(s % 11 == 0, 0.0).otherwise(F.col("l_quantity").cast("double")).alias("ActFreq"), (F.col("l_extendedprice") / 1e5).cast("double").alias("Zreal1"), (F.col("l_discount") - 0.05 + F.col("l_tax") / 100).cast("double").alias("Zimg1"),
+        (F.col("l_extendedprice") / 1e5).cast("double").alias("Betrag"),
+    )
+    folder, names = f"{shared_folder(spark)}/spectra-{uuid.uuid4().hex}", ["Zeit", "ActFreq", "Zreal1", "Zimg1", "Betrag"]
+    rows.where("s % 3 = 0").repartition("name").sortWithinPartitions("name", "k").select("name", *names).write.partitionBy("name").parquet(f"{folder}/a")
+    head = F.when(F.col("s") % 7 == 0, "Zeit,ActFreq,Zreal1,Zimg1,Size").otherwise(",".join(names))
+    csv = rows.where("s % 3 != 0")
+    tops = csv.groupBy("name", "s").agg(F.array(F.struct(F.lit(-2).alias("k"), F.first(head).alias("value")), F.struct(F.lit(-1).alias("k"), F.lit("-,Hz,Ohm,Ohm,Ohm").alias("value"))).alias("top"))
+    lines = csv.select("name", "k", F.concat_ws(",", *names).alias("value")).unionByName(tops.select("name", F.inline("top")))
+    lines.repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(f"{folder}/b")
+    return spectra_source.read(spark, folder, pattern="part-*")
+
+
+def spectra_files(spark, sf_dir):
+    found, _ = _spectra_files(spark, sf_dir)
+    return found.select(F.substring("eis_number", 4, 8).cast("long").alias("eis"), F.col("frequency").alias("f"), rounded("z_real", 6).alias("re"), rounded("z_imag", 6).alias("im"))
+
+
+def spectra_reasons(spark, sf_dir):
+    _, reasons = _spectra_files(spark, sf_dir)
+    return reasons.select(F.regexp_extract("path", "EIS([0-9]+)", 1).cast("long").alias("eis"), "reason")
+
+
 def spectrum_meta(spark, sf_dir):
     return spectra(spark, sf_dir).groupBy("eis").agg(F.min("us").alias("first_us"), F.count("*").alias("n"), F.round(F.avg("re"), 5).alias("mean"))
 
@@ -265,6 +298,8 @@ QUERIES = {
     "A25_signature": Query(signature, f"WITH {SAMPLES} SELECT state, count(*) AS n, round(avg(value), 3) AS mean, round(min(value), 3) AS low, round(max(value), 3) AS high, mode(kind) AS target, state || '|' || count(*) || '|' || mode(kind) AS key FROM s GROUP BY state"),
     "A26_signed_charge": Query(signed_charge, f"WITH {SAMPLES}, q AS (SELECT *, sum(abs(current)) OVER (PARTITION BY cell, week ORDER BY us, seq) AS q FROM s) SELECT cell, week, round(CASE WHEN abs(avg(current)) <= 1e-3 THEN 0.0 ELSE (max(q) - min(q)) * sign(avg(current)) END, 4) + 0.0 AS step FROM q GROUP BY cell, week"),
     "A27_reduced_spectrum": Query(reduced_spectrum, f"WITH {_SP} SELECT eis, f, round(re, 6) AS re, round(im, 6) AS im FROM z"),
+    "S24_spectra_files": Query(spectra_files, f"WITH {_SP} SELECT eis, f, round(re, 6) AS re, round(im, 6) AS im FROM z WHERE eis % 11 <> 0 AND (eis % 3 = 0 OR eis % 7 <> 0)"),
+    "S10_spectra_reasons": Query(spectra_reasons, "SELECT DISTINCT l_suppkey AS eis, CASE WHEN l_suppkey % 3 <> 0 AND l_suppkey % 7 = 0 THEN 'no column Betrag' ELSE 'no settled point' END AS reason FROM lineitem WHERE l_suppkey % 11 = 0 OR l_suppkey % 3 <> 0 AND l_suppkey % 7 = 0"),
     "A28_spectrum_meta": Query(spectrum_meta, f"WITH {_SP} SELECT eis, min(us) AS first_us, count(*) AS n, round(avg(re), 5) AS mean FROM z GROUP BY eis"),
     "FIT12_fit_free": Query(fit_free, f"WITH {_SP}, w AS (SELECT *, im * lead(im) OVER v < 0 AS c, re + im / (im - lead(im) OVER v) * (lead(re) OVER v - re) AS rc, f + im / (im - lead(im) OVER v) * (lead(f) OVER v - f) AS fc FROM z WINDOW v AS (PARTITION BY eis ORDER BY f)), g AS (SELECT eis, count(*) AS n, coalesce(arg_max(rc, f) FILTER (c), arg_min(re, (abs(im), f))) AS r_cross, coalesce(arg_max(fc, f) FILTER (c), arg_min(f, (abs(im), f))) AS f_cross, arg_min(re, f) AS r_tot, min(im) AS arc_peak, arg_min(f, (im, f)) AS f_peak FROM w GROUP BY eis) SELECT eis, n, round(r_cross, 4) AS r_cross, round(f_cross, 4) AS f_cross, round(r_tot, 4) AS r_tot, round(r_tot - r_cross, 4) AS r_pol, round(arc_peak, 4) AS arc_peak, round(f_peak, 4) AS f_peak FROM g"),
     "A33_roughness": Query(rough, f"WITH {_SP}, d AS (SELECT *, abs(re - lag(re) OVER (PARTITION BY eis ORDER BY f)) AS d FROM z) SELECT eis, round(avg(d) / nullif(median(abs(re)), 0), 5) AS roughness FROM d GROUP BY eis"),
