@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaspan.operators.median import medians
+
 #: Microseconds in a slice of time: 90 days.
 SLICE = 90 * 86_400_000_000
 HOUR = 3_600_000_000.0
@@ -40,9 +42,8 @@ def contributions(df: DataFrame, keys: list[str], time: str, tie: str, current:
     rows = with_previous(df, keys, time, tie, [time, current])
     rows = rows.withColumn("dt", F.col(time) - F.col(f"prev_{time}"))
     if cut is None:
-        median = F.percentile("dt", F.lit(0.5))
-        limits = rows.groupBy(*keys).agg(F.when((F.count("dt") >= 2) & (median > 0), factor * median).alias("cut"))
-        rows = rows.join(limits, keys)
+        middle = medians(rows, keys, "dt").select(*keys, F.when((F.col("n") >= 2) & (F.col("median") > 0), factor * F.col("median")).alias("cut"))
+        rows = rows.join(middle, keys, "left")
     else:
         rows = rows.withColumn("cut", F.lit(float(cut)))
     half = (F.abs(F.col(current)) + F.abs(F.col(f"prev_{current}"))) / 2 * F.col("dt") / F.lit(HOUR)

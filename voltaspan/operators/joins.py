@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaspan.operators import scan
+
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, tolerance: int, right_id: str) -> DataFrame:
     """Left rows with the nearest right row by time, either way, within the tolerance; of equal
@@ -25,13 +27,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, right
     return found.select(*left.columns, F.col(f"_best.{right_time}").alias(right_time), F.col(f"_best.{right_id}").alias(right_id))
 
 
-def held(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Left rows with the last right value at or before their place in order; null before any."""
+def held(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str, width: float | None = scan.SLICE) -> DataFrame:
+    """Left rows with the last right value at or before their place in order; null before any. Both
+    sides meet in slices of the order."""
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).unionByName(
         right.select(*keys, order, F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*keys).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_side")
+    return scan.scanned(both, keys, [order, "_side"], {value: scan.Carry("last", F.col("_v"))}, width).where("_side = 1").drop("_v", "_side")
 
 
 def within(rows: DataFrame, stubs: DataFrame, keys: list[str], time: str, begin: str, end: str, slice_width: int) -> DataFrame:
@@ -54,16 +56,16 @@ def beside(left: DataFrame, right: DataFrame, keys: list[str], number: str) -> D
     return right.join(sides, [*keys, number], "left_semi")
 
 
-def bracketed(points: DataFrame, knots: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def bracketed(points: DataFrame, knots: DataFrame, keys: list[str], at: str, value: str, width: float | None = None) -> DataFrame:
     """Points with ``value`` interpolated between the knots before and after them, clamped at the
-    ends."""
-    both = points.withColumn("_k", F.lit(None).cast("double")).withColumn("_v", F.lit(None).cast("double")).withColumn("_side", F.lit(1)).unionByName(
-        knots.select(*keys, F.col(at), F.col(at).cast("double").alias("_k"), F.col(value).alias("_v")).withColumn("_side", F.lit(0)), allowMissingColumns=True
+    ends. With a ``width`` they meet in slices of it; without one, points and knots of a key (those
+    of a sweep) meet in one task."""
+    both = points.withColumn("_knot", F.lit(None).cast("struct<k:double,v:double>")).withColumn("_side", F.lit(1)).unionByName(
+        knots.select(*keys, F.col(at), F.struct(F.col(at).cast("double").alias("k"), F.col(value).cast("double").alias("v")).alias("_knot")).withColumn("_side", F.lit(0)), allowMissingColumns=True
     )
-    back = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    for name, w in (("0", back), ("1", ahead)):
-        both = both.withColumn(f"_k{name}", F.last("_k", ignorenulls=True).over(w)).withColumn(f"_v{name}", F.last("_v", ignorenulls=True).over(w))
-    share = F.try_divide(F.col(at) - F.col("_k0"), F.col("_k1") - F.col("_k0"))
-    blend = F.when(F.col("_k1") > F.col("_k0"), F.col("_v0") + share * (F.col("_v1") - F.col("_v0")))
-    return both.where("_side = 1").withColumn(value, F.coalesce(blend, "_v0", "_v1")).drop("_k", "_v", "_side", "_k0", "_k1", "_v0", "_v1")
+    # a knot at a point's own place lies on both of its sides
+    found = scan.scanned(both, keys, [at, "_side"], {"_k0": scan.Carry("last", F.col("_knot"))}, width)
+    found = scan.scanned(found.withColumn("_turn", -F.col("_side")), keys, [at, "_turn"], {"_k1": scan.Carry("next", F.col("_knot"))}, width)
+    share = F.try_divide(F.col(at) - F.col("_k0.k"), F.col("_k1.k") - F.col("_k0.k"))
+    blend = F.when(F.col("_k1.k") > F.col("_k0.k"), F.col("_k0.v") + share * (F.col("_k1.v") - F.col("_k0.v")))
+    return found.where("_side = 1").withColumn(value, F.coalesce(blend, "_k0.v", "_k1.v")).drop("_knot", "_side", "_turn", "_k0", "_k1")

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaspan.operators import scan
 
-def plateaus(rows: DataFrame, keys: list[str], order: list[str], program: str, number: str, ah: str, gap: float) -> DataFrame:
+
+def plateaus(rows: DataFrame, keys: list[str], order: list[str], program: str, number: str, ah: str, gap: float, width: float = scan.SLICE) -> DataFrame:
     """Adds ``plateau`` (from 0): a new one where the program changes, the number jumps by more
     than one, or the charge by more than ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    jump = (F.col(program) != F.lag(program).over(w)) | (F.abs(F.col(number) - F.lag(number).over(w)) > 1) | (F.abs(F.col(ah) - F.lag(ah).over(w)) > gap)
-    marked = rows.withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("int"))
-    return marked.withColumn("plateau", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
+    def jump(now: Column, was: Column) -> Column:
+        return F.coalesce((now["p"] != was["p"]) | (F.abs(now["n"] - was["n"]) > 1) | (F.abs(now["a"] - was["a"]) > gap), F.lit(False))
+
+    return scan.numbered(rows, keys, order, {"p": F.col(program), "n": F.col(number), "a": F.col(ah)}, jump, "plateau", width=width)
 
 
-def blocks(segments: DataFrame, keys: list[str], order: str, target: str, step: str, wanted: str = "EIS", passed: str = "PAU") -> DataFrame:
+def blocks(segments: DataFrame, keys: list[str], order: str, target: str, step: str, wanted: str = "EIS", passed: str = "PAU", width: float = 65_536) -> DataFrame:
     """Runs of ``wanted`` segments: first and last number, segments, the charge of the nearest
-    segment before that is neither a pause nor wanted, and how many pauses lie before the block."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    segment before that is neither a pause nor wanted, and how many pauses lie before the block.
+    Slices have ``width`` numbers."""
     hit = F.col(target) == wanted
-    rows = segments.withColumn("_new", F.coalesce((hit & (F.lag(target).over(w) != wanted)), hit).cast("int"))
-    rows = rows.withColumn("_block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_step", F.last(F.when(~F.col(target).isin(wanted, passed), F.col(step)), ignorenulls=True).over(before))
-    rows = rows.withColumn("_pauses", F.count(F.when(F.col(target) == passed, 1)).over(before))
-    return rows.where(F.col(target) == wanted).groupBy(*keys, F.col("_block").alias("block")).agg(
-        F.min(order).alias("first_proc"), F.max(order).alias("last_proc"), F.count("*").alias("n"), F.min_by("_step", order).alias("step"), F.min("_pauses").alias("pauses_before")
+    new = lambda now, was: (now["t"] == wanted) & F.coalesce(was["t"] != wanted, F.lit(True))
+    carries = {"_step": scan.Carry("last", F.when(~F.col(target).isin(wanted, passed), F.col(step))), "_pauses": scan.Carry("sum", (F.col(target) == passed).cast("long"))}
+    # a wanted segment is itself neither a step nor a pause
+    rows = scan.numbered(segments, keys, [order], {"t": F.col(target)}, new, "block", carries=carries, width=width).where(hit)
+    return rows.groupBy(*keys, "block").agg(
+        F.min(order).alias("first_proc"), F.max(order).alias("last_proc"), F.count("*").alias("n"), F.min_by("_step", order).alias("step"), F.coalesce(F.min("_pauses"), F.lit(0)).alias("pauses_before")
     )
 
 

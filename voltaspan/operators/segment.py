@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaspan.operators import scan
+
 PAUSES = ("PAU", "PAUO", "...")
 
 
@@ -37,8 +39,10 @@ def runs(df: DataFrame, keys: list[str], order_by: list[str], column: str, name:
 
 
 def run_table(df: DataFrame, keys: list[str], order_by: list[str], column: str, time: str) -> DataFrame:
-    """One row per run: its value, rows, first and last time, minutes."""
-    return runs(df, keys, order_by, column).groupBy(*keys, "run").agg(
+    """One row per run: its value, rows, first and last time, minutes. Runs are numbered over slices
+    of the order's first column, so a key may have any number of rows."""
+    new = lambda now, was: F.coalesce(now["v"] != was["v"], F.lit(True))
+    return scan.numbered(df, keys, order_by, {"v": F.col(column)}, new, "run").groupBy(*keys, "run").agg(
         F.min_by(column, F.struct(*order_by)).alias("state"), F.count("*").alias("n"), F.min(time).alias("first_us"), F.max(time).alias("last_us"), ((F.max(time) - F.min(time)) / 60e6).alias("minutes")
     )
 
@@ -108,7 +112,6 @@ def segment_table(segmented: DataFrame, cell: str = "cell", bm: str = "bm", time
 
 def cycles(df: DataFrame, keys: list[str], time: str, tie: str, gap: float) -> DataFrame:
     """Adds ``cycle`` (from 1), a new one after each gap, and ``since``, the time in it."""
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    new = F.coalesce(F.col(time) - F.lag(time).over(order) > gap, F.lit(True)).cast("int")
-    marked = df.withColumn("_new", new).withColumn("cycle", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn("since", F.col(time) - F.min(time).over(Window.partitionBy(*keys, "cycle"))).drop("_new")
+    new = lambda now, was: F.coalesce(now["t"] - was["t"] > gap, F.lit(True))
+    begun = scan.numbered(df, keys, [time, tie], {"t": F.col(time)}, new, "cycle", {"_begin": F.col(time)})
+    return begun.withColumn("since", F.col(time) - F.col("_begin")).drop("_begin")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltaspan.operators import features, joins, segment
+from voltaspan.operators import features, joins, scan, segment
 from voltaspan.operators import neighbours as nearby
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
 from voltaspan.plans.series import BM, PROCEDURES, segmented
@@ -138,7 +138,7 @@ def borrowed(spark, sf_dir):
 def interpolated(spark, sf_dir):
     rows = samples(spark, sf_dir)
     knots = rows.where("kind = 'signup'").groupBy("cell", "us").agg(F.avg("value").alias("ref"))
-    found = joins.bracketed(rows.where("kind = 'error'").select("cell", "seq", "us"), knots, ["cell"], "us", "ref")
+    found = joins.bracketed(rows.where("kind = 'error'").select("cell", "seq", "us"), knots, ["cell"], "us", "ref", scan.SLICE)
     return found.select("cell", "seq", F.round("ref", 4).alias("ref"))
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltaspan.operators import fleet, impedance, ladder, pulses, segment
+from voltaspan.operators import fleet, impedance, ladder, pulses, scan, segment
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
 from voltaspan.plans.series import BM
 from voltaspan.sources import spectra as spectra_source
@@ -182,9 +182,9 @@ def plateau(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     rows = samples(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("cell").orderBy("us", "seq")).cast("long")
+    rows = scan.scanned(rows, ["cell"], ["us", "seq"], {"proc": scan.Carry("sum", F.lit(1).cast("long"))})
     target = F.when(F.col("state") == "EIS", "EIS").when(F.col("state") == "PAU", "PAU").otherwise("CYC")
-    return ladder.blocks(rows.select("cell", n.alias("proc"), target.alias("target"), "current"), ["cell"], "proc", "target", "current")
+    return ladder.blocks(rows.select("cell", "proc", target.alias("target"), "current"), ["cell"], "proc", "target", "current")
 
 
 def blocks(spark, sf_dir):
