@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voltaspan.plans import models, recordings, relations, reports, rules, series
+from voltaspan.plans import characterisation, models, recordings, relations, reports, rules, series
 from voltaspan.plans.base import Query
 
-CATALOG: dict[str, Query] = {**series.QUERIES, **relations.QUERIES, **reports.QUERIES, **models.QUERIES, **rules.QUERIES, **recordings.QUERIES}
+CATALOG: dict[str, Query] = {**series.QUERIES, **relations.QUERIES, **reports.QUERIES, **models.QUERIES, **rules.QUERIES, **recordings.QUERIES, **characterisation.QUERIES}
