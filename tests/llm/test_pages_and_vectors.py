@@ -191,3 +191,26 @@ def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_no_article_text_is_lost_beside_the_largest_part(spark, few):
+    """Neutral names throughout: a lead in a block of its own, a headline before the body, a headline
+    before an element marked as the article, a part that only some pages have."""
+    rng, rows, want = random.Random(6), [], {}
+    for page in range(20):
+        lead, body, title, aside = _words(rng, 25), _words(rng, 140), _words(rng, 5), _words(rng, 12)
+        sides = f"<div class=p1><p>{lead}</p></div><div class=p2><p>{body[: len(body) // 2]}</p><p>{body[len(body) // 2 :]}</p></div>"
+        rows.append((page, "http://two.example/x", f"<body><div class=top>Welcome here</div><div class=c>{sides}</div><div class=bottom>All rights</div></body>"))
+        want[page] = [lead, body[: len(body) // 2].strip(), body[len(body) // 2 :].strip()]
+        rows.append((100 + page, "http://head.example/x", f"<body><div class=top>Welcome here</div><div class=c><h1>{title}</h1><div class=d><p>{body}</p><p>{lead}</p></div></div></body>"))
+        want[100 + page] = [title, body, lead]
+        extra = f"<div class=q><p>{aside}</p></div>" if page % 2 else ""
+        rows.append((200 + page, "http://art.example/x", f"<body><div class=top>Welcome here</div><h1>{title}</h1>{extra}<article><p>{body}</p><p>{lead}</p></article></body>"))
+        want[200 + page] = [title, *([aside] if page % 2 else []), body, lead]
+    out = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), few=few).collect()
+    assert {r["page_id"]: r["text"].split("\n") for r in out} == want

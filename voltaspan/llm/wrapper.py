@@ -5,16 +5,13 @@ their tag and class, runs of alike siblings as one repeated node. Of each host t
 the number of pages that have them, are aligned by simple tree matching, the largest matching of
 two ordered trees that keeps roots on roots and the order of siblings. That merges them into one
 wrapper tree, and gives each node of a skeleton its slot in it. Over all pages of the host, what
-fills a slot is counted, and two things follow:
-
-* Texts that stay the same in their slot are template and go (``template`` says when).
-* The content of the host is the smallest part of the wrapper that holds most of the text of the
-  slots that vary (``content_path``). What lies outside it goes.
+fills a slot is counted. Texts that stay the same in their slot are template and go (``template``
+says when); slots that vary are content, wherever they stand.
 
 Alignment can't tell an article from what varies just as much from page to page: adverts, reader
 comments, forms, menus made anew. There tags and names decide: elements that they tell to be such
-count for nothing in the weighing and give no text. An element marked as the article is taken
-alone if most of the content of its page is in it.
+give no text. If most of the content of a page is in an element marked as the article, what follows
+that element or stands in between goes, while what comes before it (a headline, a lead) stays.
 
 All counting is Spark's: one row per page, slot and text, summed up before it moves. What one task
 holds are the skeletons of a host, ``SKELETONS`` at most (the most frequent). Rarer ones are
@@ -64,8 +61,6 @@ SKELETONS = 256
 DEPTH = 24
 #: So many runs of alike siblings are aligned in order; a later one joins the last run of its label.
 RUNS = 48
-#: A part of the wrapper that holds this share of the varying text has the content in it.
-MOST = 0.75
 #: Begins the label of an element that tags and names tell to be no article text.
 OUT = "-"
 #: Slots from here on are those of paths that the wrapper doesn't have.
@@ -386,44 +381,6 @@ def by_path(node: tuple, of: dict[int, int], above: str = "") -> None:
         by_path(c, of, path)
 
 
-def content_path(tree: tuple, mass: dict[int, float]) -> list[str]:
-    """Labels from below the root to the smallest part of a wrapper that holds MOST of the varying
-    text; ``mass``: characters of varying text by slot. It has parts of its own, so that single
-    paragraphs aren't taken for the whole."""
-    below: dict[int, float] = {}
-
-    def weigh(node: tuple) -> float:
-        own = 0.0 if node[0].startswith(OUT) else mass.get(node[1], 0.0) + sum(weigh(c) for c in node[2])
-        below[node[1]] = own
-        return own
-
-    weigh(tree)
-    path, node = [], tree
-    while True:
-        best = max(node[2], key=lambda c: below.get(c[1], 0.0), default=None)
-        if best is None or not below.get(best[1]) or below[best[1]] < MOST * below[tree[1]] or mass.get(best[1], 0.0) > below[best[1]] / 2 or not best[2]:
-            return path
-        path.append(best[0])
-        node = best
-
-
-def within(skeleton: tuple, path: list[str]) -> set[int]:
-    """Numbers of the nodes of a skeleton at or below a path of labels, or as much of it as the
-    skeleton has."""
-    nodes = [skeleton]
-    for label in path:
-        below = [c for n in nodes for c in n[2] if c[0] == label]
-        if not below:
-            break
-        nodes = below
-    out = set()
-    while nodes:
-        n = nodes.pop()
-        out.add(n[1])
-        nodes.extend(n[2])
-    return out
-
-
 def written_out(tree: tuple) -> str:
     return f"{tree[0]}\x1f{tree[1]}\x1e{''.join(map(written_out, tree[2]))}\x1d"
 
@@ -455,8 +412,8 @@ _SEEN = pa.schema(
 _SEEN_COLUMNS = "host string, content long, skeleton long, tree string, slots array<int>, texts array<long>, sizes array<int>, longest array<long>"
 
 
-def _slots(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows host, skeleton, node, slot from rows host, skeleton, tree, n; and rows host, wrapper."""
+def _slots(skeletons: DataFrame) -> DataFrame:
+    """Rows host, skeleton, node, slot from rows host, skeleton, tree, n."""
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "skeleton"))
     top = skeletons.select("host", "skeleton", "n").withColumn("rank", rank).where(F.col("rank") <= SKELETONS).select("host", "skeleton", "rank")
     ranked = written(skeletons.join(top, ["host", "skeleton"], "left"), "skeletons")
@@ -476,7 +433,7 @@ def _slots(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrappers = found.where("tree is not null").select("host", F.col("tree").alias("wrapper"))
     rare = ranked.where("rank is null")
     if not rare.limit(1).count():
-        return slots, wrappers
+        return slots
     schema = pa.schema([("host", pa.string()), ("skeleton", pa.int64()), ("node", pa.int32()), ("slot", pa.int32())])
 
     def align(batches: Iterator[pa.RecordBatch]):
@@ -493,12 +450,12 @@ def _slots(skeletons: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield from flushed(rows(), schema)
 
     more = rare.join(wrappers, "host").select("host", "skeleton", "tree", "wrapper").mapInArrow(align, "host string, skeleton long, node int, slot int")
-    return slots.unionByName(more), wrappers
+    return slots.unionByName(more)
 
 
-def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> tuple[DataFrame, DataFrame]:
+def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> DataFrame:
     """What alignment tells of each host. Rows host, skeleton, node, text (hash): what fills that
-    node of pages of that skeleton and is template. Rows host, path: where the content is.
+    node of pages of that skeleton and is template.
 
     Pages of equal content count once. A text is template
 
@@ -524,7 +481,7 @@ def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> tuple[Data
     seen = pages.select("url", "html").mapInArrow(run, _SEEN_COLUMNS)
     seen = written(seen.dropDuplicates(["host", "content", "skeleton"]), "pages-seen")
     skeletons = seen.groupBy("host", "skeleton").agg(F.count("*").alias("n"), F.first("tree").alias("tree"))
-    slots, wrappers = _slots(skeletons)
+    slots = _slots(skeletons)
     slots = written(slots, "slots")
     spans = [f(F.get("longest", F.lit(i))).alias(f"{name}{i}") for i in range(3) for name, f in (("low", F.min), ("high", F.max))]
     whole = [f(f"{name}{i}").alias(f"{name}{i}") for i in range(3) for name, f in (("low", F.min), ("high", F.max))]
@@ -542,63 +499,51 @@ def template(pages: DataFrame, share: float = 0.6, least: int = 5) -> tuple[Data
     always = by_slot.where((F.col("n") >= 2) & (F.col("n") >= F.col("pages")) & (differ >= 2)).join(same, ["host", "slot"], "left_semi").select("host", "slot", "text")
     constant = written(often.unionByName(always).distinct(), "constant")
 
-    varying = by_slot.join(constant, ["host", "slot", "text"], "left_anti").where(F.col("slot") < PATHS)
-    mass = varying.groupBy("host", "slot").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("mass"))
-    parts = mass.withColumn("wrapper", F.lit(None).cast("string")).unionByName(wrappers.select("host", F.lit(-1).alias("slot"), F.lit(0.0).alias("mass"), "wrapper"))
+    return by_node.join(constant, ["host", "slot", "text"], "left_semi").select("host", "skeleton", "node", "text")
 
-    def place(pdf):  # one row for each slot of a wrapper
-        import pandas as pd
-
-        tree = read_back(pdf["wrapper"].dropna().iloc[0])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": ["\x1f".join(content_path(tree, dict(zip(pdf["slot"], pdf["mass"]))))]})
-
-    paths = written(parts.groupBy("host").applyInPandas(place, "host string, path string"), "content")
-    return by_node.join(constant, ["host", "slot", "text"], "left_semi").select("host", "skeleton", "node", "text"), paths
 
-
-def content(slots: list[int], texts: list[str], marked: list[bool], out: list[bool], skeleton: tuple, constant, path: str | None) -> tuple[str, int]:
+def content(slots: list[int], texts: list[str], marked: list[bool], out: list[bool], constant) -> tuple[str, int]:
     """Text of a page from its blocks, and how many of them alignment took out."""
-    inside = within(skeleton, path.split("\x1f") if path else [])
-    kept = [i for i, (s, t) in enumerate(zip(slots, texts)) if s in inside and (s, _hash(t)) not in constant]
+    kept = [i for i, (s, t) in enumerate(zip(slots, texts)) if (s, _hash(t)) not in constant]
     gone = len(texts) - len(kept)
     kept = [i for i in kept if not out[i]]
     chosen = [i for i in kept if marked[i]]
     if 2 * sum(len(texts[i]) for i in chosen) < sum(len(texts[i]) for i in kept):
         chosen = kept
+    elif chosen:
+        chosen = [i for i in kept if i < chosen[0]] + chosen
     return "\n".join(texts[i] for i in chosen), gone
 
 
 def extract(pages: DataFrame, share: float = 0.6, least: int = 5, few: int = 200_000) -> DataFrame:
     """Rows page_id, url, text, n_chars, n_template: the main text of every page, its blocks joined
-    by line breaks, its code points, and how many blocks of the page alignment took out (template,
-    or outside the content).
+    by line breaks, its code points, and how many blocks of the page alignment took out.
 
     A null or empty page has an empty text. Pages of a null url are those of one nameless host.
     Rows are taken one by one otherwise: repeated rows and nulls stay, other columns are not read.
-    An empty table gives an empty table. Templates of up to ``few`` rows, and as many hosts, go to
-    every task; more are joined by host and skeleton.
+    An empty table gives an empty table. Templates of up to ``few`` rows go to every task; more are
+    joined by host and skeleton.
     """
     spark = pages.sparkSession
-    found, paths = template(pages, share, least)
-    found = written(found, "template")
+    found = written(template(pages, share, least), "template")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_template", pa.int64())])
     columns = "page_id long, url string, text string, n_chars long, n_template long"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    if found.count() <= few and paths.count() <= few:
+    if found.count() <= few:
         known: dict[tuple[str, int], set] = {}
         for r in found.toLocalIterator():
             known.setdefault((r["host"], r["skeleton"]), set()).add((r["node"], r["text"]))
-        shared = spark.sparkContext.broadcast((known, {r["host"]: r["path"] for r in paths.toLocalIterator()}))
+        shared = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]):
-            constants, places = shared.value
+            constants = shared.value
 
             def out():
                 for b in batches:
                     for page_id, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                         p, of = page(source.as_py() or ""), host(url)
                         constant = constants.get((of, _hash(written_out(p.skeleton))), ()) if constants else ()
-                        text, n = content(p.slots, p.texts, p.marked, p.out, p.skeleton, constant, places.get(of))
+                        text, n = content(p.slots, p.texts, p.marked, p.out, constant)
                         yield page_id, url, text, len(text), n
 
             yield from flushed(out(), schema)
@@ -606,7 +551,7 @@ def extract(pages: DataFrame, share: float = 0.6, least: int = 5, few: int = 200
         return rows.mapInArrow(run, columns)
 
     lists = found.groupBy("host", "skeleton").agg(F.collect_set(F.struct("node", "text")).alias("constant"))  # bounded by the nodes of a template
-    fields = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "skeleton": pa.int64(), "tree": pa.string(), "nodes": pa.list_(pa.int32())}
+    fields = {"page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "skeleton": pa.int64(), "nodes": pa.list_(pa.int32())}
     keyed_schema = pa.schema([*fields.items(), ("texts", pa.list_(pa.string())), ("marked", pa.list_(pa.bool_())), ("out", pa.list_(pa.bool_()))])
 
     def blocks(batches: Iterator[pa.RecordBatch]):
@@ -614,21 +559,20 @@ def extract(pages: DataFrame, share: float = 0.6, least: int = 5, few: int = 200
             for b in batches:
                 for page_id, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     p = page(source.as_py() or "")
-                    tree = written_out(p.skeleton)
-                    yield page_id, url, host(url), _hash(tree), tree, p.slots, p.texts, p.marked, p.out
+                    yield page_id, url, host(url), _hash(written_out(p.skeleton)), p.slots, p.texts, p.marked, p.out
 
         yield from flushed(out(), keyed_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         def out():
             for b in batches:
-                for page_id, url, tree, nodes, texts, marked, outs, constant, path in zip(*(c.to_pylist() for c in b.columns)):
+                for page_id, url, nodes, texts, marked, outs, constant in zip(*(c.to_pylist() for c in b.columns)):
                     known = {(c["node"], c["text"]) for c in constant or ()}
-                    text, n = content(nodes, texts, marked, outs, read_back(tree), known, path)
+                    text, n = content(nodes, texts, marked, outs, known)
                     yield page_id, url, text, len(text), n
 
         yield from flushed(out(), schema)
 
-    keyed = rows.mapInArrow(blocks, "page_id long, url string, host string, skeleton long, tree string, nodes array<int>, texts array<string>, marked array<boolean>, out array<boolean>")
-    joined = keyed.join(written(lists, "constant"), ["host", "skeleton"], "left").join(paths, "host", "left")
-    return joined.select("page_id", "url", "tree", "nodes", "texts", "marked", "out", "constant", "path").mapInArrow(cut, columns)
+    keyed = rows.mapInArrow(blocks, "page_id long, url string, host string, skeleton long, nodes array<int>, texts array<string>, marked array<boolean>, out array<boolean>")
+    joined = keyed.join(written(lists, "constant"), ["host", "skeleton"], "left")
+    return joined.select("page_id", "url", "nodes", "texts", "marked", "out", "constant").mapInArrow(cut, columns)
