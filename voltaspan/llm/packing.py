@@ -95,6 +95,11 @@ class Schedule:
     def pieces(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
         """Window, offset in it and length of the pieces of tokens start to start + n of a queue."""
         low, high = 0, self.windows
+        guess = start * self.windows // max(self.totals[queue], 1)  # queues are mostly served alike throughout
+        if self.served(queue, least := max(0, guess - 2))[0] <= start:
+            low = least
+        if (most := guess + 3) < self.windows and self.served(queue, most)[0] > start:
+            high = most - 1
         while low < high:  # the last window before which at most ``start`` tokens were served
             mid = (low + high + 1) // 2
             if mid < self.windows and self.served(queue, mid)[0] <= start:
@@ -102,13 +107,14 @@ class Schedule:
             else:
                 high = mid - 1
         window, end = low, start + n
+        mine = self.served(queue, window)[0]
         while start < end:
-            mine, before = self.served(queue, window)
             until = self.served(queue, window + 1)[0] if window + 1 < self.windows else self.totals[queue]
             take = min(end, until) - start
             if take > 0:
                 yield window, self._lead(queue, window) + start - mine, take
                 start += take
+            mine = until
             window += 1
 
     def _lead(self, queue: int, window: int) -> int:
