@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def soh(capacity: Column, nominal: float) -> Column:
-    """State of health in per cent, one decimal; null for a missing capacity."""
-    return F.round(capacity / nominal * 100, 1)
+    """State of health in per cent, one decimal, halves away from zero by the double itself; null for
+    a missing capacity."""
+    return F.round(capacity / nominal * 100 * 10.0) / 10.0
 
 
 def cell_table(checkups: DataFrame, name: str, order: list[str], firsts: list[str], capacity: str, ah: str) -> DataFrame:
