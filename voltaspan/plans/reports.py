@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voltaspan.operators import fleet, impedance, ladder, pulses, scan, segment
 from voltaspan.plans.base import SAMPLES, Query, rounded, samples, shared_folder, table
 from voltaspan.plans.series import BM
+from voltaspan.sources import files
 from voltaspan.sources import spectra as spectra_source
 
 
@@ -123,12 +124,12 @@ def _spectra_files(spark, sf_dir):
         (F.col("l_extendedprice") / 1e5).cast("double").alias("Betrag"),
     )
     folder, names = f"{shared_folder(spark)}/spectra-{uuid.uuid4().hex}", ["Zeit", "ActFreq", "Zreal1", "Zimg1", "Betrag"]
-    rows.where("s % 3 = 0").repartition("name").sortWithinPartitions("name", "k").select("name", *names).write.partitionBy("name").parquet(f"{folder}/a")
+    files.written_by(rows.where("s % 3 = 0"), ["name"], ["name"], f"{folder}/a", ["name", *names], ["k"])
     head = F.when(F.col("s") % 7 == 0, "Zeit,ActFreq,Zreal1,Zimg1,Size").otherwise(",".join(names))
     csv = rows.where("s % 3 != 0")
     tops = csv.groupBy("name", "s").agg(F.array(F.struct(F.lit(-2).alias("k"), F.first(head).alias("value")), F.struct(F.lit(-1).alias("k"), F.lit("-,Hz,Ohm,Ohm,Ohm").alias("value"))).alias("top"))
     lines = csv.select("name", "k", F.concat_ws(",", *names).alias("value")).unionByName(tops.select("name", F.inline("top")))
-    lines.repartition("name").sortWithinPartitions("name", "k").select("name", "value").write.partitionBy("name").text(f"{folder}/b")
+    files.written_by(lines, ["name"], ["name"], f"{folder}/b", ["name", "value"], ["k"], kind="text")
     return spectra_source.read(spark, folder, pattern="part-*")
 
 

@@ -51,7 +51,35 @@ def missing(new: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(right, same, "left_anti")
 
 
+#: Rows of a cell beyond which its files become more than one.
+FILE_ROWS = 1_000_000
+
+
 def write_by_cell(rows: DataFrame, path: str, key: str = "cell", mode: str = "overwrite") -> None:
-    """A table of one folder per cell. Rows of a cell are spread over files, so a large cell is no
-    single task's."""
-    rows.repartition(key, F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.mode(mode).partitionBy(key).parquet(path)
+    """A table of one folder per cell, of one file, as files are what such a table costs. Rows of a
+    large cell are spread over one file for each ``FILE_ROWS``, so it is no single task's."""
+    n = F.ceil(F.col("_n") / FILE_ROWS).cast("int")
+    large = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > FILE_ROWS).select(F.col(key).alias("_key"), n.alias("_files"))
+    spread = rows.join(large, rows[key].eqNullSafe(F.col("_key")), "left").withColumn("_file", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_files", F.lit(1))))
+    written_by(spread, [key, "_file"], [key], path, rows.columns, mode=mode)
+
+
+def _parts(rows: DataFrame) -> int:
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def written_by(rows: DataFrame, deal: list[str], keys: list[str], path: str, columns: list[str], order: list[str] | None = None, mode: str = "overwrite", kind: str = "parquet") -> None:
+    """Rows dealt to tasks by ``deal`` and written to a folder for each value of ``keys``. Tasks move
+    their files to their places themselves: the driver would do it one at a time, and a job that
+    fails leaves a table that its caller never reads."""
+    dealt = rows.repartition(_parts(rows), *deal).sortWithinPartitions(*keys, *(order or [])).select(*columns)
+    dealt.write.mode(mode).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).format(kind).save(path)
+
+
+def write_in_order(rows: DataFrame, path: str, keys: list[str], folders: list[str] | None = None, mode: str = "overwrite") -> None:
+    """A table in files by ranges of the keys, sorted by them: each file tells its least and greatest
+    key, so whoever reads one key opens one file or two, and the number of files is that of tasks,
+    not that of keys. A key of many rows is shared by tasks, as ranges end within it."""
+    ranged = rows.repartitionByRange(_parts(rows), *keys, F.xxhash64(*rows.columns)).sortWithinPartitions(*(folders or []), *keys)
+    ranged.write.mode(mode).partitionBy(*(folders or [])).parquet(path)
