@@ -2,16 +2,16 @@
 
 Every tree sees a small sample of the rows, drawn by hash, and is grown in a task of its own. The
 forest then is one row of arrays, bounded by its parameters, and rows find their way down all trees
-in DataFrame functions.
+a batch at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from voltaspan.operators.models import complete
@@ -69,18 +69,28 @@ def isolation_forest(rows: DataFrame, item: str, features: Sequence[str], trees:
     return forest.withColumns({"usual": F.lit(float(usual_path(size))), "depth": F.lit(depth)})
 
 
-def isolation_score(x: Column, trees: Column, usual: Column, depth: Column) -> Column:
-    """From near 0 to 1, higher where a row is set apart by fewer splits; half for usual rows."""
+def mean_path(forest: Row) -> Callable[[Column], Column]:
+    """Of an array of features the mean path length in a forest: all rows of a batch go down all its
+    trees at once. The forest goes to the tasks as it is, bounded by its parameters."""
+    feature, split, path = (np.array([tree[c] for tree in forest["trees"]]) for c in ("feature", "split", "path"))
+    depth, of = forest["depth"], np.arange(len(feature))
 
-    def path(tree: Column) -> Column:
-        def down(node: Column, _) -> Column:
-            feature = F.get(tree["feature"], node)
-            return F.when(feature < 0, node).otherwise(2 * node + (F.get(x, feature) >= F.get(tree["split"], node)).cast("int"))
+    @F.pandas_udf("double")
+    def mean(x: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        there = np.flatnonzero(x.notna())
+        for some in np.array_split(there, max(1, len(there) // 2000)):
+            rows = np.array([x.iat[k] for k in some], float).reshape(len(some), -1)
+            node = np.ones((len(some), len(of)), int)
+            for _ in range(depth):
+                at = feature[of, node]
+                value = rows[np.arange(len(some))[:, None], np.maximum(at, 0)]
+                right = (value >= split[of, node]) | np.isnan(value)  # not a number is above all numbers
+                node = np.where(at < 0, node, 2 * node + right)
+            out[some] = sum((path[k, node[:, k]] for k in of), np.zeros(len(some))) / len(of)
+        return pd.Series(out)
 
-        return F.get(tree["path"], F.aggregate(F.sequence(F.lit(1), depth), F.lit(1), down))
-
-    mean = F.aggregate(F.transform(trees, path), F.lit(0.0), lambda a, b: a + b) / F.size(trees)
-    return F.when(usual > 0, F.pow(F.lit(2.0), -mean / usual)).otherwise(0.5)
+    return mean
 
 
 def outliers(rows: DataFrame, normal: DataFrame, item: str, features: Sequence[str], contamination: float | None = 0.006, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
@@ -88,12 +98,15 @@ def outliers(rows: DataFrame, normal: DataFrame, item: str, features: Sequence[s
     all but a share (``contamination``) of the normal rows do; without one, more than a half. Rows
     that lack a feature have neither; without normal rows none is an outlier."""
     forest = kept(isolation_forest(normal, item, features, trees, sample, seed), "forest")
+    grown = forest.first()
     x = F.array(*[F.col(c).cast("double") for c in features])
+    there = complete(features) if grown["trees"] else F.lit(False)
+    length = mean_path(grown)(F.when(there, x)) if grown["trees"] else F.lit(None).cast("double")
 
     def scored(df: DataFrame) -> DataFrame:
-        met = df.crossJoin(F.broadcast(forest.select(*[F.col(c).alias(f"_{c}") for c in ("trees", "usual", "depth")])))  # one row
-        score = F.when(complete(features) & (F.size("_trees") > 0), isolation_score(x, F.col("_trees"), F.col("_usual"), F.col("_depth")))
-        return met.withColumn("score", score).drop("_trees", "_usual", "_depth")
+        found = df.withColumn("_length", length)
+        score = F.pow(F.lit(2.0), -F.col("_length") / grown["usual"]) if grown["usual"] > 0 else F.lit(0.5)
+        return found.withColumn("score", F.when(there, score)).drop("_length")
 
     if contamination is None:
         limit = 0.5
