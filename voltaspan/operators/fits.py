@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from voltaspan.functions import numeric
+from voltaspan.operators.groups import dealt
 
 
 def drt(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int = 6) -> DataFrame:
@@ -25,7 +26,7 @@ def drt(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int = 6)
         top = tau[found[np.argmax(g[found])]] if len(found) else np.nan
         return pd.DataFrame([(pdf[key].iloc[0], r_s, g.sum(), len(found), top, np.sqrt(np.mean(np.abs(z - fit) ** 2)))], columns=["key", "r_s", "r_pol", "n_peaks", "tau_peak", "rms"])
 
-    return spectra.select(key, f, re, im).groupBy(key).applyInPandas(run, "key long, r_s double, r_pol double, n_peaks int, tau_peak double, rms double")
+    return dealt(spectra.select(key, f, re, im), [key]).groupBy(key).applyInPandas(run, "key long, r_s double, r_pol double, n_peaks int, tau_peak double, rms double")
 
 
 def kk_screen(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int = 12) -> DataFrame:
@@ -41,7 +42,7 @@ def kk_screen(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int
             out = numeric.outliers(residual)
         return pd.DataFrame({"key": pdf[key], "f": pdf[f].astype(float), "kk_resid": residual, "kk_outlier": out})
 
-    return spectra.select(key, f, re, im).groupBy(key).applyInPandas(run, "key long, f double, kk_resid double, kk_outlier boolean")
+    return dealt(spectra.select(key, f, re, im), [key]).groupBy(key).applyInPandas(run, "key long, f double, kk_resid double, kk_outlier boolean")
 
 
 def relaxations(rows: DataFrame, keys: list[str], time: str, value: str, least: int = 6) -> DataFrame:
@@ -57,7 +58,7 @@ def relaxations(rows: DataFrame, keys: list[str], time: str, value: str, least:
         return pd.DataFrame([(*pdf[keys].iloc[0], *p, rms, bool(p[4] < 1.05 * p[2]))], columns=names)
 
     schema = ", ".join([*(f"{k} long" for k in keys), *(f"{c} double" for c in names[len(keys) : -1]), "degenerate boolean"])
-    return rows.select(*keys, time, value).groupBy(*keys).applyInPandas(run, schema)
+    return dealt(rows.select(*keys, time, value), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def differential(rows: DataFrame, keys: list[str], order: str, voltage: str, charge: str, window: int = 51) -> DataFrame:
@@ -72,4 +73,4 @@ def differential(rows: DataFrame, keys: list[str], order: str, voltage: str, cha
         smooth = numeric.smoothed(np.interp(grid, q, v), window, 3, 1, grid[1] - grid[0])
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "q": grid, "dvdq": smooth})
 
-    return rows.select(*keys, order, voltage, charge).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} long" for k in keys), "q double", "dvdq double"]))
+    return dealt(rows.select(*keys, order, voltage, charge), keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} long" for k in keys), "q double", "dvdq double"]))

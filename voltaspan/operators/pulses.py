@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltaspan.functions import kernels
+from voltaspan.operators.groups import dealt
 from voltaspan.operators.rules import amplitude_in, state_prefix
 
 REST, SPREAD = 0.05, 0.05
@@ -105,15 +106,16 @@ def _joint(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, r
     share = np.clip(t / t_p, 0, 1)
     y = v - v_pre * (1 - share) - np.where(t <= t_p, i_p * r0, 0)
 
-    @functools.cache  # points of a grid share their constants
+    @functools.cache  # steps along one constant share the others
     def response(kernel, tau):
         return kernel(t, i_p, t_p, tau)
 
-    def design(tau1, tau2, *more):
-        return np.column_stack([share, response(kernels.rc_pulse, tau1), response(kernels.rc_pulse, tau2), *(response(kernels.warburg_pulse, w) for w in more)])
+    def design(*tau):
+        of = [(kernels.rc_pulse, x) for x in tau[:2]] + [(kernels.warburg_pulse, x) for x in tau[2:]]
+        return kernels.beside(share, *(k(t, i_p, t_p, x) if np.ndim(x) else response(k, x) for k, x in of))
 
     ranges = [FAST, SLOW] + [(1.0, 6000.0)] * diffusion
-    tau, x, rms = kernels.searched(design, y, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7)
+    tau, x, rms = kernels.searched(design, y, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7, together=True)
     out = {"ocv_post": x[0], "r1": x[1], "tau1": tau[0], "r2": x[2], "tau2": tau[1], "rms": rms, "degenerate": bool(x[1] <= 0 or x[2] <= 0 or tau[1] < 1.05 * tau[0] or tau[1] > 0.98 * SLOW[1])}
     return out | ({"r_w": x[3], "tau_w": tau[2]} if diffusion else {})
 
@@ -124,7 +126,7 @@ def _termination(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, window: f
     if rest.sum() < 8 or not len(last):
         return np.nan
     x = t[rest] - t_p
-    _, c, _ = kernels.searched(lambda a, b: np.column_stack([np.ones_like(x), np.exp(-x / a), np.exp(-x / b)]), v[rest], [FAST, SLOW], [True] * 3)
+    _, c, _ = kernels.searched(lambda a, b: kernels.beside(np.ones_like(x), np.exp(-x / a), np.exp(-x / b)), v[rest], [FAST, SLOW], [True] * 3, together=True)
     return float(abs((last[-1] - c.sum()) / i_p))
 
 
@@ -135,7 +137,7 @@ def _onset(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, c
         return np.nan
     x = t[rise]
     most = np.array([min(0.2, cap * 1.02) if np.isfinite(cap) and cap > 0 else 0.2, 1.0, 1.0])
-    _, c, _ = kernels.searched(lambda a, b: i_p * np.column_stack([np.ones_like(x), 1 - np.exp(-x / a), 1 - np.exp(-x / b)]), v[rise] - v_pre, [FAST, SLOW], [False] * 3, most=most)
+    _, c, _ = kernels.searched(lambda a, b: i_p * kernels.beside(np.ones_like(x), 1 - np.exp(-x / a), 1 - np.exp(-x / b)), v[rise] - v_pre, [FAST, SLOW], [False] * 3, most=most, together=True)
     return float(c[0])
 
 
@@ -147,13 +149,13 @@ def _staged(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float,
     if rest.sum() < 8 or rise.sum() < 8 or not np.isfinite(r0):
         return none
     x = t[rest] - t_p
-    (slow,), c, _ = kernels.searched(lambda b: np.column_stack([np.ones_like(x), np.exp(-x / b)]), v[rest], [SLOW], [True] * 2, ordered=1, points=25)
+    (slow,), c, _ = kernels.searched(lambda b: kernels.beside(np.ones_like(x), np.exp(-x / b)), v[rest], [SLOW], [True] * 2, ordered=1, points=25, together=True)
     grown = 1 - np.exp(-t_p / slow)
     if grown < 1e-6:
         return none
     r2, post = c[1] / (i_p * grown), c[0]
     model = v_pre + (post - v_pre) * np.clip(t / t_p, 0, 1) + np.where(t <= t_p, i_p * r0, 0) + r2 * kernels.rc_pulse(t, i_p, t_p, slow)
-    (fast,), c, _ = kernels.searched(lambda a: kernels.rc_pulse(t[rise], i_p, t_p, a)[:, None], (v - model)[rise], [FAST], [False], ordered=1, points=25)
+    (fast,), c, _ = kernels.searched(lambda a: kernels.rc_pulse(t[rise], i_p, t_p, a)[..., None], (v - model)[rise], [FAST], [False], ordered=1, points=25, together=True)
     if fast > slow:
         return none
     r = model + c[0] * kernels.rc_pulse(t, i_p, t_p, fast) - v
@@ -175,7 +177,7 @@ def _grouped(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], names: Seq
 
     types = {f.name: f.dataType.simpleString() for f in pulses.schema.fields}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{n} {'boolean' if n in flags else 'double'}" for n in names)])
-    return joined.groupBy(*keys).applyInPandas(run, schema)
+    return dealt(joined, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def extrapolated(rows: DataFrame, pulses: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -224,7 +226,7 @@ def relaxed(found: DataFrame, keys: Sequence[str], reference: DataFrame | None =
     def one(t, v, p):
         i, ranges = p["i_p"], [FAST, SLOW]
         sign = np.sign(i) or 1.0
-        tau, c, rms = kernels.searched(lambda a, b: np.column_stack([np.ones_like(t), sign * np.exp(-t / a), sign * np.exp(-t / b)]), v, ranges, [True, not bounded, not bounded])
+        tau, c, rms = kernels.searched(lambda a, b: kernels.beside(np.ones_like(t), sign * np.exp(-t / a), sign * np.exp(-t / b)), v, ranges, [True, not bounded, not bounded], together=True)
         spread = float(np.sqrt(np.mean((v - v.mean()) ** 2)))
         with np.errstate(divide="ignore", invalid="ignore"):
             r = [abs(np.float64(x) / i) for x in (p["v_last"] - c[0] - sign * (c[1] + c[2]), c[1], c[2])]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from voltaspan.functions import kernels, numeric
 from voltaspan.operators import impedance
+from voltaspan.operators.groups import dealt
+from voltaspan.sources.shared import kept
 
 ALPHA, PHI = (0.6, 1.0), (0.2, 0.9)
 #: Seconds at which diffusion is held, and how far below (as a factor) the slowest arc may be.
@@ -27,13 +29,13 @@ def _each(spectra: DataFrame, key: str, columns: Sequence[str], names: Sequence[
         return pd.DataFrame([] if found is None else [(pdf[key].iloc[0], *(found[n] for n in names))], columns=[key, *names])
 
     kind = spectra.schema[key].dataType.simpleString()
-    return spectra.select(key, *columns).groupBy(key).applyInPandas(run, ", ".join([f"{key} {kind}", *(f"{n} {types.get(n, 'double')}" for n in names)]))
+    return dealt(spectra.select(key, *columns), [key]).groupBy(key).applyInPandas(run, ", ".join([f"{key} {kind}", *(f"{n} {types.get(n, 'double')}" for n in names)]))
 
 
 def _fitted(design: Callable, z: np.ndarray, ranges: Sequence[tuple[float, float]], signed: Sequence[bool], ordered: int, points: int, rounds: int):
     """A fit of complex columns to a spectrum: constants, coefficients, root mean square."""
-    flat = lambda c: np.vstack([c.real, c.imag])
-    tau, x, rms = kernels.searched(lambda *a: flat(np.asarray(design(*a))), np.concatenate([z.real, z.imag]), ranges, signed, ordered, points, rounds)
+    flat = lambda c: np.concatenate([c.real, c.imag], axis=-2)
+    tau, x, rms = kernels.searched(lambda *a: flat(np.asarray(design(*a))), np.concatenate([z.real, z.imag]), ranges, signed, ordered, points, rounds, together=True)
     return tau, x, rms
 
 
@@ -48,7 +50,7 @@ def series_resistance(spectra: DataFrame, key: str, f: str = "f", re: str = "re"
         if len(pdf) < least:
             return dict.fromkeys(names[:-1]) | {"hf_n": len(pdf)}
         w, z = 2 * np.pi * pdf[f].to_numpy(float), pdf[re].to_numpy(float) + 1j * pdf[im].to_numpy(float)
-        design = lambda tau, alpha: np.column_stack([np.ones_like(w) + 0j, 1j * w, kernels.zarc(w, tau, alpha)])
+        design = lambda tau, alpha: kernels.beside(np.ones_like(w) + 0j, 1j * w, kernels.zarc(w, tau, alpha))
         ranges = [(1 / w.max() / 3, 3 / w.min()), ALPHA]
         (tau, alpha), x, rms = _fitted(design, z, ranges, [False] * 3, 0, 7, 3)
         c = design(tau, alpha)
@@ -81,7 +83,7 @@ def arcs(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "
 
         def design(*at):
             columns = [np.zeros_like(w) + 0j if held else np.ones_like(w) + 0j, 1j * w, *(kernels.zarc(w, t, a) for t, a in zip(at[:n], at[n : 2 * n]))]
-            return np.column_stack(columns + [kernels.diffusion(w, DIFFUSION, at[-1])] * diffusion)
+            return kernels.beside(*columns, *[kernels.diffusion(w, DIFFUSION, at[-1])] * diffusion)
 
         at, x, rms = _fitted(design, z - (fixed if held else 0), ranges, [False] * (2 + n + diffusion), n, 5 if n == 1 else 4, 3)
         out = {"r0": fixed if held else x[0], "l": x[1], "rms": rms} | ({"r_d": x[-1], "phi_d": at[-1]} if diffusion else {})
@@ -107,20 +109,20 @@ def screened(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str
         return pdf.assign(kk_resid=residual, kk_outlier=out)
 
     fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in spectra.select(key, f, re, im).schema.fields)
-    return spectra.select(key, f, re, im).groupBy(key).applyInPandas(run, f"{fields}, kk_resid double, kk_outlier boolean")
+    return dealt(spectra.select(key, f, re, im), [key]).groupBy(key).applyInPandas(run, f"{fields}, kk_resid double, kk_outlier boolean")
 
 
 def spectrum_table(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "im", n: int = 1, f_min: float = 100.0, least: int = 4) -> DataFrame:
     """One row per spectrum: points out of line, what can be read without a fit, the series
     resistance of the high end, and the arcs with that held. Points out of line are left out of all
     of it, unless fewer than ``least`` would be left."""
-    points = screened(spectra, key, f, re, im)
+    points = kept(screened(spectra, key, f, re, im), "screened")  # read five times, as the high end is twice
     whole = Window.partitionBy(key)
     kept = F.count(F.when(~F.col("kk_outlier"), 1)).over(whole)
     clean = points.withColumn("_kept", kept).where(~F.col("kk_outlier") | (F.col("_kept") < least)).drop("_kept")
     totals = points.groupBy(key).agg(F.count("*").alias("kk_n"), F.sum(F.col("kk_outlier").cast("int")).alias("kk_out"), F.max("kk_resid").alias("kk_worst"))
     features = impedance.fit_free(clean, [key], f, re, im)
-    high = series_resistance(clean, key, f, re, im, f_min)
+    high = kept(series_resistance(clean, key, f, re, im, f_min), "high-end")
     fitted = arcs(clean.join(high.select(key, "r0_hf"), key), key, f, re, im, n, pinned="r0_hf")
     return totals.join(features, key, "left").join(high, key, "left").join(fitted, key, "left")
 
@@ -142,7 +144,7 @@ def relaxation_peaks(spectra: DataFrame, key: str, f: str = "f", re: str = "re",
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(at), "tau": tau[at], "height": g[at], "width": width, "penalty": weight})
 
     kind = spectra.schema[key].dataType.simpleString()
-    return spectra.select(key, f, re, im).groupBy(key).applyInPandas(run, f"{key} {kind}, tau double, height double, width double, penalty double")
+    return dealt(spectra.select(key, f, re, im), [key]).groupBy(key).applyInPandas(run, f"{key} {kind}, tau double, height double, width double, penalty double")
 
 
 def labelled_peaks(peaks: DataFrame, states: DataFrame, key: str, edges: Sequence[float], names: Sequence[str]) -> DataFrame:
