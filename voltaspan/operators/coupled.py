@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltaspan.operators.groups import dealt
 from voltaspan.sources.shared import dropped, kept
 
 #: Value of the group, residuals' derivative by it, own parameters' Jacobian: what a fit returns.
@@ -57,7 +58,7 @@ def shared_value(items: DataFrame, group: Sequence[str], start: DataFrame, fit:
     now = items.withColumn(state, F.lit(None).cast("array<double>"))
     for _ in range(rounds):
         at = now.select(*columns, state).join(values.select(*group, "value"), list(group))
-        found = kept(at.mapInPandas(run, schema), "coupled-items")
+        found = kept(dealt(at, columns).mapInPandas(run, schema), "coupled-items")
         sums = found.groupBy(*group).agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve"), F.sum("squares").alias("squares"))
         both = sums.join(values, list(group))
         worse = F.coalesce(F.col("squares") > F.col("was") * (1 + 1e-12), F.lit(False))

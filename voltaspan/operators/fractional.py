@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from voltaspan.functions import kernels
 from voltaspan.functions.numeric import levenberg_marquardt
 from voltaspan.operators.coupled import shared_value
+from voltaspan.operators.groups import dealt
 from voltaspan.sources.shared import kept
 
 # Fixed values of the method: shares of the rest's fall that open the first window and that call for
@@ -255,7 +256,7 @@ def prepared(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], diffusion:
             yield pd.DataFrame(out, columns=[*names, "ocv_post", "noise", "r", "tau", "alpha"])
 
     of = _packed(rows, pulses, keys).where("size(t) >= 8 and t_p > 0 and i_p != 0 and v_pre is not null").select(names)
-    return of.mapInPandas(run, _types(of, names) + ", ocv_post double, noise double, r array<double>, tau array<double>, alpha array<double>")
+    return dealt(of, keys).mapInPandas(run, _types(of, names) + ", ocv_post double, noise double, r array<double>, tau array<double>, alpha array<double>")
 
 
 def series_resistance(found: DataFrame, group: Sequence[str], rounds: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +297,7 @@ def chain(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], group: Sequen
                 out.append((*(row[k] for k in keys), *numbers, *([list(x) for x in zip(*elements)] or [[], [], []])))
             yield pd.DataFrame(out, columns=[*keys, *_NAMES, "r", "tau", "alpha"])
 
-    return at.mapInPandas(run, _types(at, keys) + ", " + ", ".join(f"{n} double" for n in _NAMES) + ", r array<double>, tau array<double>, alpha array<double>")
+    return dealt(at, keys).mapInPandas(run, _types(at, keys) + ", " + ", ".join(f"{n} double" for n in _NAMES) + ", r array<double>, tau array<double>, alpha array<double>")
 
 
 def exploded(found: DataFrame, keys: Sequence[str]) -> DataFrame:
