@@ -118,8 +118,8 @@ def spectrum_table(spectra: DataFrame, key: str, f: str = "f", re: str = "re", i
     of it, unless fewer than ``least`` would be left."""
     points = kept(screened(spectra, key, f, re, im), "screened")  # read five times, as the high end is twice
     whole = Window.partitionBy(key)
-    kept = F.count(F.when(~F.col("kk_outlier"), 1)).over(whole)
-    clean = points.withColumn("_kept", kept).where(~F.col("kk_outlier") | (F.col("_kept") < least)).drop("_kept")
+    left = F.count(F.when(~F.col("kk_outlier"), 1)).over(whole)
+    clean = points.withColumn("_kept", left).where(~F.col("kk_outlier") | (F.col("_kept") < least)).drop("_kept")
     totals = points.groupBy(key).agg(F.count("*").alias("kk_n"), F.sum(F.col("kk_outlier").cast("int")).alias("kk_out"), F.max("kk_resid").alias("kk_worst"))
     features = impedance.fit_free(clean, [key], f, re, im)
     high = kept(series_resistance(clean, key, f, re, im, f_min), "high-end")
