@@ -39,6 +39,71 @@ def levenberg_marquardt(residual: Callable[[np.ndarray], np.ndarray], start: np.
     return p, float(np.sqrt(np.mean(r**2)))
 
 
+def _steps(curve: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """Solutions of many small symmetric systems, those of least norm where one has no single solution."""
+    n = curve.shape[1]
+    a, x, trace = curve.copy(), gradient.copy(), np.trace(curve, axis1=1, axis2=2)
+    low = np.full(len(a), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(n):
+            low = np.minimum(low, a[:, k, k])
+            for i in range(k + 1, n):
+                f = a[:, i, k] / a[:, k, k]
+                a[:, i, k:] -= f[:, None] * a[:, k, k:]
+                x[:, i] -= f * x[:, k]
+        for k in range(n - 1, -1, -1):
+            x[:, k] = (x[:, k] - np.einsum("pn,pn->p", a[:, k, k + 1 :], x[:, k + 1 :])) / a[:, k, k]
+    weak = np.flatnonzero(~(low > 1e-12 * trace) | ~np.isfinite(x).all(axis=1))
+    if len(weak):
+        size, axes = np.linalg.eigh(curve[weak])
+        with np.errstate(divide="ignore"):
+            parts = np.where(np.abs(size) > n * np.finfo(float).eps * np.abs(size).max(axis=1, keepdims=True), 1 / size, 0.0)
+        x[weak] = np.einsum("pij,pj->pi", axes, parts * np.einsum("pji,pj->pi", axes, gradient[weak]))
+    return x
+
+
+def levenberg_marquardt_each(residual: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 100) -> np.ndarray:
+    """``levenberg_marquardt`` of many groups at once, a row of parameters each: every group takes the
+    steps that it would take alone. ``residual`` takes parameters and the numbers of their groups."""
+    p = np.clip(start.astype(float), low, high)
+    going = np.arange(len(p))
+    r, damping = residual(p, going), np.full(len(p), 1e-3)
+    sums = np.einsum("gm,gm->g", r, r)
+    n = p.shape[1]
+    for _ in range(steps):
+        if not len(going):
+            break
+        now, here = p[going], r[going]
+        h = 1e-6 * np.maximum(np.abs(now), 1e-6)
+        h = np.where(now + h <= high[going], h, -h)
+        jac = np.empty((n, *here.shape))
+        for k in range(n):
+            q = now.copy()
+            q[:, k] += h[:, k]
+            jac[k] = (residual(q, going) - here) / h[:, k : k + 1]
+        gradient, curve = np.einsum("kgm,gm->gk", jac, here), np.einsum("kgm,lgm->gkl", jac, jac)
+        size = np.einsum("gkk->gk", curve) + 1e-12
+        left, taken, done = np.arange(len(going)), np.zeros(len(going), bool), np.zeros(len(going), bool)
+        for _ in range(12):
+            of = going[left]
+            damped = curve[left].copy()
+            damped[:, range(n), range(n)] += damping[of, None] * size[left]
+            q = np.clip(p[of] + _steps(damped, -gradient[left]), low[of], high[of])
+            s = residual(q, of)
+            total = np.einsum("gm,gm->g", s, s)
+            fine = total < sums[of]
+            won = of[fine]
+            taken[left[fine]] = True
+            done[left[fine]] = sums[won] - total[fine] <= 1e-12 * sums[won]
+            p[won], r[won], sums[won], damping[won] = q[fine], s[fine], total[fine], np.maximum(damping[won] / 5, 1e-12)
+            damping[of[~fine]] *= 4
+            left = left[~fine]
+            if not len(left):
+                break
+        going = going[taken & ~done]
+    return p
+
+
 def nonnegative(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
     """x >= 0 of least ``|a x - b|``, by active sets."""
     n = a.shape[1]
@@ -189,6 +254,32 @@ def two_rc(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, float]:
     return (p if p[2] <= p[4] else p[[0, 3, 4, 1, 2]]), rms
 
 
+def two_rc_each(t: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``two_rc`` of many groups at once: rows of times and values, of which the first ``n`` count."""
+    inside = np.arange(t.shape[1]) < n[:, None]
+    ends = lambda x: (np.where(inside, x, np.inf).min(axis=1), np.where(inside, x, -np.inf).max(axis=1))
+    (t0, t1), (v0, v1) = ends(t), ends(v)
+    span, size = np.maximum(t1 - t0, 1e-9), np.maximum(v1 - v0, 1e-9)
+    first, last = v[:, 0], v[np.arange(len(v)), n - 1]
+    low = np.column_stack([v0 - 10 * size, -10 * size, span / 1e4, -10 * size, span / 1e4])
+    high = np.column_stack([v1 + 10 * size, 10 * size, 10 * span, 10 * size, 10 * span])
+
+    starts = ((0.02, 0.3), (0.05, 0.5), (0.1, 1.0), (0.01, 0.1))
+    many = len(t)
+
+    def residual(p, at):
+        of = at % many
+        x = p[:, 0:1] + p[:, 1:2] * np.exp(-t[of] / p[:, 2:3]) + p[:, 3:4] * np.exp(-t[of] / p[:, 4:5]) - v[of]
+        return np.where(inside[of], x, 0.0)
+
+    every = np.concatenate([np.column_stack([last, (first - last) / 2, a * span, (first - last) / 2, b * span]) for a, b in starts])
+    p = levenberg_marquardt_each(residual, every, np.tile(low, (len(starts), 1)), np.tile(high, (len(starts), 1)))
+    rms = np.sqrt((residual(p, np.arange(len(p))) ** 2).sum(axis=1) / np.tile(n, len(starts))).reshape(len(starts), many)
+    which = rms.argmin(axis=0)
+    best, least = p.reshape(len(starts), many, 5)[which, np.arange(many)], rms[which, np.arange(many)]
+    return np.where((best[:, 2] <= best[:, 4])[:, None], best, best[:, [0, 3, 4, 1, 2]]), least
+
+
 def spanning_edges(x: np.ndarray, core: np.ndarray | None = None) -> np.ndarray:
     """Rows distance, a, b of a minimum spanning tree of points by mutual reachability (the greatest
     of a pair's distance and both core distances). Holds one row of distances at a time."""

@@ -5,9 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voltaspan.functions import numeric
-from voltaspan.operators.groups import dealt
+from voltaspan.operators.groups import dealt, padded, together
+
+#: So many groups are fitted at once.
+STACK = 512
 
 
 def drt(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int = 6) -> DataFrame:
@@ -46,19 +50,26 @@ def kk_screen(spectra: DataFrame, key: str, f: str, re: str, im: str, least: int
 
 
 def relaxations(rows: DataFrame, keys: list[str], time: str, value: str, least: int = 6) -> DataFrame:
-    """Two exponentials fitted to each group of ``least`` rows or more; seconds from its start."""
-    names = [*keys, "v0", "a1", "tau1", "a2", "tau2", "rms", "degenerate"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(time)
-        t = (pdf[time] - pdf[time].iloc[0]).to_numpy(float) / 1e6
-        p, rms = numeric.two_rc(t, pdf[value].to_numpy(float))
-        return pd.DataFrame([(*pdf[keys].iloc[0], *p, rms, bool(p[4] < 1.05 * p[2]))], columns=names)
-
-    schema = ", ".join([*(f"{k} long" for k in keys), *(f"{c} double" for c in names[len(keys) : -1]), "degenerate boolean"])
-    return dealt(rows.select(*keys, time, value), keys).groupBy(*keys).applyInPandas(run, schema)
+    """Two exponentials fitted to each group of ``least`` rows or more with a time and a value; seconds
+    from its start."""
+    names = ["v0", "a1", "tau1", "a2", "tau2"]
+
+    def many(columns: dict[str, np.ndarray], starts: np.ndarray):
+        t, v = columns[time], columns[value].astype(float)
+        ends = np.append(starts[1:], len(t))
+        of = np.flatnonzero(ends - starts >= least)
+        of = of[np.argsort((ends - starts)[of], kind="stable")]
+        found = [(np.empty((0, 5)), np.empty(0))]
+        for few in np.array_split(of, -(-len(of) // STACK) or 1):  # of like lengths
+            if len(few):
+                n = ends[few] - starts[few]
+                since = (t - np.repeat(t[starts], ends - starts)) / 1e6
+                found.append(numeric.two_rc_each(padded(since, starts[few], ends[few]), padded(v, starts[few], ends[few]), n))
+        p, rms = (np.concatenate(x) for x in zip(*found))
+        return of, {**{c: p[:, k] for k, c in enumerate(names)}, "rms": rms, "degenerate": p[:, 4] < 1.05 * p[:, 2]}
+
+    known = rows.select(*keys, time, F.col(value).cast("double").alias(value)).where(F.col(time).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    return together(known, keys, [time], many, ", ".join([*(f"{c} double" for c in [*names, "rms"]), "degenerate boolean"]))
 
 
 def differential(rows: DataFrame, keys: list[str], order: str, voltage: str, charge: str, window: int = 51) -> DataFrame:
