@@ -5,6 +5,7 @@ import pytest
 
 from voltaspan.functions import numeric
 from voltaspan.operators import clusters, density
+from voltaspan.operators.groups import together
 
 
 def blobs(seed, n=500, parts=4):
@@ -80,3 +81,15 @@ def test_two_layers_find_the_capacity_tests(spark):
             want = "CAP*" if r.current_mean < 0 else str(r.cluster)
             assert r.cluster_id.startswith("cap_layer_") == (r.cell == 2)
         assert r.target == want, r
+
+
+def test_keys_too_small_for_two_clusters_are_noise_without_work(spark, monkeypatch):
+    rows = [(None if c == 5 else c, i, float(i % 2), 0.0) for c in range(40) for i in range(3)] + [(c, i, float(i // 4 * 9 + i % 4), 0.0) for c in range(50, 60) for i in range(8)]
+    df = spark.createDataFrame(rows, "cell long, week long, a double, b double")
+    found = density.density_clusters(df, ["cell"], "week", ["a", "b"], 3)
+    labels = {(r.cell, r.week): r.cluster for r in found.collect()}
+    assert len(labels) == found.count() == len(rows) and all(labels[c, i] == (-1 if c is None or c < 50 else i // 4) for c, i, _, _ in rows)
+    calls = []
+    monkeypatch.setattr(density, "together", lambda rows, *rest: calls.append(rows.select("cell").distinct().count()) or together(rows, *rest))
+    density.density_clusters(df, ["cell"], "week", ["a", "b"], 3).count()
+    assert calls == [11]  # ten of eight points, and the one without a name

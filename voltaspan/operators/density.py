@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaspan.functions import numeric
+from voltaspan.operators.groups import together
 from voltaspan.sources.shared import kept
 
 BLOCK = 1024
@@ -190,12 +191,18 @@ def density_clusters(rows: DataFrame, keys: Sequence[str], item: str, columns: S
     large = sizes.where(F.col("n") > block).select(*keys)
     schema = f"{types(points, [*keys, 'id'])}, cluster int"
 
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        found = numeric.density_clusters(np.array(pdf["x"].tolist(), float), least, 1, epsilon)
-        return pdf[[*keys, "id"]].assign(cluster=found)
-
-    found = points.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(small, schema)
+    def small(columns: dict[str, np.ndarray], starts: np.ndarray):
+        x = np.column_stack([columns[c] for c in axes])
+        ends = np.append(starts[1:], len(x))
+        found = [numeric.density_clusters(x[a:b], least, 1, epsilon) for a, b in zip(starts, ends)]
+        return np.repeat(np.arange(len(starts)), ends - starts), {"id": columns["id"], "cluster": np.concatenate(found).astype(np.int32)}
+
+    axes = [f"x{k}" for k in range(len(columns))]
+    few = sizes.where(F.col("n") < 2 * least).select(*keys)  # too few to part: noise
+    some = points.join(few, keys, "left_anti").join(large, keys, "left_anti").select(*keys, "id", *[F.col("x")[k].alias(c) for k, c in enumerate(axes)])
+    found = points.join(few, keys, "left_semi").select(*keys, "id", F.lit(-1).alias("cluster"))
+    if some.take(1):
+        found = found.unionByName(together(some, keys, ["id"], small, f"{types(points, ['id'])}, cluster int"))
     if large.take(1):
         big = kept(points.join(large, keys, "left_semi").withColumn("core", F.lit(0.0)), "points")
         tree = spanning_tree(big, keys, len(columns), block)
