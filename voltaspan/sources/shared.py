@@ -32,3 +32,11 @@ def dropped(df: DataFrame) -> None:
     for path in {m[0] for f in df.inputFiles()[:1] if (m := re.match(r".*/[a-z-]+-[0-9a-f]{32}(?=/)", f))}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def few_bytes(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches that go to Python hold so many bytes at most: rows of long arrays are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
