@@ -57,3 +57,26 @@ def test_groups_in_pieces_come_together(spark):
         assert found.exceptAll(wanted).count() == wanted.exceptAll(found).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_curves_of_many_groups_come_from_few_calls(spark, monkeypatch):
+    from voltaspan.operators import groups, sweeps
+
+    rng = np.random.default_rng(8)
+    rows = [(k, float(v), float(q)) for k in range(60) for v, q in zip(rng.integers(0, 30, 40), rng.uniform(0, 5, 40))] + [(7, None, 1.0), (7, 3.0, float("nan")), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "cell long, v double, q double")
+    found = sweeps.differential_capacity(df, ["cell"], "v", "q", 1.0, 0.5, 5).toPandas()
+    for k in (0, 7, 59):
+        v, q = np.array(sorted((v, q) for c, v, q in rows if c == k and v is not None and q == q)).T
+        v, at = np.unique(v, return_index=True)
+        grid = np.arange(v[0] + 0.5, v[-1] - 0.5, 1.0)
+        on = numeric.smoothed(np.interp(grid, v, q[at]), 5)
+        assert np.allclose(found[found.cell == k].sort_values("v")["dqdv"], np.gradient(on, 1.0))
+    assert found.cell.nunique() == 60 and not found.cell.isna().any()
+    assert sweeps.curves is groups.curves and fits.curves is groups.curves  # no group has a call of its own
+
+
+def test_ends_take_the_polynomial_of_their_window():
+    x = np.linspace(0, 2, 30)
+    for derivative, want in ((0, x**3 - x), (1, 3 * x**2 - 1), (2, 6 * x)):
+        assert np.allclose(numeric.smoothed(x**3 - x, 11, 3, derivative, x[1]), want)

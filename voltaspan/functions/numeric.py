@@ -5,6 +5,7 @@ Groups are single spectra, pulses or the segments of one cell; Spark deals them
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -127,6 +128,11 @@ def nonnegative(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(64)
+def _local(half: int, order: int) -> np.ndarray:
+    return np.linalg.pinv(np.vander(np.arange(-half, half + 1), order + 1, increasing=True))
+
+
 def smoothed(y: np.ndarray, window: int = 51, order: int = 3, derivative: int = 0, step: float = 1.0) -> np.ndarray:
     """Local polynomial smoothing; the ends take the polynomial of the first and last window."""
     window = min(window, len(y) - 1 + len(y) % 2)
@@ -134,13 +140,15 @@ def smoothed(y: np.ndarray, window: int = 51, order: int = 3, derivative: int =
         return y.astype(float) if not derivative else np.gradient(y, step)
     half = window // 2
     at = np.arange(-half, half + 1)
-    basis = np.linalg.pinv(np.vander(at, order + 1, increasing=True))
+    basis = _local(half, order)
     factor = [1, 1, 2, 6][derivative] / step**derivative
     out = np.convolve(y, basis[derivative][::-1], "valid") * factor
     ends = []
     for part, where in ((y[:window], at[:half]), (y[-window:], at[half + 1 :])):
-        c = np.polynomial.Polynomial(basis @ part)
-        ends.append((c.deriv(derivative) if derivative else c)(where) / step**derivative)
+        c = basis @ part
+        for _ in range(derivative):
+            c = c[1:] * np.arange(1, len(c))
+        ends.append(np.vander(where, len(c), increasing=True) @ c / step**derivative)
     return np.concatenate([ends[0], out, ends[1]])
 
 

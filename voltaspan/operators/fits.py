@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltaspan.functions import numeric
-from voltaspan.operators.groups import dealt, padded, together
+from voltaspan.operators.groups import curves, dealt, padded, together
 
 #: So many groups are fitted at once.
 STACK = 512
@@ -75,13 +75,11 @@ def relaxations(rows: DataFrame, keys: list[str], time: str, value: str, least:
 def differential(rows: DataFrame, keys: list[str], order: str, voltage: str, charge: str, window: int = 51) -> DataFrame:
     """dV/dQ of a sweep after smoothing, at its own points."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        q, v = pdf[charge].to_numpy(float), pdf[voltage].to_numpy(float)
-        if len(pdf) < 5 or q[-1] <= q[0]:
-            return pd.DataFrame(columns=[*keys, "q", "dvdq"])
+    def one(v: np.ndarray, q: np.ndarray):
+        if len(q) < 5 or not q[-1] > q[0]:
+            return None
         grid = np.linspace(q[0], q[-1], len(q))
-        smooth = numeric.smoothed(np.interp(grid, q, v), window, 3, 1, grid[1] - grid[0])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "q": grid, "dvdq": smooth})
+        return {"q": grid, "dvdq": numeric.smoothed(np.interp(grid, q, v), window, 3, 1, grid[1] - grid[0])}
 
-    return dealt(rows.select(*keys, order, voltage, charge), keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} long" for k in keys), "q double", "dvdq double"]))
+    of = rows.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in (voltage, charge)])
+    return curves(of, keys, [order], [voltage, charge], one, ["q", "dvdq"])

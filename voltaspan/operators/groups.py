@@ -62,6 +62,20 @@ def together(rows: DataFrame, keys: Sequence[str], order: Sequence[str], many: C
     return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{types}, {schema}")
 
 
+def curves(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], one: Callable, names: Sequence[str]) -> DataFrame:
+    """A curve of each group: ``one`` takes its columns in order and gives arrays of doubles, of one length,
+    by their names, or None."""
+
+    def many(values: dict[str, np.ndarray], starts: np.ndarray):
+        ends = np.append(starts[1:], len(values[columns[0]]))
+        found = [one(*(values[c][a:b] for c in columns)) for a, b in zip(starts, ends)]
+        sizes = [len(f[names[0]]) if f is not None else 0 for f in found]
+        made = {n: np.concatenate([np.empty(0), *[f[n] for f in found if f is not None]]) for n in names}
+        return np.repeat(np.arange(len(starts)), sizes), made
+
+    return together(rows, keys, order, many, ", ".join(f"{n} double" for n in names))
+
+
 def padded(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Groups of an array as rows of a table, zeros behind the shorter ones."""
     most = int((ends - starts).max(initial=0))
