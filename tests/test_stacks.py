@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from voltaspan.functions import numeric
-from voltaspan.operators import fits
+from voltaspan.functions import kernels, numeric
+from voltaspan.operators import fits, pulses
 from voltaspan.operators.groups import padded, together
 
 
@@ -80,3 +81,35 @@ def test_ends_take_the_polynomial_of_their_window():
     x = np.linspace(0, 2, 30)
     for derivative, want in ((0, x**3 - x), (1, 3 * x**2 - 1), (2, 6 * x)):
         assert np.allclose(numeric.smoothed(x**3 - x, 11, 3, derivative, x[1]), want)
+
+
+@pytest.mark.parametrize("signed,most", [([True, True, True], None), ([False, False, False], [0.4, 1.5, 1.0])])
+def test_searches_at_once_are_those_one_by_one(signed, most):
+    rng = np.random.default_rng(9)
+    groups = [_made(rng, n) for n in (14, 20, 20, 33, 9)]
+    ends = np.cumsum([len(t) for t, _ in groups])
+    starts = ends - [len(t) for t, _ in groups]
+    t, v = (padded(np.concatenate(x), starts, ends) for x in zip(*groups))
+    inside, ranges = np.arange(t.shape[1]) < (ends - starts)[:, None], [(0.2, 60.0), (20.0, 6000.0)]
+    design = lambda of, a, b: [c * inside[of] for c in (np.ones_like(t[of]), np.exp(-t[of] / a), np.exp(-t[of] / b))]
+    high = None if most is None else np.tile(most, (len(t), 1))
+    at, x, rms = kernels.searched_each(design, v, ends - starts, np.tile(np.array(ranges), (len(t), 1, 1)), signed, most=high)
+    for k, (a, b) in enumerate(groups):
+        one = kernels.searched(lambda p, q: kernels.beside(np.ones_like(a), np.exp(-a / p), np.exp(-a / q)), b, ranges, signed, most=None if most is None else np.array(most), together=True)
+        assert abs(rms[k] - one[2]) < 1e-6 * one[2] and np.allclose(x[k], one[1], rtol=1e-3, atol=1e-6) and np.allclose(at[k], one[0], rtol=1e-3)
+
+
+def test_columns_that_depend_are_solved_alone():
+    y = np.array([[1.0, 2, 3, 0], [1, 1, 2, 4]])
+    columns = [np.ones((2, 4)), np.array([[1.0, 1, 1, 1], [0, 1, 2, 3]]), np.zeros((2, 4))]
+    x, r = kernels.solved_each(columns, y, np.array([True] * 3), np.full((2, 3), np.inf))
+    for k in range(2):
+        one, rms = kernels.solved(np.column_stack([c[k] for c in columns]), y[k], np.array([True] * 3))
+        assert np.allclose(x[k], one) and abs(np.sqrt(np.mean(r[k] ** 2)) - rms) < 1e-12
+
+
+def test_what_cannot_be_fitted_is_null(spark):
+    rows = spark.createDataFrame([(1, float(k), 3.0 + k) for k in range(9)], "id long, t double, v double")
+    table = spark.createDataFrame([(1, 20.0, 2.0, 3.0, 0.01)], "id long, t_p double, i_p double, v_pre double, r0 double")
+    assert pulses.extrapolated(rows, table, ["id"]).first().r0_termination is None
+    assert pulses.staged(rows, table, ["id"]).first().asDict() == {"id": 1} | dict.fromkeys(pulses._STAGED)

@@ -56,7 +56,7 @@ def together(rows: DataFrame, keys: Sequence[str], order: Sequence[str], many: C
         starts = np.flatnonzero(begins)
         of, columns = many({c: table.column(c).to_numpy() for c in table.column_names if c not in keys}, starts)
         at = pa.array(starts[of], pa.int64())
-        yield from pa.table({**{k: table.column(k).take(at) for k in keys}, **columns}).to_batches(max_chunksize=10_000)
+        yield from pa.table({**{k: table.column(k).take(at) for k in keys}, **{c: pa.array(x, from_pandas=True) for c, x in columns.items()}}).to_batches(max_chunksize=10_000)
 
     types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{types}, {schema}")

@@ -8,16 +8,14 @@ pulse, ``v`` and ``i``; a table of pulses has ``t_p``, its length, ``i_p``, its
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltaspan.functions import kernels
-from voltaspan.operators.groups import dealt
+from voltaspan.operators.groups import padded, together
 from voltaspan.operators.rules import amplitude_in, state_prefix
 
 REST, SPREAD = 0.05, 0.05
@@ -100,106 +98,145 @@ def charge_ramp(rows: DataFrame, keys: Sequence[str], time: str, current: str, s
 FAST, SLOW = (0.2, 60.0), (20.0, 6000.0)
 
 
-def _joint(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, r0: float, diffusion: bool) -> dict:
-    """Two RC elements (and finite diffusion) over pulse and rest, the ohmic part given, the voltage
-    at rest moving with the charge."""
-    share = np.clip(t / t_p, 0, 1)
-    y = v - v_pre * (1 - share) - np.where(t <= t_p, i_p * r0, 0)
+#: So many pulses are fitted at once.
+STACK = 256
+
+
+def _fitted(mask: np.ndarray, y: np.ndarray, parts: Callable, ranges: Sequence[tuple[float, float]], signed: Sequence[bool], **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Constants, coefficients and root mean square of many fits, over the samples in ``mask`` alone."""
+    design = lambda of, *at: [c * mask[of] for c in parts(of, *at)]
+    return kernels.searched_each(design, np.where(mask, y, 0.0), mask.sum(axis=1), np.tile(np.array(ranges, float), (len(y), 1, 1)), signed, **options)
 
-    @functools.cache  # steps along one constant share the others
-    def response(kernel, tau):
-        return kernel(t, i_p, t_p, tau)
 
-    def design(*tau):
-        of = [(kernels.rc_pulse, x) for x in tau[:2]] + [(kernels.warburg_pulse, x) for x in tau[2:]]
-        return kernels.beside(share, *(k(t, i_p, t_p, x) if np.ndim(x) else response(k, x) for k, x in of))
+def _some(which: np.ndarray, names: Sequence[str], one: Callable) -> dict[str, np.ndarray]:
+    """What ``one`` gives for some rows, not-a-number for the others."""
+    at, out = np.flatnonzero(which), {c: np.full(len(which), np.nan) for c in names}
+    if len(at):
+        for c, x in one(at).items():
+            out[c][at] = x
+    return out
 
+
+def _joint(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, diffusion: bool) -> dict:
+    """Two RC elements (and finite diffusion) over pulse and rest, the ohmic part given, the voltage
+    at rest moving with the charge."""
+    inside = inside & (t >= 0)
+    t_p, i_p, t = p["t_p"], p["i_p"], np.where(inside, t, 0.0)
+    share = np.clip(t / t_p, 0, 1)
+    y = v - p["v_pre"] * (1 - share) - np.where(t <= t_p, i_p * p["r0"], 0)
+    kinds = [kernels.rc_pulse] * 2 + [kernels.warburg_pulse] * diffusion
+    parts = lambda of, *tau: [share[of], *(k(t[of], i_p[of], t_p[of], x) for k, x in zip(kinds, tau))]
     ranges = [FAST, SLOW] + [(1.0, 6000.0)] * diffusion
-    tau, x, rms = kernels.searched(design, y, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7, together=True)
-    out = {"ocv_post": x[0], "r1": x[1], "tau1": tau[0], "r2": x[2], "tau2": tau[1], "rms": rms, "degenerate": bool(x[1] <= 0 or x[2] <= 0 or tau[1] < 1.05 * tau[0] or tau[1] > 0.98 * SLOW[1])}
-    return out | ({"r_w": x[3], "tau_w": tau[2]} if diffusion else {})
+    tau, x, rms = _fitted(inside, y, parts, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7)
+    bad = (x[:, 1] <= 0) | (x[:, 2] <= 0) | (tau[:, 1] < 1.05 * tau[:, 0]) | (tau[:, 1] > 0.98 * SLOW[1])
+    out = {"ocv_post": x[:, 0], "r1": x[:, 1], "tau1": tau[:, 0], "r2": x[:, 2], "tau2": tau[:, 1], "rms": rms, "degenerate": bad}
+    return out | ({"r_w": x[:, 3], "tau_w": tau[:, 2]} if diffusion else {})
 
 
-def _termination(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, window: float = 60.0) -> float:
+def _termination(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, window: float = 60.0) -> np.ndarray:
     """The ohmic step at the end of a pulse, the rest carried back to the instant of its end."""
-    rest, last = (t > t_p) & (t - t_p <= window), v[t <= t_p]
-    if rest.sum() < 8 or not len(last):
-        return np.nan
-    x = t[rest] - t_p
-    _, c, _ = kernels.searched(lambda a, b: kernels.beside(np.ones_like(x), np.exp(-x / a), np.exp(-x / b)), v[rest], [FAST, SLOW], [True] * 3, together=True)
-    return float(abs((last[-1] - c.sum()) / i_p))
+    t_p, during = p["t_p"], inside & (t <= p["t_p"])
+    rest = inside & (t > t_p) & (t - t_p <= window)
 
+    def one(at):
+        # one by one: the amplitudes have no bounds, and where they can't be told apart their sum, carried
+        # back, hangs on the last digit of every step
+        steps = []
+        for g in at:
+            x = t[g, rest[g]] - t_p[g]
+            _, c, _ = kernels.searched(lambda a, b: kernels.beside(np.ones_like(x), np.exp(-x / a), np.exp(-x / b)), v[g, rest[g]], [FAST, SLOW], [True] * 3, together=True)
+            steps.append(abs((v[g, during[g]][-1] - c.sum()) / p["i_p"][g, 0]))
+        return {"r": np.array(steps)}
 
-def _onset(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, cap: float, window: float = 20.0) -> float:
+    return _some((rest.sum(axis=1) >= 8) & during.any(axis=1), ["r"], one)["r"]
+
+
+def _onset(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, window: float = 20.0) -> np.ndarray:
     """The ohmic step at the start of a pulse, its rise carried back; not above ``cap`` (by 2 %)."""
-    rise = (t > 0) & (t <= min(t_p, window))
-    if rise.sum() < 8:
-        return np.nan
-    x = t[rise]
-    most = np.array([min(0.2, cap * 1.02) if np.isfinite(cap) and cap > 0 else 0.2, 1.0, 1.0])
-    _, c, _ = kernels.searched(lambda a, b: i_p * kernels.beside(np.ones_like(x), 1 - np.exp(-x / a), 1 - np.exp(-x / b)), v[rise] - v_pre, [FAST, SLOW], [False] * 3, most=most, together=True)
-    return float(c[0])
+    rise = inside & (t > 0) & (t <= np.minimum(p["t_p"], window))
+    cap = p.get("cap", np.full((len(t), 1), np.nan))[:, 0]
+
+    def one(at):
+        x, i_p = np.where(rise, t, 0.0)[at], p["i_p"][at]
+        most = np.column_stack([np.where(np.isfinite(cap) & (cap > 0), np.minimum(0.2, cap * 1.02), 0.2), np.ones(len(cap)), np.ones(len(cap))])[at]
+        parts = lambda of, a, b: [i_p[of] * np.ones_like(x[of]), i_p[of] * (1 - np.exp(-x[of] / a)), i_p[of] * (1 - np.exp(-x[of] / b))]
+        return {"r": _fitted(rise[at], (v - p["v_pre"])[at], parts, [FAST, SLOW], [False] * 3, most=most)[1][:, 0]}
+
+    return _some(rise.sum(axis=1) >= 8, ["r"], one)["r"]
+
 
+_STAGED = ["r1_fast", "tau1_fast", "r2_slow", "tau2_slow", "staged_rms"]
 
-def _staged(t: np.ndarray, v: np.ndarray, t_p: float, i_p: float, v_pre: float, r0: float, cut: float = 5.0) -> dict:
+
+def _staged(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, cut: float = 5.0) -> dict:
     """The slow element from the rest, once the fast one is gone; the fast one from what the rise
     has besides."""
-    none = dict.fromkeys(("r1_fast", "tau1_fast", "r2_slow", "tau2_slow", "staged_rms"), np.nan)
-    rest, rise = t - t_p >= cut, (t > 0) & (t <= t_p)
-    if rest.sum() < 8 or rise.sum() < 8 or not np.isfinite(r0):
-        return none
-    x = t[rest] - t_p
-    (slow,), c, _ = kernels.searched(lambda b: kernels.beside(np.ones_like(x), np.exp(-x / b)), v[rest], [SLOW], [True] * 2, ordered=1, points=25, together=True)
-    grown = 1 - np.exp(-t_p / slow)
-    if grown < 1e-6:
-        return none
-    r2, post = c[1] / (i_p * grown), c[0]
-    model = v_pre + (post - v_pre) * np.clip(t / t_p, 0, 1) + np.where(t <= t_p, i_p * r0, 0) + r2 * kernels.rc_pulse(t, i_p, t_p, slow)
-    (fast,), c, _ = kernels.searched(lambda a: kernels.rc_pulse(t[rise], i_p, t_p, a)[..., None], (v - model)[rise], [FAST], [False], ordered=1, points=25, together=True)
-    if fast > slow:
-        return none
-    r = model + c[0] * kernels.rc_pulse(t, i_p, t_p, fast) - v
-    return {"r1_fast": c[0], "tau1_fast": fast, "r2_slow": r2, "tau2_slow": slow, "staged_rms": float(np.sqrt(np.mean(r**2)))}
-
-
-def _grouped(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], names: Sequence[str], one: Callable, flags: Sequence[str] = ()) -> DataFrame:
-    """One row per pulse: keys and what ``one`` makes of its samples and its row."""
+    rest, rise = inside & (t - p["t_p"] >= cut), inside & (t > 0) & (t <= p["t_p"])
+
+    def one(at):
+        t_, v_, rest_, rise_, of_ = t[at], v[at], rest[at], rise[at], inside[at]
+        t_p, i_p, v_pre, r0 = (p[c][at] for c in ("t_p", "i_p", "v_pre", "r0"))
+        x = np.where(rest_, t_ - t_p, 0.0)
+        slow, c, _ = _fitted(rest_, v_, lambda of, b: [np.ones_like(x[of]), np.exp(-x[of] / b)], [SLOW], [True] * 2, ordered=1, points=25)
+        grown = 1 - np.exp(-t_p / slow)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r2, post = c[:, 1:] / (i_p * grown), c[:, :1]
+        ok = (grown >= 1e-6)[:, 0]
+        r2[~ok] = 0.0
+        model = v_pre + (post - v_pre) * np.clip(t_ / t_p, 0, 1) + np.where(t_ <= t_p, i_p * r0, 0) + r2 * kernels.rc_pulse(t_, i_p, t_p, slow)
+        since = np.where(rise_, t_, 0.0)
+        fast, c, _ = _fitted(rise_, v_ - model, lambda of, a: [kernels.rc_pulse(since[of], i_p[of], t_p[of], a)], [FAST], [False], ordered=1, points=25)
+        r = np.where(of_, model + c * kernels.rc_pulse(t_, i_p, t_p, fast) - v_, 0.0)
+        rms = np.sqrt((r**2).sum(axis=1) / of_.sum(axis=1))
+        ok &= (fast <= slow)[:, 0]
+        return dict(zip(_STAGED, (np.where(ok, x, np.nan) for x in (c[:, 0], fast[:, 0], r2[:, 0], slow[:, 0], rms))))
+
+    return _some((rest.sum(axis=1) >= 8) & (rise.sum(axis=1) >= 8) & np.isfinite(p["r0"][:, 0]), _STAGED, one)
+
+
+def _grouped(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], names: Sequence[str], stack: Callable, flags: Sequence[str] = ()) -> DataFrame:
+    """One row per pulse: keys and what ``stack`` makes of the samples (t, v, which of them are there) and
+    rows of many pulses, of like lengths, at once."""
     columns = [c for c in pulses.columns if c not in keys]
-    joined = rows.select(*keys, "t", "v").join(pulses, list(keys))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["t", "v"]).sort_values("t")
-        if len(pdf) < 8:
-            return pd.DataFrame(columns=[*keys, *names])
-        of = pdf.iloc[0]
-        found = one(pdf["t"].to_numpy(float), pdf["v"].to_numpy(float), {c: of[c] for c in columns})
-        return pd.DataFrame([(*(of[k] for k in keys), *(found[n] for n in names))], columns=[*keys, *names])
-
-    types = {f.name: f.dataType.simpleString() for f in pulses.schema.fields}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{n} {'boolean' if n in flags else 'double'}" for n in names)])
-    return dealt(joined, keys).groupBy(*keys).applyInPandas(run, schema)
+    joined = rows.select(*keys, F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v")).join(pulses.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), list(keys))
+
+    def many(values: dict[str, np.ndarray], starts: np.ndarray):
+        ends = np.append(starts[1:], len(values["t"]))
+        size = ends - starts
+        of = np.flatnonzero(size >= 8)
+        of = of[np.argsort(size[of], kind="stable")]
+        found = {n: [np.empty(0, bool if n in flags else float)] for n in names}
+        for few in np.array_split(of, -(-len(of) // STACK) or 1):
+            if len(few):
+                t, v = (padded(values[c], starts[few], ends[few]) for c in ("t", "v"))
+                one = stack(t, v, np.arange(t.shape[1]) < size[few, None], {c: values[c][starts[few]].astype(float)[:, None] for c in columns})
+                for n in names:
+                    found[n].append(one[n])
+        return of, {n: np.concatenate(x) for n, x in found.items()}
+
+    known = joined.where("t is not null and v is not null and not isnan(t) and not isnan(v)")
+    return together(known, keys, ["t"], many, ", ".join(f"{n} {'boolean' if n in flags else 'double'}" for n in names))
 
 
 def extrapolated(rows: DataFrame, pulses: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ohmic resistance at the end and at the start of each pulse, carried back to the instant;
     ``cap``, where the pulses have it, bounds the one at the start."""
-    def one(t, v, p):
-        return {"r0_termination": _termination(t, v, p["t_p"], p["i_p"]), "r0_onset": _onset(t, v, p["t_p"], p["i_p"], p["v_pre"], p.get("cap", np.nan))}
+    def stack(t, v, inside, p):
+        return {"r0_termination": _termination(t, v, inside, p), "r0_onset": _onset(t, v, inside, p)}
 
-    return _grouped(rows, pulses, keys, ["r0_termination", "r0_onset"], one)
+    return _grouped(rows, pulses, keys, ["r0_termination", "r0_onset"], stack)
 
 
 def joint(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], diffusion: bool = False) -> DataFrame:
     """Two RC elements, with ``diffusion`` finite diffusion too, fitted to each pulse and the rest
     after it at once; ``r0`` is given. A fit without one of its elements is degenerate."""
     names = ["ocv_post", "r1", "tau1", "r2", "tau2", *(["r_w", "tau_w"] * diffusion), "rms", "degenerate"]
-    return _grouped(rows, pulses, keys, names, lambda t, v, p: _joint(t[t >= 0], v[t >= 0], p["t_p"], p["i_p"], p["v_pre"], p["r0"], diffusion), ["degenerate"])
+    return _grouped(rows, pulses, keys, names, lambda *of: _joint(*of, diffusion), ["degenerate"])
 
 
 def staged(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], cut: float = 5.0) -> DataFrame:
     """The slow element from the rest, ``cut`` seconds in, then the fast one from the rise; ``r0`` is given."""
-    names = ["r1_fast", "tau1_fast", "r2_slow", "tau2_slow", "staged_rms"]
-    return _grouped(rows, pulses, keys, names, lambda t, v, p: _staged(t, v, p["t_p"], p["i_p"], p["v_pre"], p["r0"], cut))
+    return _grouped(rows, pulses, keys, _STAGED, lambda *of: _staged(*of, cut))
 
 
 def rests(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, current: str, voltage: str, least: int = 10) -> DataFrame:
@@ -223,18 +260,21 @@ def relaxed(found: DataFrame, keys: Sequence[str], reference: DataFrame | None =
     names = ["ocv", "r0", "r1", "tau1", "r2", "tau2", "rms", "r_squared", "railed"]
     keys = [*keys, "segment"]
 
-    def one(t, v, p):
-        i, ranges = p["i_p"], [FAST, SLOW]
-        sign = np.sign(i) or 1.0
-        tau, c, rms = kernels.searched(lambda a, b: kernels.beside(np.ones_like(t), sign * np.exp(-t / a), sign * np.exp(-t / b)), v, ranges, [True, not bounded, not bounded], together=True)
-        spread = float(np.sqrt(np.mean((v - v.mean()) ** 2)))
+    def stack(t, v, inside, p):
+        i, n, ranges = p["i_p"], inside.sum(axis=1), [FAST, SLOW]
+        sign = np.where(np.sign(i) == 0, 1.0, np.sign(i))
+        parts = lambda of, a, b: [np.ones_like(t[of]), sign[of] * np.exp(-t[of] / a), sign[of] * np.exp(-t[of] / b)]
+        tau, c, rms = _fitted(inside, v, parts, ranges, [True, not bounded, not bounded])
+        middle = np.where(inside, v, 0.0).sum(axis=1, keepdims=True) / n[:, None]
+        spread = np.sqrt(np.where(inside, (v - middle) ** 2, 0.0).sum(axis=1) / n)
         with np.errstate(divide="ignore", invalid="ignore"):
-            r = [abs(np.float64(x) / i) for x in (p["v_last"] - c[0] - sign * (c[1] + c[2]), c[1], c[2])]
-        railed = any(x < 1.02 * low or x > 0.98 * high for x, (low, high) in zip(tau, ranges))
-        return dict(zip(names, (c[0], r[0], r[1], tau[0], r[2], tau[1], rms, 1 - (rms / spread) ** 2 if spread else np.nan, railed)))
+            r = [np.abs(x / i[:, 0]) for x in (p["v_last"][:, 0] - c[:, 0] - sign[:, 0] * (c[:, 1] + c[:, 2]), c[:, 1], c[:, 2])]
+            explained = np.where(spread > 0, 1 - (rms / spread) ** 2, np.nan)
+        railed = np.any([(x < 1.02 * low) | (x > 0.98 * high) for x, (low, high) in zip(tau.T, ranges)], axis=0)
+        return dict(zip(names, (c[:, 0], r[0], r[1], tau[:, 0], r[2], tau[:, 1], rms, explained, railed)))
 
     pulses = found.select(*keys, "v_last", "i_p").distinct()
-    fits = _grouped(found, pulses, keys, names, one, ["railed"])
+    fits = _grouped(found, pulses, keys, names, stack, ["railed"])
     if reference is None:
         return fits
     of = reference.select(*[F.col(c) for c in reference.columns if c != "r0"], F.col("r0").alias("_r0"))
