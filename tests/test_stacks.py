@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltaspan.functions import kernels, numeric
-from voltaspan.operators import fits, pulses
+from voltaspan.operators import fits, pulses, spectra
 from voltaspan.operators.groups import padded, together
 
 
@@ -113,3 +113,32 @@ def test_what_cannot_be_fitted_is_null(spark):
     table = spark.createDataFrame([(1, 20.0, 2.0, 3.0, 0.01)], "id long, t_p double, i_p double, v_pre double, r0 double")
     assert pulses.extrapolated(rows, table, ["id"]).first().r0_termination is None
     assert pulses.staged(rows, table, ["id"]).first().asDict() == {"id": 1} | dict.fromkeys(pulses._STAGED)
+
+
+def _spectra(many, rng):
+    w = 2 * np.pi * np.arange(1, 31.0)
+    return w, np.array([0.01 + rng.uniform(0.01, 0.03) * kernels.zarc(w, rng.uniform(0.005, 0.05), 1.0) + rng.normal(0, 1e-4, 30) + 1j * rng.normal(0, 1e-4, 30) for _ in range(many)])
+
+
+def test_elements_that_vanish_come_out_as_one_by_one():
+    w, z = _spectra(12, np.random.default_rng(4))  # one arc each, so a second has often nothing
+    flat = lambda c: np.concatenate([c.real, c.imag], axis=-1)
+    columns = lambda of, a, b: [flat(c) + 0 * a for c in (np.ones_like(w) + 0j, 1j * w, kernels.zarc(w, a, 1.0), kernels.zarc(w, b, 1.0))]
+    ranges, signed = [(0.002, 0.4), (0.002, 0.4)], [False] * 4
+    at, x, rms = kernels.searched_each(columns, flat(z), np.full(12, 60), np.tile(np.array(ranges), (12, 1, 1)), signed, 2, 4, 3, inside=np.ones((12, 60), bool))
+    for k in range(12):
+        one = kernels.searched(lambda a, b: np.stack(np.broadcast_arrays(*columns(0, a, b)), axis=-1), flat(z[k]), ranges, signed, 2, 4, 3, together=True)
+        assert abs(rms[k] - one[2]) < 1e-6 * one[2] and np.allclose(x[k], one[1], rtol=1e-3, atol=1e-5)
+
+
+@pytest.mark.parametrize("fit", [lambda s: spectra.arcs(s, "eis", n=2, diffusion=False, depressed=False), lambda s: spectra.arcs(s, "eis"), lambda s: spectra.series_resistance(s, "eis", f_min=5.0)])
+def test_spectra_of_a_task_are_fitted_in_one_call(spark, monkeypatch, fit):
+    w, z = _spectra(40, np.random.default_rng(5))
+    tasks, calls = [], []
+    monkeypatch.setattr(spectra, "together", lambda rows, keys, order, many, schema: tasks.append(many))
+    fit(spark.createDataFrame([(1, 1.0, 1.0, 1.0)], "eis long, f double, re double, im double"))
+    each = kernels.searched_each
+    monkeypatch.setattr(kernels, "searched", None)
+    monkeypatch.setattr(kernels, "searched_each", lambda *a, **k: calls.append(0) or each(*a, **k))
+    of, found = tasks[0]({"f": np.tile(w / 2 / np.pi, 40), "re": z.real.ravel(), "im": z.imag.ravel()}, np.arange(40) * 30)
+    assert len(calls) == 1 and len(of) == 40 and all(len(x) == 40 for x in found.values())

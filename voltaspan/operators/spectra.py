@@ -1,4 +1,4 @@
-"""Fits of impedance spectra, one spectrum at a time, and the table that brings them together."""
+"""Fits of impedance spectra, many of them at a time, and the table that brings them together."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.functions import kernels, numeric
 from voltaspan.operators import impedance
-from voltaspan.operators.groups import dealt
+from voltaspan.operators.groups import dealt, padded, together
 from voltaspan.sources.shared import kept
 
 ALPHA, PHI = (0.6, 1.0), (0.2, 0.9)
@@ -19,24 +19,59 @@ ALPHA, PHI = (0.6, 1.0), (0.2, 0.9)
 DIFFUSION, CLEAR = 5.0, 10**-0.7
 
 
-def _each(spectra: DataFrame, key: str, columns: Sequence[str], names: Sequence[str], one: Callable, types: dict[str, str] | None = None) -> DataFrame:
-    """One row per spectrum: its key and what ``one`` makes of its points by ascending frequency."""
+#: So many points of a grid, over all spectra that are fitted at once: about 130 spectra with three
+#: constants. Few stay long in the last steps, so many share what a call costs.
+STACK = 16_000
+
+
+def _stacked(spectra: DataFrame, key: str, columns: Sequence[str], least: int, names: Sequence[str], stack: Callable, types: dict[str, str] | None = None, grid: int = 50) -> DataFrame:
+    """One row per spectrum of ``least`` points or more: its key and what ``stack`` makes of many of them, of
+    like lengths, at once: angular frequencies, impedances, which of them are there, frequencies, other columns."""
+    f, re, im, *others = columns
     types = types or {}
+    x = lambda c: F.col(c).cast("double")
+    known = spectra.select(key, *[x(c).alias(c) for c in columns])
+    for c in (f, re, im):
+        known = known.where(F.col(c).isNotNull() & ~F.isnan(c))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=list(columns[:3])).sort_values(columns[0])
-        found = one(pdf) if len(pdf) else None
-        return pd.DataFrame([] if found is None else [(pdf[key].iloc[0], *(found[n] for n in names))], columns=[key, *names])
+    def many(values: dict[str, np.ndarray], starts: np.ndarray):
+        ends = np.append(starts[1:], len(values[f]))
+        size = ends - starts
+        of = np.flatnonzero(size >= least)
+        of = of[np.argsort(size[of], kind="stable")]
+        found = {n: [] for n in names}
+        for few in np.array_split(of, -(-len(of) * grid // STACK) or 1):
+            if len(few):
+                a, b, c = (padded(values[k], starts[few], ends[few]) for k in (f, re, im))
+                inside = np.arange(a.shape[1]) < size[few, None]
+                one = stack(np.where(inside, 2 * np.pi * a, 1.0), b + 1j * c, inside, a, {k: values[k][starts[few]].astype(float) for k in others})
+                for n in names:
+                    found[n].append(one[n])
+        return of, {n: np.concatenate(v) if v else np.empty(0, object if types.get(n) == "string" else float) for n, v in found.items()}
+
+    return together(known, [key], [f], many, ", ".join(f"{n} {types.get(n, 'double')}" for n in names))
+
+
+def _flat(columns: np.ndarray) -> np.ndarray:
+    return np.concatenate([columns.real, columns.imag], axis=-1)
 
-    kind = spectra.schema[key].dataType.simpleString()
-    return dealt(spectra.select(key, *columns), [key]).groupBy(key).applyInPandas(run, ", ".join([f"{key} {kind}", *(f"{n} {types.get(n, 'double')}" for n in names)]))
 
+def _fitted(w: np.ndarray, z: np.ndarray, inside: np.ndarray, parts: Callable, ranges: np.ndarray, signed: Sequence[bool], ordered: int, points: int, rounds: int):
+    """Fits of complex columns to many spectra: constants, coefficients, root mean squares."""
+    mask = np.concatenate([inside, inside], axis=1)
+    design = lambda of, *at: [np.where(mask[of], _flat(c), 0.0) for c in parts(of, *at)]
+    return kernels.searched_each(design, np.where(mask, _flat(z), 0.0), mask.sum(axis=1), ranges, signed, ordered, points, rounds, inside=mask)
 
-def _fitted(design: Callable, z: np.ndarray, ranges: Sequence[tuple[float, float]], signed: Sequence[bool], ordered: int, points: int, rounds: int):
-    """A fit of complex columns to a spectrum: constants, coefficients, root mean square."""
-    flat = lambda c: np.concatenate([c.real, c.imag], axis=-2)
-    tau, x, rms = kernels.searched(lambda *a: flat(np.asarray(design(*a))), np.concatenate([z.real, z.imag]), ranges, signed, ordered, points, rounds, together=True)
-    return tau, x, rms
+
+def _ranges(*pairs) -> np.ndarray:
+    """Ranges (spectrum, constant, end) from ends that are numbers or one for each spectrum."""
+    ends = np.broadcast_arrays(*[x for pair in pairs for x in pair])
+    return np.stack(ends, axis=-1).reshape(len(ends[0]), len(pairs), 2)
+
+
+def _ends(w: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time constants that the frequencies of each spectrum can tell."""
+    return 1 / np.where(inside, w, -np.inf).max(axis=1) / 3, 3 / np.where(inside, w, np.inf).min(axis=1)
 
 
 def series_resistance(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "im", f_min: float = 100.0, least: int = 10) -> DataFrame:
@@ -45,22 +80,31 @@ def series_resistance(spectra: DataFrame, key: str, f: str = "f", re: str = "re"
     ``alpha1_hf``, ``hf_rms``, ``hf_n``. Nulls where fewer than ``least`` points are there."""
     names = ["r0_hf", "r0_hf_sigma", "l_hf", "r1_hf", "tau1_hf", "alpha1_hf", "hf_rms", "hf_n"]
 
-    def one(pdf):
-        pdf = pdf[pdf[f] >= f_min]
-        if len(pdf) < least:
-            return dict.fromkeys(names[:-1]) | {"hf_n": len(pdf)}
-        w, z = 2 * np.pi * pdf[f].to_numpy(float), pdf[re].to_numpy(float) + 1j * pdf[im].to_numpy(float)
-        design = lambda tau, alpha: kernels.beside(np.ones_like(w) + 0j, 1j * w, kernels.zarc(w, tau, alpha))
-        ranges = [(1 / w.max() / 3, 3 / w.min()), ALPHA]
-        (tau, alpha), x, rms = _fitted(design, z, ranges, [False] * 3, 0, 7, 3)
-        c = design(tau, alpha)
-        steps = [(design(tau * 1.001, alpha)[:, 2] - c[:, 2]) * x[2] / 0.001, (design(tau, alpha * 0.999)[:, 2] - c[:, 2]) * x[2] / -0.001]
-        jac = np.column_stack([c, *steps])
-        jac = np.vstack([jac.real, jac.imag])
-        spread = np.linalg.pinv(jac.T @ jac) * rms**2 * len(jac) / max(len(jac) - 5, 1)
-        return dict(zip(names, (x[0], np.sqrt(max(spread[0, 0], 0)), x[1], x[2], tau, alpha, rms, len(pdf))))
-
-    return _each(spectra, key, [f, re, im], names, one, {"hf_n": "int"})
+    def fitted(w, z, inside):
+        low, high = _ends(w, inside)
+        parts = lambda of, tau, alpha: [np.ones_like(w[of]) + 0j, 1j * w[of], kernels.zarc(w[of], tau, alpha)]
+        at, x, rms = _fitted(w, z, inside, parts, _ranges((low, high), ALPHA), [False] * 3, 0, 7, 3)
+        sigma = []
+        for w_, (tau, alpha), c, r in zip((a[b] for a, b in zip(w, inside)), at, x, rms):
+            arc = kernels.zarc(w_, tau, alpha)
+            steps = [(kernels.zarc(w_, tau * 1.001, alpha) - arc) * c[2] / 0.001, (kernels.zarc(w_, tau, alpha * 0.999) - arc) * c[2] / -0.001]
+            jac = np.column_stack([np.ones_like(w_) + 0j, 1j * w_, arc, *steps])
+            jac = np.vstack([jac.real, jac.imag])
+            spread = np.linalg.pinv(jac.T @ jac) * r**2 * len(jac) / max(len(jac) - 5, 1)
+            sigma.append(np.sqrt(max(spread[0, 0], 0)))
+        return x[:, 0], np.array(sigma), x[:, 1], x[:, 2], at[:, 0], at[:, 1], rms
+
+    def stack(w, z, inside, f_, _):
+        high = inside & (f_ >= f_min)
+        n = high.sum(axis=1)
+        found = {c: np.full(len(w), np.nan) for c in names[:-1]} | {"hf_n": n.astype("int32")}
+        of = np.flatnonzero(n >= least)
+        if len(of):
+            for c, x in zip(names, fitted(w[of], z[of], high[of])):
+                found[c][of] = x
+        return found
+
+    return _stacked(spectra, key, [f, re, im], 1, names, stack, {"hf_n": "int"})
 
 
 def arcs(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "im", n: int = 1, pinned: str | None = None, diffusion: bool = True, depressed: bool = True, least: int = 8) -> DataFrame:
@@ -68,33 +112,32 @@ def arcs(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "
     tau<k>, alpha<k>, r_d, phi_d, rms, and ``reason``, what of it stands at the end of its range
     (empty: nothing). ``pinned`` is a column with the series resistance; without ``depressed`` arcs
     are RC elements."""
+    points = 5 if n == 1 else 4
     shape = [x for k in range(1, n + 1) for x in (f"r{k}", f"tau{k}", f"alpha{k}")]
     names = ["r0", "l", *shape, *(["r_d", "phi_d"] * diffusion), "rms", "reason"]
 
-    def one(pdf):
-        if len(pdf) < least:
-            return None
-        w, z = 2 * np.pi * pdf[f].to_numpy(float), pdf[re].to_numpy(float) + 1j * pdf[im].to_numpy(float)
-        fixed = pdf[pinned].iloc[0] if pinned else np.nan
+    def stack(w, z, inside, _, others):
+        fixed = others[pinned] if pinned else np.full(len(w), np.nan)
         held = np.isfinite(fixed)
-        low, high = 1 / w.max() / 3, 3 / w.min()
-        high = max(min(high, DIFFUSION * CLEAR), 2 * low) if diffusion else high
-        ranges = [(low, high)] * n + [ALPHA if depressed else (1.0, 1.0)] * n + [PHI] * diffusion
+        low, high = _ends(w, inside)
+        high = np.maximum(np.minimum(high, DIFFUSION * CLEAR), 2 * low) if diffusion else high
+        ranges = _ranges(*[(low, high)] * n, *[ALPHA if depressed else (1.0, 1.0)] * n, *[PHI] * diffusion)
 
-        def design(*at):
-            columns = [np.zeros_like(w) + 0j if held else np.ones_like(w) + 0j, 1j * w, *(kernels.zarc(w, t, a) for t, a in zip(at[:n], at[n : 2 * n]))]
-            return kernels.beside(*columns, *[kernels.diffusion(w, DIFFUSION, at[-1])] * diffusion)
+        def parts(of, *at):
+            columns = [np.where(held[of, None], 0.0, np.ones_like(w[of])) + 0j, 1j * w[of], *(kernels.zarc(w[of], t, a) for t, a in zip(at[:n], at[n : 2 * n]))]
+            return columns + ([kernels.diffusion(w[of], DIFFUSION, at[-1])] if diffusion else [])
 
-        at, x, rms = _fitted(design, z - (fixed if held else 0), ranges, [False] * (2 + n + diffusion), n, 5 if n == 1 else 4, 3)
-        out = {"r0": fixed if held else x[0], "l": x[1], "rms": rms} | ({"r_d": x[-1], "phi_d": at[-1]} if diffusion else {})
-        reasons = []
+        at, x, rms = _fitted(w, z - np.where(held, fixed, 0.0)[:, None], inside, parts, ranges, [False] * (2 + n + diffusion), n, points, 3)
+        out = {"r0": np.where(held, fixed, x[:, 0]), "l": x[:, 1], "rms": rms} | ({"r_d": x[:, -1], "phi_d": at[:, -1]} if diffusion else {})
+        said = []
         for k in range(n):
-            out |= {f"r{k + 1}": x[2 + k], f"tau{k + 1}": at[k], f"alpha{k + 1}": at[n + k]}
-            reasons += [f"r{k + 1}"] * bool(x[2 + k] <= 0) + [f"tau{k + 1}"] * bool(at[k] < low * 1.02 or at[k] > high * 0.98) + [f"alpha{k + 1}"] * bool(depressed and at[n + k] < ALPHA[0] * 1.01)
-        reasons += ["tau"] * bool(n > 1 and at[1] < 1.05 * at[0])
-        return out | {"reason": ";".join(reasons)}
+            out |= {f"r{k + 1}": x[:, 2 + k], f"tau{k + 1}": at[:, k], f"alpha{k + 1}": at[:, n + k]}
+            said += [(f"r{k + 1}", x[:, 2 + k] <= 0), (f"tau{k + 1}", (at[:, k] < low * 1.02) | (at[:, k] > high * 0.98)), (f"alpha{k + 1}", depressed & (at[:, n + k] < ALPHA[0] * 1.01))]
+        if n > 1:
+            said.append(("tau", at[:, 1] < 1.05 * at[:, 0]))
+        return out | {"reason": np.array([";".join(name for name, true in said if true[g]) for g in range(len(w))], object)}
 
-    return _each(spectra, key, [f, re, im, *([pinned] if pinned else [])], names, one, {"reason": "string"})
+    return _stacked(spectra, key, [f, re, im, *([pinned] if pinned else [])], least, names, stack, {"reason": "string"}, points ** (n * (1 + depressed) + diffusion))
 
 
 def screened(spectra: DataFrame, key: str, f: str = "f", re: str = "re", im: str = "im", least: int = 12) -> DataFrame:
