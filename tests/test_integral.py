@@ -3,6 +3,8 @@
 import random
 import tempfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,31 @@ def test_steps_by_hand():
         integral._step(state, us * 1_000_000, tie, current, 30e6)
     assert state["late"] == 1 and state["n"] == 4
     assert state["settled"] + integral._part(state, 30e6) == pytest.approx((1 + 3) / 2 * 10 / 3600)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_steps_of_a_shelf_are_those_of_each_recording(seed):
+    rng = random.Random(seed)
+    names = ("settled", "n", "late", "us", "tie", "current", "before_us", "before_current")
+    alone, shelf = {}, {c: np.empty(0, integral._TYPES[kind]) for c, kind in integral._NAMES.items()}
+    for _ in range(4):
+        rows = [(rng.choice(("1", "2", None)), rng.choice(("a", "b", None)), rng.randrange(40) * 1_000_000, rng.randrange(10_000), rng.choice((None, 2.0, -3.0, 0.5))) for _ in range(rng.choice((1, 30)))]
+        for cell, file, us, tie, current in sorted(rows, key=lambda r: (r[2], r[3])):
+            integral._step(alone.setdefault((cell, file), dict(zip(names, (0.0, 0, 0, *[None] * 5)))), us, tie, current, 5e6)
+        shelf, told, newest = integral._steps(shelf, pd.DataFrame(rows, columns=["cell", "file", "us", "tie", "current"]), 5e6)
+        assert len(shelf["us"]) == len(alone) and told.sum() == len({r[:2] for r in rows})
+        for k, key in enumerate(zip(shelf["cell"], shelf["file"])):
+            want = alone[tuple(None if x != x else x for x in key)]
+            assert [shelf[c][k] for c in ("n", "late", "us", "tie")] == [want[c] for c in ("n", "late", "us", "tie")]
+            assert shelf["settled"][k] + newest[k] == pytest.approx(want["settled"] + integral._part(want, 5e6))
+
+
+def test_recordings_share_calls(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.range(600).select((F.col("id") % 300).alias("cell"), F.lit("a").alias("file"), (F.col("id") * 1_000_000).alias("us"), F.col("id").alias("seq"), F.lit(1.0).alias("current")).write.parquet(f"{folder}/in")
+    monkeypatch.setattr(integral, "SHELVES", 2)
+    stream = integral.integrated(spark.readStream.schema(COLUMNS).parquet(f"{folder}/in"), "cell", "file", "us", "seq", "current", 1e12)
+    found = integral.drained(stream, folder, f"{folder}/at")
+    assert found.count() == 300 and found.where("n = 2").count() == 300
+    kept = spark.read.format("statestore").option("stateVarName", "integral").load(f"{folder}/at/state")
+    assert kept.count() == 2

@@ -1,8 +1,9 @@
 """Charge as a stream: the running integral of each recording, carried from batch to batch.
 
-State is one small row per cell and file: what has been integrated, the newest sample, and the one
+State is a few numbers per cell and file: what has been integrated, the newest sample, and the one
 before it. The newest sample may still be replaced by another of its time, so what leads to it is
-only added once a later one comes.
+only added once a later one comes. Recordings lie on shelves, by hash, whose state is read and written
+whole: a call to Python costs much more than the rows of one recording.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +19,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 HOUR = 3_600_000_000.0
 
-_STATE = "settled double, n long, late long, us long, tie long, current double, before_us long, before_current double"
+#: A checkpoint keeps the number of shelves that it began with.
+SHELVES = 1024
+
+_NAMES = {"cell": "string", "file": "string", "settled": "double", "n": "long", "late": "long", "us": "long", "tie": "long", "current": "double", "before_us": "long", "before_current": "double", "due": "long"}
+_STATE = ", ".join(f"{name} array<{kind}>" for name, kind in _NAMES.items())
+_TYPES = {"string": object, "double": float, "long": np.int64}
 
 
 def _step(state: dict, us: int, tie: int, current: float | None, cut: float) -> None:
-    """One sample more. A sample at the newest time replaces that one if its tie is higher; one
+    """One sample more, of one recording. A sample at the newest time replaces that one if its tie is higher; one
     before it is late and isn't integrated."""
     if state["us"] is not None and us < state["us"]:
         state["late"] += 1
@@ -44,9 +51,53 @@ def _part(state: dict, cut: float) -> float:
     return 0.0 if dt > cut else (abs(a) + abs(b)) / 2 * dt / HOUR
 
 
+def _steps(state: dict[str, np.ndarray], batch: pd.DataFrame, cut: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """``_step`` for all rows of a batch and all recordings of a shelf at once. The state after it, which
+    recordings have rows in the batch, and what leads to the newest sample of each. Where there is none
+    before the newest its time stands there again."""
+    had = len(state["us"])
+    pairs = [pd.factorize(np.concatenate([state[c], batch[c].to_numpy(object)]), use_na_sentinel=False)[0].astype(np.int64) for c in ("cell", "file")]
+    ids, _ = pd.factorize(pairs[0] * (pairs[1].max() + 1) + pairs[1])
+    first, many = np.unique(ids, return_index=True)[1], ids.max() + 1
+    of, us = ids[had:], batch["us"].to_numpy(np.int64)
+    told = np.bincount(of, minlength=many) > 0
+    late = np.zeros(len(of), bool)
+    late[of < had] = us[of < had] < state["us"][of[of < had]]
+
+    # rows of a recording: the one before, the newest, those that come; of one time the highest tie counts
+    earlier = np.flatnonzero(state["before_us"] < state["us"])
+    come = np.flatnonzero(~late)
+    rec = np.concatenate([earlier, np.arange(had), of[come]])
+    t = np.concatenate([state["before_us"][earlier], state["us"], us[come]])
+    tie = np.concatenate([np.zeros(len(earlier), np.int64), state["tie"], batch["tie"].to_numpy(np.int64)[come]])
+    current = np.concatenate([state["before_current"][earlier], state["current"], batch["current"].to_numpy(float)[come]])
+    order = np.lexsort((-np.arange(len(rec)), tie, t, rec))  # of equal ties the first stands
+    rec, t, tie, current = rec[order], t[order], tie[order], current[order]
+    last = np.append((rec[1:] != rec[:-1]) | (t[1:] != t[:-1]), True)
+    rec, t, tie, current = rec[last], t[last], tie[last], current[last]
+
+    part, dt = np.zeros(len(rec)), np.diff(t)
+    part[1:] = np.where((rec[1:] == rec[:-1]) & (dt <= cut), np.nan_to_num((np.abs(current[1:]) + np.abs(current[:-1])) / 2 * dt / HOUR), 0.0)
+    ends = np.flatnonzero(np.append(rec[1:] != rec[:-1], True))  # every recording has a row
+    newest = part[ends]
+    part[ends] = 0.0
+    size = np.diff(ends, prepend=-1)
+    before = np.where(size > 1, ends - 1, ends)
+    grown = lambda c, kind: np.concatenate([state[c], np.zeros(many - had, kind)])
+    names = {c: np.concatenate([state[c], batch[c].to_numpy(object)])[first] for c in ("cell", "file")}
+    n = grown("n", np.int64) + size
+    n[:had] -= 1
+    n[earlier] -= 1
+    after = names | {
+        "settled": grown("settled", float) + np.bincount(rec, part, many), "n": n, "late": grown("late", np.int64) + np.bincount(of[late], minlength=many),
+        "us": t[ends], "tie": tie[ends], "current": current[ends], "before_us": t[before], "before_current": current[before], "due": grown("due", np.int64),
+    }
+    return after, told, newest
+
+
 class RunningIntegral(StatefulProcessor):
-    """Rows us, tie, current of a key (cell, file) in; its state out, after every batch that has rows of
-    it, and once more (``stale``) when none came for ``patience`` milliseconds."""
+    """Rows cell, file, us, tie, current of a shelf in; the state of its recordings out, of each after every
+    batch that has rows of it, and once more (``stale``) when none came for ``patience`` milliseconds."""
 
     def __init__(self, cut: float, patience: int):
         self.cut, self.patience = cut, patience
@@ -54,28 +105,42 @@ class RunningIntegral(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("integral", _STATE)
 
-    def _told(self, key, state: dict, stale: bool) -> pd.DataFrame:
-        row = (*key, state["settled"] + _part(state, self.cut), state["n"], state["late"], state["us"], state["current"], stale)
-        return pd.DataFrame([row], columns=["cell", "file", "ah", "n", "late", "last_us", "last_current", "stale"])
+    def _stored(self) -> dict[str, np.ndarray]:
+        lists = self.state.get() if self.state.exists() else [[] for _ in _NAMES]
+        state = {}
+        for (name, kind), values in zip(_NAMES.items(), lists):
+            state[name] = np.empty(len(values), _TYPES[kind])
+            state[name][:] = values
+        return state
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in _STATE.split(", ")]
-        kept = self.state.get() if self.state.exists() else (0.0, 0, 0, *[None] * 5)
-        state = dict(zip(names, kept))
-        batch = pd.concat(list(rows)).sort_values(["us", "tie"])
-        for us, tie, current in batch[["us", "tie", "current"]].itertuples(index=False, name=None):
-            _step(state, int(us), int(tie), None if current is None or current != current else float(current), self.cut)
-        self.state.update(tuple(state[n] for n in names))
+    def _store(self, state: dict[str, np.ndarray]) -> None:
+        self.state.update(tuple(state[name].tolist() for name in _NAMES))
         if self.patience:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
-        yield self._told(key, state, False)
+            if (state["due"] > 0).any():
+                self.handle.registerTimer(int(state["due"][state["due"] > 0].min()))
+
+    def _told(self, state: dict[str, np.ndarray], which: np.ndarray, newest: np.ndarray, stale: bool) -> pd.DataFrame:
+        out = {"cell": state["cell"], "file": state["file"], "ah": state["settled"] + newest, "n": state["n"], "late": state["late"], "last_us": state["us"], "last_current": state["current"]}
+        return pd.DataFrame(out)[which].assign(stale=stale)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, told, newest = _steps(self._stored(), pd.concat(list(rows)), self.cut)
+        if self.patience:
+            state["due"][told] = timerValues.getCurrentProcessingTimeInMs() + self.patience
+        self._store(state)
+        yield self._told(state, told, newest, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            state = dict(zip([part.split()[0] for part in _STATE.split(", ")], self.state.get()))
-            yield self._told(key, state, True)
+            state = self._stored()
+            over = (state["due"] > 0) & (state["due"] <= expiredTimerInfo.getExpiryTimeInMs())
+            dt = state["us"] - state["before_us"]
+            newest = np.where(dt <= self.cut, np.nan_to_num((np.abs(state["current"]) + np.abs(state["before_current"])) / 2 * dt / HOUR), 0.0)
+            state["due"][over] = 0
+            self._store(state)
+            yield self._told(state, over, newest, True)
 
     def close(self) -> None:
         pass
@@ -88,7 +153,8 @@ def integrated(stream: DataFrame, cell: str, file: str, time: str, tie: str, cur
     rows = stream.where(F.col(time).isNotNull() & F.col(tie).isNotNull()).select(F.col(cell).cast("string").alias("cell"), F.col(file).cast("string").alias("file"), F.col(time).cast("long").alias("us"), F.col(tie).cast("long").alias("tie"), F.col(current).cast("double").alias("current"))
     schema = "cell string, file string, ah double, n long, late long, last_us long, last_current double, stale boolean"
     processor = RunningIntegral(float(cut), patience)
-    return rows.groupBy("cell", "file").transformWithStateInPandas(processor, outputStructType=schema, outputMode="update", timeMode="ProcessingTime" if patience else "None")
+    shelf = F.pmod(F.xxhash64("cell", "file"), F.lit(SHELVES)).cast("int")
+    return rows.withColumn("shelf", shelf).groupBy("shelf").transformWithStateInPandas(processor, outputStructType=schema, outputMode="update", timeMode="ProcessingTime" if patience else "None")
 
 
 def drained(stream: DataFrame, folder: str, checkpoint: str | None = None) -> DataFrame:
