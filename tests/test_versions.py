@@ -84,3 +84,15 @@ def test_two_builders_do_not_overwrite(spark, folder):
     with pytest.raises(versions.Conflict):
         store.commit({"rows": store.table("rows")}, None)
     assert store.current() == first
+
+
+def test_a_step_with_late_rows_builds_once(spark, folder, monkeypatch):
+    rows, builds = recordings(), []
+    store, one = versions.Store(spark, folder), versions.Store(spark, folder + "-one")
+    versions.update(store, spark.createDataFrame([r for r in rows if r[1] in ("c1=0", "c1=1", "c1=2", "c2=0")], COLUMNS), *ARGS)
+    built = versions.build.built
+    monkeypatch.setattr(versions.build, "built", lambda *a: builds.append(0) or built(*a))
+    versions.update(store, spark.createDataFrame(rows, COLUMNS), *ARGS)  # late in cell 1, not in cell 2
+    assert len(builds) == 1
+    versions.update(one, spark.createDataFrame(rows, COLUMNS), *ARGS)
+    assert told(store) == told(one)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.operators import charge
 from voltaspan.operators.rules import name_field
+from voltaspan.sources.shared import kept
 
 LAYERS = ("BRONZE", "SILVER", "GOLD")
 
@@ -42,8 +43,9 @@ def pending(files: DataFrame, manifest: DataFrame, name: str = "name", unfinishe
 
 
 def built(rows: DataFrame, cell: str, file: str, time: str, tie: str, current: str, factor: float) -> DataFrame:
-    """Rows cell, time, current, contrib, ah: each file integrated by itself, merged, summed up."""
-    merged = charge.merged_files(rows, cell, file, time, tie, current, factor)
+    """Rows cell, time, current, contrib, ah: each file integrated by itself, merged, summed up. What is
+    merged is written to a table, as the sum reads it twice."""
+    merged = kept(charge.merged_files(rows, cell, file, time, tie, current, factor), "merged")
     width = F.floor(F.col(time) / F.lit(charge.SLICE))
     return charge.running(merged.withColumn("_slice", width), [cell], time, tie).drop("_slice")
 

@@ -117,17 +117,18 @@ def update(store: Store, rows: DataFrame, cell: str, file: str, program: str, ti
     fresh = rows.join(files.select(F.col("name").alias("_name")), of == F.col("_name"), "left_semi")
     known = known.unionByName(files)
     programs = fresh.select(cell, program).distinct()
-    built = lambda df: build.built(df, cell, file, time, tie, current, factor)
+    columns = list(dict.fromkeys((cell, file, time, tie, current)))
     if now is None:
-        table = built(fresh)
+        table = build.built(fresh.select(*columns), cell, file, time, tie, current, factor)
     else:
         before = store.table("rows", now)
-        more = kept(built(fresh).join(build.totals(before, cell, time), cell, "left"), "built")
-        late = kept(more.where(F.col(time) <= F.col("_last")).select(cell).distinct(), "late")
-        moved = more.withColumn("ah", F.col("ah") + F.coalesce(F.col("_ah"), F.lit(0.0))).drop("_ah", "_last")
-        table = before.unionByName(moved)
-        if late.take(1):
-            again = rows.join(late, cell, "left_semi").join(known.select(F.col("name").alias("_name")), of == F.col("_name"), "left_semi")
-            table = table.join(late, cell, "left_anti").unionByName(built(again).select(table.columns))
+        last = kept(build.totals(before, cell, time), "last")
+        first = fresh.groupBy(cell).agg(F.min(time).alias("_first"))
+        late = kept(first.join(last, cell).where(F.col("_first") <= F.col("_last")).select(cell), "late")
+        # what comes and, of cells with late rows, all that is known: built in one go
+        again = rows.join(late, cell, "left_semi").join(known.select(F.col("name").alias("_name")), of == F.col("_name"), "left_semi")
+        made = build.built(fresh.join(late, cell, "left_anti").select(*columns).unionByName(again.select(*columns)), cell, file, time, tie, current, factor)
+        moved = made.join(last.join(late, cell, "left_anti"), cell, "left").withColumn("ah", F.col("ah") + F.coalesce(F.col("_ah"), F.lit(0.0))).drop("_ah", "_last")
+        table = before.join(late, cell, "left_anti").unionByName(moved)
         programs = store.table("programs", now).select(cell, program).unionByName(programs)
     return store.commit({"rows": table, "files": known, "programs": program_index(programs, cell, program)}, now)
