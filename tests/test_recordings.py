@@ -4,11 +4,13 @@ import datetime as dt
 import json
 import tempfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from voltaspan.operators import build, clusters, models, raw, rules
 from voltaspan.operators.joins import nearest
+from voltaspan.plans.recordings import QUERIES
 
 
 def test_prepared_recording(spark):
@@ -88,6 +90,24 @@ def test_labels(spark):
     assert [got[1][c] for c in ("bDOD", "bSOC", "bTemperature", "bC_Rate")] == [80, 50, 25, "2C"] and got[2]["aDOD"] is None
 
 
+def test_means_on_a_limit_do_not_hang_on_files(spark):
+    """The mean of each cell is 6, the limit; its sum in doubles lies on one side of it row by row, on the other by halves."""
+    values = {1: [6.28, 8.9, 8.06, 0.76], 2: [0.97, 2.15, 4.49, 16.39], 3: [None] * 4}
+    rows = [(7 * c - 3 + k, dt.datetime(2024, 1, 2, k), c, "click", v, None) for c, of in values.items() for k, v in enumerate(of)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    labels = []
+    for cuts in ([F.lit(True)], [F.hour("ts") < 2, F.hour("ts") >= 2]):
+        folder = tempfile.mkdtemp(prefix="spark-")
+        for cut in cuts:
+            events.where(cut).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        labels.append({r["cell"]: r["llm"] for r in QUERIES["P20_tagged_labels"].run(spark, folder).collect()})
+    con = duckdb.connect(config={"threads": 1})
+    con.register("rows", events.orderBy("event_id").toPandas())
+    con.execute("CREATE TABLE events AS SELECT * FROM rows ORDER BY event_id")
+    want = {cell: llm for cell, _, llm, _ in con.execute(QUERIES["P20_tagged_labels"].sql).fetchall()}
+    assert labels == [want, want] and want == {1: "full_charge_c20", 2: "QOCV*", 3: "full_charge_c20"}
+
+
 def test_filtered_labels(spark):
     rows = spark.createDataFrame(
         [(1, 0, 1, "CHA", 1.0, 25.0, 0.5, "-1"), (1, 0, 2, "CHA", 0.1, 25.0, -0.5, "CAP*"), (1, 0, 3, "CHA", 0.2, 25.0, -0.5, "CAP*"), (1, 0, 9, "CHA", 0.2, 40.0, -0.5, "CAP*"), (1, 0, 20, "CHA", 0.2, -25.0, -0.5, "CAP*"), (1, 0, 21, "CHA", 0.2, 25.0, -0.6, "PUL*")],

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltaspan.sources.shared import shared_folder
 
-__all__ = ["Query", "SAMPLES", "contributed", "rounded", "sampled", "samples", "shared_folder", "table"]
+__all__ = ["Query", "SAMPLES", "contributed", "mean_in_order", "rounded", "sampled", "samples", "shared_folder", "table"]
 
 #: Gaps longer than so many median intervals carry no charge.
 CUT = 3.0
@@ -33,6 +33,16 @@ def rounded(x: Column | str, digits: int) -> Column:
     return F.round(x * 10.0**digits) / 10.0**digits
 
 
+def mean_in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, *others: Column) -> DataFrame:
+    """A row per key with the mean of ``value``, its sum taken row by row in the given order, and other
+    aggregates. Sums of parts hang on how files are split, and a mean that lies on a limit would fall on
+    either side of it; rows that are equal in the order go by value, so any of them may come first. A
+    key's rows pass through one task, sorted and spilled by Spark."""
+    line = Window.partitionBy(*keys).orderBy(*order, value)
+    placed = rows.withColumns({"_sum": F.sum(value).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_place": F.row_number().over(line)})
+    return placed.groupBy(*keys).agg(F.try_divide(F.max_by("_sum", "_place"), F.count(value)).alias(name), *others)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows cell, seq, us, value, kind, current, state, procedure, week."""
     return sampled(table(spark, sf_dir, "events"))

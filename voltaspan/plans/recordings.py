@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import build, clusters, models, raw, rules, versions
-from voltaspan.plans.base import CUT, SAMPLES, Query, contributed, rounded, samples, shared_folder, table
+from voltaspan.plans.base import CUT, SAMPLES, Query, contributed, mean_in_order, rounded, samples, shared_folder, table
 
 PROTOCOL = clusters.Protocol(cap_rate=0.01, qocv_rate=0.02, pulse_seconds=90000.0, pulse_tolerance=1.0, qocv_tolerance=2.0)
 
@@ -80,7 +80,7 @@ def charge_on_rows(spark, sf_dir):
 
 def segments(spark, sf_dir):
     """One row per cell and week, as segments: figures that labels go by."""
-    of = samples(spark, sf_dir).groupBy("cell", "week").agg(F.avg("current").alias("i"), F.max("value").alias("high"), F.min("value").alias("low"), ((F.max("us") - F.min("us")) / 60e6).alias("minutes"), F.count("*").alias("n"), F.max("seq").alias("last"))
+    of = mean_in_order(samples(spark, sf_dir), ["cell", "week"], ["seq", "us"], "current", "i", F.max("value").alias("high"), F.min("value").alias("low"), ((F.max("us") - F.min("us")) / 60e6).alias("minutes"), F.count("*").alias("n"), F.max("seq").alias("last"))
     names = ["full_charge_c20", "Pulse 3", "qOCV sweep", "partial_x", " rest", "mixed_c2", "CAP"]
     label = F.element_at(F.array(*map(F.lit, names)), (F.col("last") % 7 + 1).cast("int"))
     return of.select("*", label.alias("label"), (F.col("high") / 100).alias("spanned"), (F.abs("i") / 50).alias("rate"))
