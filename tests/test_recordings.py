@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voltaspan.operators import build, clusters, models, raw, rules
 from voltaspan.operators.joins import nearest
+from voltaspan.plans.catalog import CATALOG
 from voltaspan.plans.recordings import QUERIES
 
 
@@ -108,6 +109,23 @@ def test_means_on_a_limit_do_not_hang_on_files(spark):
     assert labels == [want, want] and want == {1: "full_charge_c20", 2: "QOCV*", 3: "full_charge_c20"}
 
 
+def test_rules_on_means_do_not_hang_on_files(spark):
+    """Means of 20, whose sums in doubles are 80 by halves; row by row those of the first week and of the second cell are not."""
+    weeks = {(1, 1): [28.33, 22.46, 27.75, 1.46], (1, 8): [19.06, 22.51, 24.06, 14.37], (2, 1): [25.93, 28.53, 18.75, 6.79]}
+    rows = [(1000 * c + 10 * day + k + 1, dt.datetime(2024, 1, day + k // 3 * 2, 10 * k % 24), c, "signup" if c == 2 and k == 1 else "purchase", v, None) for (c, day), of in weeks.items() for k, v in enumerate(of)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    con = duckdb.connect(config={"threads": 1})
+    con.register("rows", events.toPandas())
+    con.execute("CREATE TABLE events AS SELECT * FROM rows ORDER BY event_id")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for half in (F.col("event_id") % 10 < 3, F.col("event_id") % 10 >= 3):
+        events.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    for name, column, want in (("M2_capacity_rule", "cap", [0, 1, 1]), ("M4_demoted_labels", "target", ["-1", "-1", "CAP"])):
+        found = CATALOG[name].run(spark, folder).orderBy("cell", "week").collect()
+        assert [r[column] for r in found] == want
+        assert sorted(map(tuple, found)) == sorted(con.execute(CATALOG[name].sql).fetchall())
+
+
 def test_filtered_labels(spark):
     rows = spark.createDataFrame(
         [(1, 0, 1, "CHA", 1.0, 25.0, 0.5, "-1"), (1, 0, 2, "CHA", 0.1, 25.0, -0.5, "CAP*"), (1, 0, 3, "CHA", 0.2, 25.0, -0.5, "CAP*"), (1, 0, 9, "CHA", 0.2, 40.0, -0.5, "CAP*"), (1, 0, 20, "CHA", 0.2, -25.0, -0.5, "CAP*"), (1, 0, 21, "CHA", 0.2, 25.0, -0.6, "PUL*")],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltaspan.operators import rules
-from voltaspan.plans.base import SAMPLES, Query, rounded, samples, table
+from voltaspan.plans.base import SAMPLES, Query, mean_in_order, rounded, samples, table
 
 SEGMENT, TIME = ["cell", "week"], ["us", "seq"]
 
@@ -37,7 +37,7 @@ def selected(name: str, *columns: str | Column, where: Callable[[], Column] | No
 
 
 def qocv_guard(spark, sf_dir):
-    of = samples(spark, sf_dir).groupBy(*SEGMENT).agg(F.avg("current").alias("mean"), F.stddev_samp("current").alias("spread"))
+    of = mean_in_order(samples(spark, sf_dir), SEGMENT, ["seq", "us"], "current", "mean", F.stddev_samp("current").alias("spread"))
     return of.select(*SEGMENT, rules.qocv_target(F.col("mean"), F.col("spread"), 50, 40, 60).alias("target"))
 
 
@@ -121,7 +121,7 @@ def fill_from_previous(spark, sf_dir):
 
 
 def capacity_rule(spark, sf_dir):
-    of = samples(spark, sf_dir).groupBy(*SEGMENT).agg(F.avg("current").alias("i"), ((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
+    of = mean_in_order(samples(spark, sf_dir), SEGMENT, ["seq", "us"], "current", "i", ((F.max("us") - F.min("us")) / 60e6).alias("minutes"))
     lasting = lambda low, high: ((F.col("i") < 0) & F.col("minutes").between(low, high)).cast("int")
     marked = of.withColumns({"hit": lasting(5000, 9000), "loose": lasting(3000, 11000)})
     hits = F.sum("hit").over(Window.partitionBy("cell"))
@@ -131,7 +131,7 @@ def capacity_rule(spark, sf_dir):
 
 def demoted_labels(spark, sf_dir):
     has = lambda kind: F.max((F.col("kind") == kind).cast("int")) == 1
-    of = samples(spark, sf_dir).groupBy(*SEGMENT).agg(has("purchase").alias("cap"), has("signup").alias("pul"), F.avg("value").alias("t"))
+    of = mean_in_order(samples(spark, sf_dir), SEGMENT, ["seq", "us"], "value", "t", has("purchase").alias("cap"), has("signup").alias("pul"))
     return of.select(*SEGMENT, F.when(F.col("cap") & F.col("pul") & (F.col("t") > 20), "CAP").when(F.col("pul"), "PUL").otherwise("-1").alias("target"))
 
 
