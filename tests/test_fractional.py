@@ -50,6 +50,17 @@ def test_fractional_response():
     assert np.abs(few - many).max() < 1e-3 and (np.diff(many) < 0).all()
 
 
+def test_an_element_that_is_over_before_the_window_is_none():
+    t = np.linspace(56.3, 120.0, 40)
+    over = kernels.fractional_pulse(t, -15.0, T_P, 0.05, 0.999)
+    y = -1e-3 * np.exp((56.3 - t) / 20)
+    assert 0 < np.abs(over).max() < 1e-308
+    x, rms = kernels.solved(over[:, None], y, np.zeros(1, bool))
+    assert x == [0.0] and rms == pytest.approx(np.sqrt(np.mean(y**2)))
+    (tau, alpha), (r,), rms = kernels.searched(lambda tau, alpha: kernels.fractional_pulse(t, -15.0, T_P, tau, alpha)[:, None], y, [(0.05, 20.0), (0.3, 0.999)], [False], ordered=1)
+    assert np.isfinite([tau, alpha, r, rms]).all()
+
+
 @pytest.fixture(scope="module")
 def cells(spark):
     rows, pulses = [], []
