@@ -87,6 +87,19 @@ def test_chain(cells):
     assert fractional.exploded(found, ["cell", "pulse"]).count() == sum(len(r.r) for r in rows)
 
 
+def test_a_pulse_whose_windows_lose_an_element_keeps_its_group(spark):
+    """Its first windows begin when the fastest element that is tried there is long over."""
+    rows, pulses = [], []
+    for pulse, truth in enumerate(([(0.006, 60.0, 0.75)], [MIDDLE, FAST])):
+        rows += [(1, pulse, float(a), float(b), float(c)) for a, b, c in zip(*made_pulse(-15.0, truth, seed=0))]
+        pulses.append((1, pulse, T_P, -15.0, 3.7))
+    of = spark.createDataFrame(rows, "cell long, pulse long, t double, v double, i double"), spark.createDataFrame(pulses, "cell long, pulse long, t_p double, i_p double, v_pre double")
+    found = fractional.prepared(*of, ["cell", "pulse"])
+    values, at = fractional.series_resistance(found, ["cell"], rounds=3)
+    assert values.first()["value"] == pytest.approx(R_S, rel=0.02)
+    assert {r["pulse"]: len(r["r"]) for r in at.collect()} == {0: 1, 1: 2}
+
+
 def test_shared_value_equals_one_dense_fit(spark):
     """Three exponentials with a slope of their own, one offset for all of a group."""
     rng, t = np.random.default_rng(3), np.linspace(0, 5, 60)
