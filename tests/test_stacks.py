@@ -142,3 +142,36 @@ def test_spectra_of_a_task_are_fitted_in_one_call(spark, monkeypatch, fit):
     monkeypatch.setattr(kernels, "searched_each", lambda *a, **k: calls.append(0) or each(*a, **k))
     of, found = tasks[0]({"f": np.tile(w / 2 / np.pi, 40), "re": z.real.ravel(), "im": z.imag.ravel()}, np.arange(40) * 30)
     assert len(calls) == 1 and len(of) == 40 and all(len(x) == 40 for x in found.values())
+
+
+def test_grids_with_elements_that_depend_are_solved_together(monkeypatch):
+    """Of pulses that are noise elements vanish or depend on each other at most points of a grid."""
+    rng, many = np.random.default_rng(9), 48
+    t = np.sort(rng.uniform(0, 160, (many, 16)), axis=1)
+    t[:, 0] = 0
+    p = {"t_p": t[:, -1:] / 2, "i_p": rng.uniform(20, 90, (many, 1)), "v_pre": rng.uniform(5, 90, (many, 1)), "r0": np.full((many, 1), 0.01)}
+    v, inside = rng.exponential(50, t.shape), np.ones(t.shape, bool)
+    alone, rows, solved, warburg = [], [], kernels.solved, kernels.warburg_pulse
+    monkeypatch.setattr(kernels, "solved", lambda *a: alone.append(0) or solved(*a))
+    monkeypatch.setattr(kernels, "warburg_pulse", lambda t, *a: rows.append(len(t)) or warburg(t, *a))
+    whole = pulses._joint(t, v, inside, p, True)
+    assert len(alone) < 8 * many and sum(rows[:3]) == 3 * 5 * many  # five constants a pulse and grid
+    monkeypatch.setattr(kernels, "BLOCK", 1)
+    apart = pulses._joint(t, v, inside, p, True)
+    assert all(np.array_equal(whole[c], apart[c]) for c in whole)
+    for k in range(many):
+        share, i_p, t_p = np.clip(t[k] / p["t_p"][k], 0, 1), *(p[c][k] for c in ("i_p", "t_p"))
+        y = v[k] - p["v_pre"][k] * (1 - share) - np.where(t[k] <= t_p, i_p * 0.01, 0)
+        design = lambda a, b, w: np.column_stack([share, kernels.rc_pulse(t[k], i_p, t_p, a), kernels.rc_pulse(t[k], i_p, t_p, b), warburg(t[k], i_p, t_p, w)])  # noqa: B023, E731
+        *_, rms = kernels.searched(design, y, [pulses.FAST, pulses.SLOW, (1.0, 6000.0)], [True, False, False, False], points=5)
+        assert whole["rms"][k] == pytest.approx(rms, rel=1e-3)
+
+
+def test_finite_diffusion_is_a_series_of_elements():
+    t = np.linspace(0, 100, 301)
+    for length, tau in ((20.0, 300.0), (0.5, 1.0), (99.0, 6000.0)):
+        series = np.zeros(len(t))
+        for k in range(1, 21):
+            odd = (2 * k - 1) ** 2 * np.pi**2
+            series = series + 8 / odd * kernels.rc_pulse(t, -3.0, length, 4 * tau / odd)
+        assert np.array_equal(kernels.warburg_pulse(t, -3.0, length, tau), series)

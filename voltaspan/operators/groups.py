@@ -17,6 +17,10 @@ def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
+#: Whole groups wait for a call until they have so many rows; batches that Spark hands over are smaller.
+ROWS = 32_768
+
+
 def together(rows: DataFrame, keys: Sequence[str], order: Sequence[str], many: Callable, schema: str) -> DataFrame:
     """Groups dealt out and sorted, many of them in one call, for work that is little for each of them.
 
@@ -38,10 +42,10 @@ def together(rows: DataFrame, keys: Sequence[str], order: Sequence[str], many: C
                 begins |= pc.fill_null(pc.not_equal(c, before), False).to_numpy(zero_copy_only=False) | pc.xor(c.is_null(), before.is_null()).to_numpy(zero_copy_only=False)
             last = [c.slice(len(c) - 1, 1) for c in whole]
             at = np.flatnonzero(begins)
-            if len(at):
+            if len(at) and sum(b.num_rows for b in waiting) + at[-1] >= ROWS:
                 yield from made([*waiting, batch.slice(0, at[-1])])
-                waiting = []
-            waiting.append(batch.slice(at[-1] if len(at) else 0))
+                waiting, batch = [], batch.slice(at[-1])
+            waiting.append(batch)
         yield from made(waiting)
 
     def made(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,8 +98,8 @@ def charge_ramp(rows: DataFrame, keys: Sequence[str], time: str, current: str, s
 FAST, SLOW = (0.2, 60.0), (20.0, 6000.0)
 
 
-#: So many pulses are fitted at once.
-STACK = 256
+#: So many pulses are fitted at once, and more of short ones: as many as have so many samples together.
+STACK, SAMPLES = 256, 32_768
 
 
 def _fitted(mask: np.ndarray, y: np.ndarray, parts: Callable, ranges: Sequence[tuple[float, float]], signed: Sequence[bool], **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +117,16 @@ def _some(which: np.ndarray, names: Sequence[str], one: Callable) -> dict[str, n
     return out
 
 
+def _each_once(kind: Callable, t: np.ndarray, i_p: np.ndarray, t_p: np.ndarray, of: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """An element's rows for pulses ``of`` and their constants. A grid has a pair many times, with other
+    constants of the other elements: it is made once."""
+    _, first, back = np.unique(of + 1j * tau[:, 0], return_index=True, return_inverse=True)
+    if len(first) == len(of):
+        return kind(t[of], i_p[of], t_p[of], tau)
+    one = of[first]
+    return kind(t[one], i_p[one], t_p[one], tau[first])[back]
+
+
 def _joint(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, diffusion: bool) -> dict:
     """Two RC elements (and finite diffusion) over pulse and rest, the ohmic part given, the voltage
     at rest moving with the charge."""
@@ -125,7 +135,7 @@ def _joint(t: np.ndarray, v: np.ndarray, inside: np.ndarray, p: dict, diffusion:
     share = np.clip(t / t_p, 0, 1)
     y = v - p["v_pre"] * (1 - share) - np.where(t <= t_p, i_p * p["r0"], 0)
     kinds = [kernels.rc_pulse] * 2 + [kernels.warburg_pulse] * diffusion
-    parts = lambda of, *tau: [share[of], *(k(t[of], i_p[of], t_p[of], x) for k, x in zip(kinds, tau))]
+    parts = lambda of, *tau: [share[of], *(_each_once(k, t, i_p, t_p, of, x) for k, x in zip(kinds, tau))]
     ranges = [FAST, SLOW] + [(1.0, 6000.0)] * diffusion
     tau, x, rms = _fitted(inside, y, parts, ranges, [True] + [False] * (2 + diffusion), points=5 if diffusion else 7)
     bad = (x[:, 1] <= 0) | (x[:, 2] <= 0) | (tau[:, 1] < 1.05 * tau[:, 0]) | (tau[:, 1] > 0.98 * SLOW[1])
@@ -206,7 +216,8 @@ def _grouped(rows: DataFrame, pulses: DataFrame, keys: Sequence[str], names: Seq
         of = np.flatnonzero(size >= 8)
         of = of[np.argsort(size[of], kind="stable")]
         found = {n: [np.empty(0, bool if n in flags else float)] for n in names}
-        for few in np.array_split(of, -(-len(of) // STACK) or 1):
+        stacked = max(STACK, SAMPLES // max(int(size[of].max(initial=1)), 1))
+        for few in np.array_split(of, -(-len(of) // stacked) or 1):
             if len(few):
                 t, v = (padded(values[c], starts[few], ends[few]) for c in ("t", "v"))
                 one = stack(t, v, np.arange(t.shape[1]) < size[few, None], {c: values[c][starts[few]].astype(float)[:, None] for c in columns})
